@@ -39,6 +39,11 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence, keep: int, ran
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= keep)
 
 
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence, rank: str = "rank") -> DataFrame:
+    """Number the rows of each key from 1. For keys whose rows are bounded by one document's size."""
+    return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+
+
 def salted_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, spread: Sequence[str], salts: int = 16
 ) -> DataFrame:

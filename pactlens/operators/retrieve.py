@@ -25,19 +25,27 @@ def bm25(pool: DataFrame, query_tokens: DataFrame, item_tokens: DataFrame) -> Da
         "item_id", F.size("tokens").alias("_len"), F.array_distinct("tokens").alias("_it"), F.col("tokens").alias("_all")
     )
     pools = W.partitionBy("query_id", "grp")
+    base = pool.columns
+    # One shuffle by query serves every window, join and aggregate that follows.
     sized = (
-        pool.join(items, "item_id")
-        .join(query_tokens.select("query_id", F.array_distinct("tokens").alias("_qt")), "query_id")
-        .withColumn("_shared", F.array_intersect("_qt", "_it"))
+        pool.join(items.select("item_id", "_len"), "item_id")
+        .repartition("query_id")
         .withColumn("_n", F.count(F.lit(1)).over(pools))
         .withColumn("_avg", F.avg("_len").over(pools))
     )
-    base = [c for c in pool.columns]
-    hits = sized.select(
-        "query_id", "grp", "item_id", "_len", "_n", "_avg", "_all", F.explode("_shared").alias("_tok")
-    ).select(
-        "query_id", "grp", "item_id", "_len", "_n", "_avg", "_tok",
-        F.size(F.filter("_all", lambda t: t == F.col("_tok"))).alias("_tf"),
+    hits = (
+        sized.select("query_id", "grp", "item_id", "_len", "_n", "_avg")
+        .join(query_tokens.select("query_id", F.array_distinct("tokens").alias("_qt")), "query_id")
+        .join(items.drop("_len"), "item_id")
+        .select(
+            "query_id", "grp", "item_id", "_len", "_n", "_avg", "_all",
+            F.explode_outer(F.array_intersect("_qt", "_it")).alias("_tok"),
+        )
+        .filter("_tok IS NOT NULL")
+        .select(
+            "query_id", "grp", "item_id", "_len", "_n", "_avg", "_tok",
+            F.size(F.filter("_all", lambda t: t == F.col("_tok"))).alias("_tf"),
+        )
     )
     df_count = F.count(F.lit(1)).over(W.partitionBy("query_id", "grp", "_tok"))
     weighted = hits.withColumn("_df", df_count).withColumn("_w", bm25_term("_tf", "_len", "_avg", "_n", "_df"))
