@@ -80,15 +80,22 @@ def _totals(patterns: Sequence[PiiPattern]) -> Column:
 def mask_documents(
     docs: DataFrame, text: str = "text", patterns: Sequence[PiiPattern] = PII_PATTERNS
 ) -> DataFrame:
-    """Add masked_text, detected_types (pattern order), replacement_count and passed.
+    """Add masked_text, type_counts, detected_types (pattern order), replacement_count and passed.
 
     The residual check runs only on changed texts: an unchanged text already failed every pattern.
     """
     masked = apply_patterns(docs.withColumn("masked_text", F.col(text)), "masked_text", patterns)
-    found = F.array_compact(
-        F.array(*[F.when(F.col(_count(p.pii_type)) > 0, F.lit(p.pii_type)) for p in patterns])
+    counts = F.array_compact(
+        F.array(*[
+            F.when(
+                F.col(_count(p.pii_type)) > 0,
+                F.struct(F.lit(p.pii_type).alias("pii_type"), F.col(_count(p.pii_type)).alias("n")),
+            )
+            for p in patterns
+        ])
     )
-    masked = masked.withColumn("detected_types", found).withColumn("replacement_count", _totals(patterns))
+    masked = masked.withColumn("type_counts", counts).withColumn("replacement_count", _totals(patterns))
+    masked = masked.withColumn("detected_types", F.transform("type_counts", lambda t: t["pii_type"]))
     passed = F.when(F.col("replacement_count") == 0, F.lit(True)).otherwise(
         ~residual(F.col("masked_text"), patterns)
     )
@@ -223,7 +230,7 @@ def outbound_gate(payloads: DataFrame, text: str = "text", patterns: Sequence[Pi
 
 
 def pii_profile(masked: DataFrame) -> DataFrame:
-    """Corpus profile: documents per detected type."""
-    return masked.select(F.explode("detected_types").alias("pii_type")).groupBy("pii_type").agg(
-        F.count(F.lit(1)).alias("documents")
-    )
+    """Corpus profile: documents and replacements per detected type."""
+    return masked.select(F.explode_outer("type_counts").alias("_t")).filter("_t IS NOT NULL").groupBy(
+        F.col("_t.pii_type").alias("pii_type")
+    ).agg(F.count(F.lit(1)).alias("documents"), F.sum("_t.n").alias("replacements"))

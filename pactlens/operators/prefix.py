@@ -39,6 +39,16 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence, keep: int, ran
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= keep)
 
 
+def keep_where(df: DataFrame, condition) -> DataFrame:
+    """Filter on an expensive derived column without letting the optimizer copy it down the plan.
+
+    A plain filter is pushed below the projections that compute its columns and repeats them; after a
+    chain of text steps that multiplies the work. A generator is a boundary for that rewrite.
+    """
+    flag = F.explode_outer(F.when(condition, F.array(F.lit(True)))).alias("_kept")
+    return df.select("*", flag).filter("_kept IS NOT NULL").drop("_kept")
+
+
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence, rank: str = "rank") -> DataFrame:
     """Number the rows of each key from 1. For keys whose rows are bounded by one document's size."""
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pactlens.constants import GROUP_SUPPRESSION_WINDOW, MEDIUM_CONTEXT_TERMS, SUPPRESSION_WINDOW
 from pactlens.functions.text import first_match, same_length_space, sentence_left, sentence_right
 from pactlens.operators.pages import page_fragments, page_of
+from pactlens.operators.prefix import keep_where
 from pactlens.operators.segment import subclause_of
 from pactlens.packs.model import RulePack, portable
 
@@ -82,10 +83,7 @@ def screen(clauses: DataFrame, pack: RulePack, rule_ids: list[str] | None = None
     )
     near = _any_hit(F.col("negatives"), F.col("_near"))
     safe = (F.size("negative_groups") > 0) & F.forall("negative_groups", lambda g: _any_hit(g, F.col("_wide")))
-    # A plain filter would be pushed below and recompute the matches for every negative pattern.
-    kept = windowed.select(
-        "*", F.explode_outer(F.when(~near & ~safe, F.array(F.lit(True)))).alias("_kept")
-    ).filter("_kept IS NOT NULL")
+    kept = keep_where(windowed, ~near & ~safe)
     context = F.size(F.filter("context_terms", lambda t: F.contains(F.col("_norm"), t)))
     first = F.array_min(F.transform("_m", lambda m: m["start"]))
     last = F.array_max(F.transform("_m", lambda m: m["stop"]))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pactlens.constants import MAX_CLAUSE_CHARS
 from pactlens.functions.text import is_blank, leading_space, spans, strip
+from pactlens.operators.prefix import keep_where
 from pactlens.packs.defaults import KOREAN_SECTIONS
 from pactlens.packs.model import SectionPack
 
@@ -131,3 +132,11 @@ def clause_gate(clauses: DataFrame, max_chars: int = MAX_CLAUSE_CHARS) -> DataFr
             F.length("text") > max_chars, F.lit("CLAUSE_TOO_LONG")
         ),
     )
+
+
+def failed_documents(clauses: DataFrame, max_chars: int = MAX_CLAUSE_CHARS, doc: str = "doc_id") -> DataFrame:
+    """Documents with a bad clause and the code of their first one."""
+    gated = clause_gate(clauses, max_chars).select(doc, "clause_ord", "error_code")
+    return keep_where(gated, F.col("error_code").isNotNull()).groupBy(doc).agg(
+        F.min_by("error_code", "clause_ord").alias("error_code")
+    )

@@ -130,7 +130,7 @@ def rollup(
     """One row per document: counts, sorted distinct warnings and the disposition.
 
     Counts are aggregated on each side before the join, so only document-sized rows are shuffled.
-    ``docs`` needs ``passed``; ``warnings`` is (doc, warning).
+    ``docs`` needs ``passed`` and ``error_code``; ``warnings`` is (doc, warning).
     """
     out = docs.join(clauses.groupBy(doc).agg(F.count(F.lit(1)).alias("clause_count")), doc, "left")
     out = out.join(findings.groupBy(doc).agg(F.count(F.lit(1)).alias("finding_count")), doc, "left")
@@ -146,7 +146,7 @@ def rollup(
         out = out.withColumn(c, F.coalesce(c, F.lit(0)))
     return out.withColumn("warnings", F.coalesce("warnings", F.array().cast("array<string>"))).withColumn(
         "disposition",
-        disposition(F.col("passed"), F.lit(False), F.col("candidate_count"), F.col("finding_count")),
+        disposition(F.col("passed"), F.col("error_code").isNotNull(), F.col("candidate_count"), F.col("finding_count")),
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pactlens.constants import MASKING_FAILED_WARNING, MAX_CLAUSE_CHARS
 from pactlens.operators import candidates as cand
 from pactlens.operators import masking, retrieve, screen, segment, summarize
+from pactlens.operators.prefix import keep_where
 from pactlens.packs.defaults import KOREAN_RULES, KOREAN_SECTIONS, PII_PATTERNS
 from pactlens.packs.model import PiiPattern, RulePack, SectionPack
 
@@ -44,7 +45,7 @@ def masked_documents(docs: DataFrame, config: ReviewConfig) -> DataFrame:
 def clauses_of(masked: DataFrame, config: ReviewConfig) -> DataFrame:
     """Analyzable clauses of the documents whose masking passed."""
     # Masking decides first: a failed document never reaches a rule.
-    safe = masked.filter("passed").select("doc_id", "text")
+    safe = keep_where(masked, F.col("passed")).select("doc_id", "text")
     return segment.analyzable(segment.segment(safe, pack=config.sections))
 
 
@@ -60,8 +61,10 @@ def run_review(
 ) -> Review:
     """Review ``docs`` (doc_id, text). Retrieval, candidates and the gate run when their tables are given."""
     masked = masked_documents(docs, config)
-    clauses = clauses_of(masked, config)
-    bad = segment.clause_gate(clauses, MAX_CLAUSE_CHARS).filter("error_code IS NOT NULL").select("doc_id", "error_code")
+    all_clauses = clauses_of(masked, config)
+    # One bad clause stops its document: it gets an error code instead of findings.
+    bad = segment.failed_documents(all_clauses, MAX_CLAUSE_CHARS)
+    clauses = all_clauses.join(bad.select("doc_id"), "doc_id", "left_anti")
     findings = findings_of(clauses, config)
     if index is not None:
         keyed = clauses.withColumn("query_id", F.concat_ws("#", "doc_id", "clause_ord"))
@@ -81,12 +84,10 @@ def run_review(
                 "text", F.col("segment_text")
             )
             chosen = cand.gate(cand.search_cards(named, cards, encoder=encoder), named).filter("kept")
-    warned = masked.filter(~F.col("passed")).select("doc_id", F.lit(MASKING_FAILED_WARNING).alias("warning")).unionByName(
-        bad.select("doc_id", F.col("error_code").alias("warning"))
-    )
-    results = summarize.rollup(
-        masked.select("doc_id", "passed", "detected_types", "replacement_count"), clauses, findings, chosen, warned
-    )
+    blocked = keep_where(masked, ~F.col("passed")).select("doc_id", F.lit(MASKING_FAILED_WARNING).alias("warning"))
+    warned = blocked.unionByName(bad.select("doc_id", F.col("error_code").alias("warning")))
+    states = masked.select("doc_id", "passed", "detected_types", "replacement_count").join(bad, "doc_id", "left")
+    results = summarize.rollup(states, all_clauses, findings, chosen, warned)
     lines = summarize.summarize(masked.select("doc_id"), findings, chosen)
     results = results.join(lines.select("doc_id", "top_categories", "headline", "lines"), "doc_id")
     return Review(masked, clauses, findings, chosen, results)
