@@ -68,17 +68,19 @@ def ngram_codes(text: Column, dimension: int = NGRAM_DIMENSION) -> Column:
     return F.concat(*[codes(n) for n in NGRAM_SIZES])
 
 
+def unit_vector(codes, dimension: int) -> np.ndarray:
+    """Unit vector of one code list (an empty list gives zeros)."""
+    c = np.asarray(codes, dtype=np.int64)
+    v = np.bincount(c // 2, weights=1.0 - 2.0 * (c % 2), minlength=dimension)
+    return v / (np.sqrt((v * v).sum()) or 1.0)
+
+
 def dense(dimension: int) -> Callable[[Column], Column]:
-    """Arrow UDF: code lists to unit vectors of ``dimension`` (an empty list gives zeros)."""
+    """Arrow UDF: code lists to unit vectors of ``dimension``."""
 
     @F.pandas_udf("array<double>")
     def to_vector(codes: pd.Series) -> pd.Series:
-        out = []
-        for row in codes:
-            c = np.asarray(row, dtype=np.int64)
-            v = np.bincount(c // 2, weights=1.0 - 2.0 * (c % 2), minlength=dimension)
-            out.append(v / (np.sqrt((v * v).sum()) or 1.0))
-        return pd.Series(out)
+        return pd.Series([unit_vector(c, dimension) for c in codes])
 
     return to_vector
 

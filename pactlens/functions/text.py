@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactlens.constants import MAX_EXCERPT, MAX_SENTENCE, SUMMARY_FORBIDDEN
@@ -160,25 +160,24 @@ def object_particle(word: Column) -> Column:
     return F.when(closed, F.lit("을")).otherwise(F.lit("를"))
 
 
-def locate_compact(text: Column, target: Column) -> Column:
-    """Find ``target`` in ``text`` ignoring whitespace and case; offsets refer to ``text``.
+def locate_compact(df: DataFrame, text: str, target: str, out: str = "located") -> DataFrame:
+    """Add ``out``: where ``target`` occurs in ``text`` ignoring whitespace and case, or NULL.
 
-    The match is found on the compacted strings, then mapped back by walking the words once.
-    Case folding is ``lower``, which differs from full folding only for a few letters such as ß.
+    The match is found on the compacted strings, then mapped back by walking the words once; offsets
+    refer to ``text``. Case folding is ``lower``, which differs from full folding only for a few
+    letters such as ß. Positions are computed in their own projection, so the walk only adds numbers.
     """
     needle = F.lower(F.regexp_replace(target, WS, ""))
-    at = F.instr(F.lower(F.regexp_replace(text, WS, "")), needle) - 1
-    last = at + F.length(needle) - 1
+    placed = df.withColumn("_needle", F.length(needle)).withColumn(
+        "_at", F.when(F.length(needle) > 0, F.instr(F.lower(F.regexp_replace(text, WS, "")), needle) - 1)
+    )
     words = F.zip_with(
         F.split(text, f"{WS}+", -1),
         F.regexp_extract_all(text, F.lit(f"{WS}+"), F.lit(0)),
-        lambda w, g: F.struct(
-            F.length(w).alias("size"), F.coalesce(F.length(g), F.lit(0)).alias("gap"), at.alias("first"), last.alias("last")
-        ),
-    )
-    zero = F.struct(
-        F.lit(0).alias("seen"), F.lit(0).alias("pos"), F.lit(-1).alias("start"), F.lit(-1).alias("stop")
+        lambda w, g: F.struct(F.length(w).alias("size"), F.coalesce(F.length(g), F.lit(0)).alias("gap")),
     )
+    zero = F.struct(*[F.lit(v).alias(n) for n, v in (("seen", 0), ("pos", 0), ("start", -1), ("stop", -1))])
+    last = F.col("_at") + F.col("_needle") - 1
 
     def step(acc: Column, w: Column) -> Column:
         def inside(k: Column) -> Column:
@@ -187,9 +186,9 @@ def locate_compact(text: Column, target: Column) -> Column:
         return F.struct(
             (acc["seen"] + w["size"]).alias("seen"),
             (acc["pos"] + w["size"] + w["gap"]).alias("pos"),
-            F.when(inside(w["first"]), acc["pos"] + w["first"] - acc["seen"]).otherwise(acc["start"]).alias("start"),
-            F.when(inside(w["last"]), acc["pos"] + w["last"] - acc["seen"] + 1).otherwise(acc["stop"]).alias("stop"),
+            F.when(inside(F.col("_at")), acc["pos"] + F.col("_at") - acc["seen"]).otherwise(acc["start"]).alias("start"),
+            F.when(inside(last), acc["pos"] + last - acc["seen"] + 1).otherwise(acc["stop"]).alias("stop"),
         )
 
-    found = F.aggregate(words, zero, step, lambda a: F.struct(a["start"].alias("start"), a["stop"].alias("stop")))
-    return F.when((F.length(needle) > 0) & (at >= 0), found)
+    walked = F.aggregate(words, zero, step, lambda a: F.struct(a["start"].alias("start"), a["stop"].alias("stop")))
+    return placed.withColumn(out, F.when(F.col("_at") >= 0, walked)).drop("_needle", "_at")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pactlens.constants import (
     AUTHORITY_WEIGHT, BM25_B, BM25_K1, DEFAULT_AUTHORITY, LEXICAL_WEIGHT, VECTOR_WEIGHT,
 )
-from pactlens.functions.embed import Encoder, embed, tokenize
+from pactlens.functions.embed import Encoder, embed, signed_codes, tokenize
 from pactlens.operators.prefix import top_rows
 from pactlens.operators.similar import nearest
 
@@ -78,17 +78,21 @@ def hybrid_search(
     authority_weight and any metadata columns; an ``embedding`` column is used when present.
     The same evidence id in several collections counts once, with the last collection's values.
     """
-    vec = F.col("embedding") if "embedding" in index.columns else embed(F.col("text"), encoder)
-    keyed = index.withColumn("_key", F.struct("collection_ord", "evidence_id"))
-    indexed = index.select(F.col("evidence_id").alias("item_id"), F.col("collection_ord").alias("grp"), vec.alias("vec"))
-    wanted = queries.select("query_id", embed(F.col("text"), encoder).alias("vec"))
+    def body(text: Column) -> Column:
+        return embed(text, encoder).alias("vec") if encoder else signed_codes(tokenize(text)).alias("codes")
+
+    stored = "embedding" in index.columns
+    vec = F.col("embedding").alias("vec") if stored else body(F.col("text"))
+    wanted_vec = embed(F.col("text"), encoder).alias("vec") if stored else body(F.col("text"))
+    indexed = index.select(F.col("evidence_id").alias("item_id"), F.col("collection_ord").alias("grp"), vec)
+    wanted = queries.select("query_id", wanted_vec)
     pool = nearest(wanted, indexed, pool_size(top_k)).withColumnRenamed("score", "vector_score")
     lexical = bm25(
         pool,
         queries.select("query_id", tokenize(F.col("text")).alias("tokens")),
         index.select(F.col("evidence_id").alias("item_id"), tokenize(F.col("text")).alias("tokens")).dropDuplicates(["item_id"]),
     )
-    meta = keyed.select(
+    meta = index.select(
         F.col("evidence_id").alias("item_id"), F.col("collection_ord").alias("grp"),
         F.coalesce("authority_weight", F.lit(DEFAULT_AUTHORITY)).alias("_auth"),
         *[c for c in index.columns if c not in ("evidence_id", "collection_ord", "authority_weight", "embedding")],

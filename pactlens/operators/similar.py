@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pactlens.constants import HASH_DIMENSION
+from pactlens.functions.embed import unit_vector
 from pactlens.operators.prefix import top_rows
 
 # An index up to this many rows is shipped to the tasks as one matrix; beyond it, tiles are used.
@@ -37,49 +39,53 @@ def _best(qids, q: np.ndarray, items, groups, m: np.ndarray, top_n: int, floor:
     return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["query_id", "item_id", "grp", "score"])
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=float) for v in vectors])
+def _matrix(pdf: pd.DataFrame, dimension: int) -> np.ndarray:
+    if "codes" in pdf:
+        return np.stack([unit_vector(c, dimension) for c in pdf["codes"]])
+    return np.stack([np.asarray(v, dtype=float) for v in pdf["vec"]])
 
 
 def nearest(
     queries: DataFrame, index: DataFrame, top_n: int, floor: float | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int = BROADCAST_ROWS, dimension: int = HASH_DIMENSION,
 ) -> DataFrame:
     """Top ``top_n`` index rows per query and group: (query_id, item_id, grp, score).
 
-    ``queries`` has (query_id, vec); ``index`` has (item_id, grp, vec). Ties at nine digits go to
+    ``queries`` has (query_id, vec) and ``index`` (item_id, grp, vec). Instead of ``vec`` both may carry
+    hash ``codes``, which are much smaller to move and become vectors only inside the scoring task. Ties at nine digits go to
     the lower item. A small index (its size is checked) is shipped once per executor and queries
     are scored where they are, without a shuffle. A larger one is cut into tiles that meet query
     blocks by equi-join; each tile returns only its own best rows, which are then merged exactly.
     """
+    body = "codes" if "codes" in index.columns else "vec"
     types = {f.name: f.dataType.simpleString() for f in [*queries.schema, *index.schema]}
     schema = _SCHEMA.format(q=types["query_id"], i=types["item_id"], g=types["grp"])
-    head = index.select("item_id", "grp", "vec").limit(broadcast_rows + 1).toPandas()
-    if len(head) == 0:
+    size = index.count()
+    if size == 0:
         return queries.sparkSession.createDataFrame([], schema)
-    if len(head) <= broadcast_rows:
-        head = head.sort_values("item_id")
+    if size <= broadcast_rows:
+        head = index.select("item_id", "grp", body).toPandas().sort_values("item_id")
         shared = queries.sparkSession.sparkContext.broadcast(
-            (head["item_id"].to_numpy(), head["grp"].to_numpy(), _matrix(head["vec"]))
+            (head["item_id"].to_numpy(), head["grp"].to_numpy(), _matrix(head, dimension))
         )
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             items, groups, m = shared.value
             for b in batches:
                 if len(b):
-                    yield _best(b["query_id"].to_numpy(), _matrix(b["vec"]), items, groups, m, top_n, floor)
+                    yield _best(b["query_id"].to_numpy(), _matrix(b, dimension), items, groups, m, top_n, floor)
 
-        return queries.select("query_id", "vec").mapInPandas(score, schema)
+        return queries.select("query_id", body).mapInPandas(score, schema)
 
     q_blocks = max(1, -(-queries.count() // TILE_ROWS))
-    i_blocks = max(1, -(-index.count() // TILE_ROWS))
+    i_blocks = max(1, -(-size // TILE_ROWS))
     q = queries.select(
         F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(i_blocks - 1))).alias("ib"), "query_id", "vec",
+        F.explode(F.sequence(F.lit(0), F.lit(i_blocks - 1))).alias("ib"), "query_id", body,
     )
     i = index.select(
         F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("long").alias("qb"),
-        F.pmod(F.xxhash64("item_id"), F.lit(i_blocks)).cast("int").alias("ib"), "item_id", "grp", "vec",
+        F.pmod(F.xxhash64("item_id"), F.lit(i_blocks)).cast("int").alias("ib"), "item_id", "grp", body,
     )
 
     def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -87,8 +93,8 @@ def nearest(
             return pd.DataFrame(columns=["query_id", "item_id", "grp", "score"])
         right = right.sort_values("item_id")
         return _best(
-            left["query_id"].to_numpy(), _matrix(left["vec"]), right["item_id"].to_numpy(),
-            right["grp"].to_numpy(), _matrix(right["vec"]), top_n, floor,
+            left["query_id"].to_numpy(), _matrix(left, dimension), right["item_id"].to_numpy(),
+            right["grp"].to_numpy(), _matrix(right, dimension), top_n, floor,
         )
 
     tiles = q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInPandas(tile, schema)

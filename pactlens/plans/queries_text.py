@@ -446,16 +446,18 @@ def text_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", sha("text").alias("text_sha"), pid.alias("preview_id"), lifecycle.preview_id_valid(pid).alias("preview_valid"), F.concat(F.lit("sha256:"), sha("text")).alias("source_hash"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, text, upper(regexp_replace(substr(text, length(text) // 3, 40), '{q.WS}', '  ', 'g')) AS tgt FROM documents),
+@query(f"""WITH t AS (SELECT doc_id, text, lower(regexp_replace(substr(text, length(text) // 3, 40), '{q.WS}', '  ', 'g')) AS tgt FROM documents),
 c AS (SELECT *, lower(regexp_replace(text, '{q.WS}', '', 'g')) AS ct, lower(regexp_replace(tgt, '{q.WS}', '', 'g')) AS cg FROM t),
-w AS (SELECT *, instr(ct, cg) - 1 AS at FROM c WHERE cg <> ''),
-ch AS (SELECT doc_id, at, length(cg) AS gl, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM w WHERE at >= 0),
-v AS (SELECT doc_id, at, gl, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM ch WHERE regexp_matches(ch, '{q.NOT_WS}'))
-SELECT t.doc_id, (SELECT i - 1 FROM v WHERE v.doc_id = t.doc_id AND k = at) AS char_start, (SELECT i FROM v WHERE v.doc_id = t.doc_id AND k = at + gl - 1) AS char_end FROM t""")
+w AS (SELECT *, instr(ct, cg) - 1 AS p0 FROM c WHERE cg <> ''),
+ch AS (SELECT doc_id, p0, length(cg) AS gl, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM w WHERE p0 >= 0),
+v AS (SELECT doc_id, p0, gl, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM ch WHERE regexp_matches(ch, '{q.NOT_WS}'))
+SELECT t.doc_id, (SELECT i - 1 FROM v WHERE v.doc_id = t.doc_id AND k = p0) AS char_start, (SELECT i FROM v WHERE v.doc_id = t.doc_id AND k = p0 + gl - 1) AS char_end FROM t""")
 def locate_compact(spark: SparkSession, sf: str) -> DataFrame:
     """Find a snippet with other spacing and case; offsets point into the original."""
     d = documents(spark, sf)
     snippet = F.substring("text", F.floor(F.length("text") / 3).cast("int"), F.lit(40))
-    target = F.upper(F.regexp_replace(snippet, tx.WS, "  "))
-    found = tx.locate_compact(F.col("text"), target)
-    return d.select("doc_id", found.alias("_f")).select("doc_id", F.col("_f.start").cast("long").alias("char_start"), F.col("_f.stop").cast("long").alias("char_end"))
+    d = d.withColumn("target", F.lower(F.regexp_replace(snippet, tx.WS, "  ")))
+    found = tx.locate_compact(d, "text", "target")
+    return found.select(
+        "doc_id", F.col("located.start").cast("long").alias("char_start"), F.col("located.stop").cast("long").alias("char_end")
+    )

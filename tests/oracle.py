@@ -74,7 +74,7 @@ def main(argv):
                 continue
             ok, note = compare(spark, con, q[name], o[name], sf)
         except Exception as e:  # noqa: BLE001
-            ok, note = False, f"{type(e).__name__}: {str(e)[:700]}"
+            ok, note = False, f"{type(e).__name__}: {str(e)[:400]}"
         print("OK  " if ok else "FAIL", name, note, flush=True)
         if not ok:
             bad.append(name)
