@@ -171,9 +171,9 @@ def gate_annotations(annotations: DataFrame) -> DataFrame:
         F.when(uneven, F.lit("uneven_reviewers")),
         F.when(few, F.lit("too_few_reviewers")),
     ]
-    return joined.drop("_pair").withColumn("violations", F.array_compact(F.array(*notes))).withColumn(
+    return joined.withColumn("violations", F.array_compact(F.array(*notes))).withColumn(
         "accepted", F.size("violations") == 0
-    )
+    ).drop("_pair")
 
 
 def gate_cards(cards: DataFrame) -> DataFrame:

@@ -186,8 +186,8 @@ _TURN_RULES, _TR = q.rule_hits("tc", "conv_id, turn", LATIN_RULES.select(None),
 
 
 @query(f"""WITH tc AS (SELECT conv_id, turn, text FROM conversations), {_TURN_RULES}, {_search_sql(_TURN_SQL + " WHERE role <> 'system'", _INDEX_SQL, 20)}, {_rank_sql(3)},
-ev AS (SELECT query_id, string_agg(CAST(item AS VARCHAR), ',' ORDER BY rank) AS ids, count(*) AS n, array_to_string(list_sort(list_distinct(list('v' || (item % 3)))), ',') AS cv FROM ranked GROUP BY query_id)
-SELECT f.conv_id, f.turn, f.rule_id, CASE WHEN ids IS NULL THEN 'unavailable' ELSE 'grounded' END AS grounding, CAST(coalesce(n, 0) AS BIGINT) AS retrieved_count,
+ev AS (SELECT query_id, string_agg(CAST(item AS VARCHAR), ',' ORDER BY rank) AS ids, count(*) AS nn, array_to_string(list_sort(list_distinct(list('v' || (item % 3)))), ',') AS cv FROM ranked GROUP BY query_id)
+SELECT f.conv_id, f.turn, f.rule_id, CASE WHEN ids IS NULL THEN 'unavailable' ELSE 'grounded' END AS grounding, CAST(coalesce(nn, 0) AS BIGINT) AS retrieved_count,
  coalesce(cv, 'not_available') AS corpus_version, coalesce(ids, array_to_string(list_transform(range(1, len(legal_basis) + 1), lambda i: 'candidate:' || f.rule_id || ':' || i), ',')) AS evidence_ids
 FROM {_TR} f LEFT JOIN ev ON ev.query_id = f.conv_id * 1000 + f.turn""")
 def evidence(spark: SparkSession, sf: str) -> DataFrame:
