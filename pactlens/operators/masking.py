@@ -57,14 +57,15 @@ def apply_patterns(
     the three trigger checks.
     """
     offsets = offsets or {}
-    for kind, expr in _triggers(F.col(text)).items():
-        df = df.withColumn(f"_has_{kind}", expr)
+    df = df.withColumns({f"_has_{kind}": expr for kind, expr in _triggers(F.col(text)).items()})
     for p in patterns:
         offset = offsets.get(p.pii_type, F.lit(0))
         hit = F.col(f"_has_{p.needs}") & F.col(text).rlike(p.regex)
         df = df.withColumn("_pieces", F.when(hit, _pieces(F.col(text), p)))
-        df = df.withColumn(_count(p.pii_type), F.coalesce(F.size("_pieces") - 1, F.lit(0)))
-        df = df.withColumn(text, F.coalesce(_rebuild(F.col("_pieces"), p, offset), F.col(text)))
+        df = df.withColumns({
+            _count(p.pii_type): F.coalesce(F.size("_pieces") - 1, F.lit(0)),
+            text: F.coalesce(_rebuild(F.col("_pieces"), p, offset), F.col(text)),
+        })
     return df.drop("_pieces", "_has_digit", "_has_at", "_has_label")
 
 

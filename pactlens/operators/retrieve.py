@@ -21,8 +21,13 @@ def bm25(pool: DataFrame, query_tokens: DataFrame, item_tokens: DataFrame) -> Da
     below holds at most that many rows. ``query_tokens`` and ``item_tokens`` carry array columns.
     Only tokens shared by a pool pair are ever turned into rows.
     """
-    items = item_tokens.select(
-        "item_id", F.size("tokens").alias("_len"), F.array_distinct("tokens").alias("_it"), F.col("tokens").alias("_all")
+    # Token frequencies once per item; an item's own text bounds its map.
+    counts = item_tokens.select("item_id", F.explode_outer("tokens").alias("_t")).groupBy("item_id", "_t").agg(
+        F.count("_t").alias("_f")
+    )
+    items = counts.groupBy("item_id").agg(
+        F.sum("_f").alias("_len"),
+        F.map_from_entries(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct("_t", "_f")))).alias("_freq"),
     )
     pools = W.partitionBy("query_id", "grp")
     base = pool.columns
@@ -38,13 +43,13 @@ def bm25(pool: DataFrame, query_tokens: DataFrame, item_tokens: DataFrame) -> Da
         .join(query_tokens.select("query_id", F.array_distinct("tokens").alias("_qt")), "query_id")
         .join(items.drop("_len"), "item_id")
         .select(
-            "query_id", "grp", "item_id", "_len", "_n", "_avg", "_all",
-            F.explode_outer(F.array_intersect("_qt", "_it")).alias("_tok"),
+            "query_id", "grp", "item_id", "_len", "_n", "_avg", "_freq",
+            F.explode_outer(F.array_intersect("_qt", F.map_keys("_freq"))).alias("_tok"),
         )
         .filter("_tok IS NOT NULL")
         .select(
             "query_id", "grp", "item_id", "_len", "_n", "_avg", "_tok",
-            F.size(F.filter("_all", lambda t: t == F.col("_tok"))).alias("_tf"),
+            F.element_at("_freq", F.col("_tok")).alias("_tf"),
         )
     )
     df_count = F.count(F.lit(1)).over(W.partitionBy("query_id", "grp", "_tok"))

@@ -24,13 +24,14 @@ def section_label(section_type: Column, number: Column, pack: SectionPack = KORE
     )
 
 
-def segment(
-    docs: DataFrame, text: str = "text", pack: SectionPack = KOREAN_SECTIONS
+def outline(
+    docs: DataFrame, text: str = "text", pack: SectionPack = KOREAN_SECTIONS, max_chars: int = MAX_CLAUSE_CHARS
 ) -> DataFrame:
-    """One row per section with exact offsets; text before the first heading is the preamble.
+    """Add the section plan of each document: ``parts``, ``clause_count`` and ``error_code``.
 
-    A section ends where the next heading starts. Everything happens on the document's own
-    heading array, so no shuffle carries document text. Packs without printed numbers count headings.
+    A section ends where the next heading starts. Everything happens on the document's own heading
+    array, so no shuffle carries document text. The error code is that of the first bad clause; a
+    section that opens with a heading cannot be blank, and only long texts need the length check.
     """
     marked = docs.withColumn("_h", spans(F.col(text), pack.heading))
     sections = F.transform(
@@ -49,10 +50,32 @@ def segment(
         .when(is_blank(lead_text), sections)
         .otherwise(F.concat(opening, sections))
     )
+    planned = marked.withColumn("parts", parts)
+    too_long = (F.length(text) > max_chars) & F.exists(
+        F.filter("parts", lambda p: p["nth"] > 0), lambda p: F.length(_part_text(text, p)) > max_chars
+    )
+    return planned.withColumns({
+        "clause_count": F.size(F.filter("parts", lambda p: p["nth"] > 0)).cast("long"),
+        "error_code": F.when((F.size("_h") == 0) & is_blank(F.col(text)), "CLAUSE_EMPTY").when(too_long, "CLAUSE_TOO_LONG"),
+    }).drop("_h")
+
+
+def _part_text(text: str, part: Column) -> Column:
+    raw = F.substring(F.col(text), part["start"] + 1, F.coalesce(part["next"], F.length(text)) - part["start"])
+    return F.when(part["hit"].isNotNull(), strip(raw)).otherwise(raw)
+
+
+def segment(docs: DataFrame, text: str = "text", pack: SectionPack = KOREAN_SECTIONS) -> DataFrame:
+    """One row per section with exact offsets; text before the first heading is the preamble.
+
+    Packs without printed numbers count headings. Documents already outlined are not planned again.
+    """
+    planned = docs if "parts" in docs.columns else outline(docs, text, pack)
+    keep = [c for c in docs.columns if c not in (text, "parts", "clause_count", "error_code")]
     body = F.substring(
         F.col(text), F.col("_p.start") + 1, F.coalesce(F.col("_p.next"), F.length(text)) - F.col("_p.start")
     )
-    cut = marked.select(*docs.columns, F.posexplode_outer(parts).alias("clause_ord", "_p")).withColumn("_body", body)
+    cut = planned.select(*keep, text, F.posexplode_outer("parts").alias("clause_ord", "_p")).withColumn("_body", body)
     headed = F.col("_p.hit").isNotNull()
 
     def group(i: int) -> Column:
@@ -68,7 +91,7 @@ def segment(
     else:
         number = F.col("_p.nth")
     shaped = cut.select(
-        *[c for c in docs.columns if c != text],
+        *keep,
         "clause_ord",
         number.alias("number"),
         kind.alias("section_type"),

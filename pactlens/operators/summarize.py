@@ -100,7 +100,7 @@ def summarize(
             F.collect_list(F.when(F.col("category_rank") <= 3, F.struct("category_rank", "rule_name")))
         ).alias("_top"),
     )
-    out = docs.select(doc).join(per_doc, doc, "left")
+    out = docs.join(per_doc, doc, "left")
     if candidates is None:
         out = out.withColumn("candidate_count", F.lit(0).cast("long"))
     else:
@@ -124,29 +124,36 @@ def disposition(masked: Column, clause_review: Column, candidates: Column, findi
 
 
 def rollup(
-    docs: DataFrame, clauses: DataFrame, findings: DataFrame, candidates: DataFrame | None = None,
-    warnings: DataFrame | None = None, doc: str = "doc_id",
+    docs: DataFrame, clauses: DataFrame | None = None, findings: DataFrame | None = None,
+    candidates: DataFrame | None = None, warnings: DataFrame | None = None, doc: str = "doc_id",
 ) -> DataFrame:
     """One row per document: counts, sorted distinct warnings and the disposition.
 
-    Counts are aggregated on each side before the join, so only document-sized rows are shuffled.
-    ``docs`` needs ``passed`` and ``error_code``; ``warnings`` is (doc, warning).
+    ``docs`` needs ``passed`` and ``error_code``; counts it already carries are used as they are.
+    Other sides are aggregated before the join, so only document-sized rows are shuffled.
+    ``warnings`` is (doc, warning) and comes on top of a ``warnings`` array on ``docs``.
     """
-    out = docs.join(clauses.groupBy(doc).agg(F.count(F.lit(1)).alias("clause_count")), doc, "left")
-    out = out.join(findings.groupBy(doc).agg(F.count(F.lit(1)).alias("finding_count")), doc, "left")
-    if candidates is not None:
-        out = out.join(candidates.groupBy(doc).agg(F.count(F.lit(1)).alias("candidate_count")), doc, "left")
-    else:
-        out = out.withColumn("candidate_count", F.lit(0).cast("long"))
+    out = docs
+    for name, side in (("clause_count", clauses), ("finding_count", findings), ("candidate_count", candidates)):
+        if name in docs.columns:
+            continue
+        if side is None:
+            out = out.withColumn(name, F.lit(0).cast("long"))
+        else:
+            out = out.join(side.groupBy(doc).agg(F.count(F.lit(1)).alias(name)), doc, "left").withColumn(
+                name, F.coalesce(name, F.lit(0))
+            )
+    none = F.array().cast("array<string>")
+    own = F.coalesce("warnings", none) if "warnings" in docs.columns else none
     if warnings is not None:
-        out = out.join(warnings.groupBy(doc).agg(F.array_sort(F.collect_set("warning")).alias("warnings")), doc, "left")
-    else:
-        out = out.withColumn("warnings", F.lit(None).cast("array<string>"))
-    for c in ("clause_count", "finding_count", "candidate_count"):
-        out = out.withColumn(c, F.coalesce(c, F.lit(0)))
-    return out.withColumn("warnings", F.coalesce("warnings", F.array().cast("array<string>"))).withColumn(
+        out = out.join(warnings.groupBy(doc).agg(F.collect_set("warning").alias("_more")), doc, "left")
+        own = F.array_union(own, F.coalesce("_more", none))
+    out = out.withColumn("warnings", F.array_sort(own)).drop("_more")
+    return out.withColumn(
         "disposition",
-        disposition(F.col("passed"), F.col("error_code").isNotNull(), F.col("candidate_count"), F.col("finding_count")),
+        disposition(
+            F.col("passed"), F.col("error_code").isNotNull(), F.col("candidate_count"), F.col("finding_count")
+        ),
     )
 
 

@@ -398,7 +398,7 @@ def summary_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Headline and leading categories per document."""
     d = documents(spark, sf)
     f = screen.screen(review.clauses_of(review.masked_documents(d, LATIN), LATIN), LATIN_RULES)
-    s = summarize.summarize(d, f)
+    s = summarize.summarize(d.select("doc_id"), f)
     ok = summarize.valid_summary_lines(F.col("lines"))
     return s.select("doc_id", _join_top().alias("top_categories"), "headline", ok.alias("lines_ok"))
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactlens.constants import MASKING_FAILED_WARNING, MAX_CLAUSE_CHARS
+from pactlens.constants import MASKING_FAILED_WARNING
 from pactlens.operators import candidates as cand
 from pactlens.operators import masking, retrieve, screen, segment, summarize
 from pactlens.operators.prefix import keep_where
@@ -42,10 +42,21 @@ def masked_documents(docs: DataFrame, config: ReviewConfig) -> DataFrame:
     return masked.drop("text").withColumnRenamed("masked_text", "text")
 
 
-def clauses_of(masked: DataFrame, config: ReviewConfig) -> DataFrame:
-    """Analyzable clauses of the documents whose masking passed."""
+def outlined_documents(masked: DataFrame, config: ReviewConfig) -> DataFrame:
+    """Masked documents with their section plan; a failed masking counts no clauses."""
+    plan = segment.outline(masked, pack=config.sections)
+    return plan.withColumn("clause_count", F.when(F.col("passed"), F.col("clause_count")).otherwise(F.lit(0)))
+
+
+def clauses_of(masked: DataFrame, config: ReviewConfig, drop_failed: bool = False) -> DataFrame:
+    """Analyzable clauses of the documents whose masking passed.
+
+    With ``drop_failed``, one bad clause also stops its document, as in the full review.
+    """
     # Masking decides first: a failed document never reaches a rule.
-    safe = keep_where(masked, F.col("passed")).select("doc_id", "text")
+    planned = outlined_documents(masked, config) if "parts" not in masked.columns else masked
+    ok = F.col("passed") & F.col("error_code").isNull() if drop_failed else F.col("passed")
+    safe = keep_where(planned, ok).select("doc_id", "text", "parts")
     return segment.analyzable(segment.segment(safe, pack=config.sections))
 
 
@@ -60,11 +71,8 @@ def run_review(
     prototypes: tuple[DataFrame, DataFrame] | None = None, cards: DataFrame | None = None, encoder=None,
 ) -> Review:
     """Review ``docs`` (doc_id, text). Retrieval, candidates and the gate run when their tables are given."""
-    masked = masked_documents(docs, config)
-    all_clauses = clauses_of(masked, config)
-    # One bad clause stops its document: it gets an error code instead of findings.
-    bad = segment.failed_documents(all_clauses, MAX_CLAUSE_CHARS)
-    clauses = all_clauses.join(bad.select("doc_id"), "doc_id", "left_anti")
+    masked = outlined_documents(masked_documents(docs, config), config)
+    clauses = clauses_of(masked, config, drop_failed=True)
     findings = findings_of(clauses, config)
     if index is not None:
         keyed = clauses.withColumn("query_id", F.concat_ws("#", "doc_id", "clause_ord"))
@@ -84,10 +92,9 @@ def run_review(
                 "text", F.col("segment_text")
             )
             chosen = cand.gate(cand.search_cards(named, cards, encoder=encoder), named).filter("kept")
-    blocked = keep_where(masked, ~F.col("passed")).select("doc_id", F.lit(MASKING_FAILED_WARNING).alias("warning"))
-    warned = blocked.unionByName(bad.select("doc_id", F.col("error_code").alias("warning")))
-    states = masked.select("doc_id", "passed", "detected_types", "replacement_count").join(bad, "doc_id", "left")
-    results = summarize.rollup(states, all_clauses, findings, chosen, warned)
-    lines = summarize.summarize(masked.select("doc_id"), findings, chosen)
-    results = results.join(lines.select("doc_id", "top_categories", "headline", "lines"), "doc_id")
+    notes = F.array_compact(F.array(F.when(~F.col("passed"), F.lit(MASKING_FAILED_WARNING)), F.col("error_code")))
+    states = masked.select(
+        "doc_id", "passed", "detected_types", "replacement_count", "clause_count", "error_code", notes.alias("warnings")
+    )
+    results = summarize.rollup(summarize.summarize(states, findings, chosen))
     return Review(masked, clauses, findings, chosen, results)
