@@ -84,7 +84,7 @@ def nearest(
         F.explode(F.sequence(F.lit(0), F.lit(i_blocks - 1))).alias("ib"), "query_id", body,
     )
     i = index.select(
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("long").alias("qb"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("qb"),
         F.pmod(F.xxhash64("item_id"), F.lit(i_blocks)).cast("int").alias("ib"), "item_id", "grp", body,
     )
 
