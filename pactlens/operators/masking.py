@@ -120,20 +120,35 @@ def mask_pages(
     n_first = F.when(
         _triggers(F.col("masked_text"))[first.needs], F.regexp_count("masked_text", F.lit(first.regex))
     ).otherwise(F.lit(0))
-    step1 = running_offsets(raw.withColumn("_first", n_first), [doc], page, ["_first"])
-    step1 = apply_patterns(step1, "masked_text", [first], {first.pii_type: F.col("_first_before")})
-    counted = apply_patterns(step1.withColumn("_probe", F.col("masked_text")), "_probe", rest)
-    names = [_count(p.pii_type) for p in rest]
-    renamed = counted.drop("_probe", "_first", "_first_before")
-    step2 = running_offsets(renamed, [doc], page, names)
-    final = apply_patterns(
-        step2.drop(*names), "masked_text", rest, {p.pii_type: F.col(f"{_count(p.pii_type)}_before") for p in rest}
-    )
+    started = _with_offsets(raw, raw.select(doc, page, n_first.alias(_count(first.pii_type))), doc, page, [first])
+    named = apply_patterns(started, "masked_text", [first], _offset_columns([first])).drop(*_offset_names([first]))
+    counts = apply_patterns(named, "masked_text", rest).select(doc, page, *[_count(p.pii_type) for p in rest])
+    placed = _with_offsets(named, counts, doc, page, rest)
+    final = apply_patterns(placed, "masked_text", rest, _offset_columns(rest))
     final = final.withColumn("replacement_count", _totals(patterns))
     passed = F.when(F.col("replacement_count") == 0, F.lit(True)).otherwise(
         ~residual(F.col("masked_text"), patterns)
     )
-    return final.withColumn("passed", passed).drop(*[f"{n}_before" for n in names])
+    return final.withColumn("passed", passed).drop(*_offset_names(rest))
+
+
+def _offset_names(patterns: Sequence[PiiPattern]) -> list[str]:
+    return [f"{_count(p.pii_type)}_before" for p in patterns]
+
+
+def _offset_columns(patterns: Sequence[PiiPattern]) -> dict[str, Column]:
+    return {p.pii_type: F.coalesce(F.col(n), F.lit(0)) for p, n in zip(patterns, _offset_names(patterns))}
+
+
+def _with_offsets(
+    pages: DataFrame, counts: DataFrame, doc: str, page: str, patterns: Sequence[PiiPattern]
+) -> DataFrame:
+    """Join the number each page starts from. Only counts travel through the prefix sums, and only
+    pages that have something to number take part in the join, so texts are not sorted by document."""
+    names = [_count(p.pii_type) for p in patterns]
+    offsets = running_offsets(counts, [doc], page, names)
+    busy = offsets.filter(reduce(lambda a, b: a + b, [F.col(n) for n in names]) > 0)
+    return pages.join(busy.select(doc, page, *_offset_names(patterns)), [doc, page], "left")
 
 
 def page_profile(masked_pages: DataFrame, doc: str = "doc_id", page: str = "page_no",

@@ -87,18 +87,19 @@ def validate_context(
 def budget_batches(
     clauses: DataFrame, max_chars: int = CONTEXT_BUDGET, max_calls: int = 1, doc: str = "doc_id", order: str = "clause_ord"
 ) -> DataFrame:
-    """Clauses of the first call per document: (doc, order, batch_no), and those left out with NULL.
+    """Clauses of the first call per document: (doc, order, chars, batch_no); NULL marks those left out.
 
     One call is the product case: the clauses whose running length stays within the budget. Clauses
     over the budget on their own are skipped and do not count.
     """
     if max_calls not in (0, 1):
         raise ValueError("at most one call per document")
-    sized = clauses.withColumn("_len", F.length("text").cast("long"))
-    fits = F.col("_len") <= max_chars
-    run = running_offsets(sized.withColumn("_use", F.when(fits, F.col("_len")).otherwise(0)), [doc], order, ["_use"])
-    inside = fits & (F.col("_use_before") + F.col("_len") <= max_chars) & F.lit(max_calls == 1)
-    return run.withColumn("batch_no", F.when(inside, F.lit(1))).drop("_len", "_use", "_use_before")
+    # Only lengths travel; the texts stay where they are.
+    sized = clauses.select(doc, order, F.length("text").cast("long").alias("chars"))
+    fits = F.col("chars") <= max_chars
+    run = running_offsets(sized.withColumn("_use", F.when(fits, F.col("chars")).otherwise(0)), [doc], order, ["_use"])
+    inside = fits & (F.col("_use_before") + F.col("chars") <= max_chars) & F.lit(max_calls == 1)
+    return run.withColumn("batch_no", F.when(inside, F.lit(1))).drop("_use", "_use_before")
 
 
 def batch_summary(batched: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -106,7 +107,7 @@ def batch_summary(batched: DataFrame, doc: str = "doc_id") -> DataFrame:
     sent = F.col("batch_no").isNotNull()
     return batched.groupBy(doc).agg(
         F.count_if(sent).alias("sent_clauses"),
-        F.coalesce(F.sum(F.when(sent, F.length("text"))), F.lit(0)).cast("long").alias("sent_chars"),
+        F.coalesce(F.sum(F.when(sent, F.col("chars"))), F.lit(0)).cast("long").alias("sent_chars"),
         F.bool_or(~sent).alias("truncated"),
     )
 

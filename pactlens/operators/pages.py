@@ -58,10 +58,10 @@ def page_ranges(
     pages: DataFrame, doc: str = "doc_id", page: str = "page_no", text: str = "text"
 ) -> DataFrame:
     """Offsets of each page in the newline-joined document."""
-    sized = pages.select(doc, page, F.length(text).alias("_len"), (F.length(text) + 1).alias("_step"))
-    placed = running_offsets(sized, [doc], page, ["_step"])
-    return placed.select(
-        doc, page, F.col("_step_before").alias("char_start"), (F.col("_step_before") + F.col("_len")).alias("char_end")
+    sized = pages.select(doc, page, (F.length(text) + 1).alias("_step"))
+    start = F.col("_step_before")
+    return running_offsets(sized, [doc], page, ["_step"]).select(
+        doc, page, start.alias("char_start"), (start + F.col("_step") - 1).alias("char_end")
     )
 
 

@@ -16,13 +16,20 @@ def running_offsets(
 ) -> DataFrame:
     """Add ``<value>_before``: the sum of ``value`` over earlier rows of the same key.
 
-    A two-level prefix sum. Rows are blocked by ``order div block``; block totals are summed with
-    map-side combine, their small prefix is joined back, and only rows of one block meet in one
-    window. No task ever holds a whole hot key. ``order`` must be a non-negative integer column.
+    A two-level prefix sum. Rows are blocked by ``order div block``; block totals get a small prefix
+    sum of their own, which is joined back, and only rows of one block meet in one window. No task
+    ever holds a whole hot key. ``order`` must be a non-negative integer column; pass narrow rows.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(order) / block))
-    totals = blocked.groupBy(*keys, "_block").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    # Rows need a key and a place. Stating it here keeps both uses of the exchange identical, so the
+    # input is computed and shuffled once.
+    placed = df.withColumn("_block", F.floor(F.col(order) / block))
+    for c in [*keys, "_block"]:
+        placed = placed.filter(F.col(c).isNotNull())
+    blocked = placed.repartition(*keys, "_block")
+    totals = blocked.groupBy(*keys, "_block").agg(
+        F.min(order).alias("_lo"), *[F.sum(v).alias(f"_t_{v}") for v in values]
+    )
+    before = W.partitionBy(*keys).orderBy("_lo").rowsBetween(W.unboundedPreceding, -1)
     base = totals.select(
         *keys, "_block", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_b_{v}") for v in values]
     )

@@ -141,8 +141,8 @@ def owned_previews(spark: SparkSession, sf: str) -> DataFrame:
     """Preview requests that a live document's result owns."""
     l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")  # noqa: E741
     pid = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    results = l.groupBy("l_orderkey").agg(F.collect_set(pid).alias("preview_ids")).select(
-        F.col("l_orderkey").alias("analysis_id"), F.col("l_orderkey").alias("document_id"), "preview_ids"
+    results = l.select(
+        F.col("l_orderkey").alias("analysis_id"), F.col("l_orderkey").alias("document_id"), F.array(pid).alias("preview_ids")
     )
     requests = l.select(F.col("l_orderkey").alias("analysis_id"), (pid + F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("preview_id"))
     live = lc.live(_orders(spark, sf)).select(F.col("id").alias("document_id"))
