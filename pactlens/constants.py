@@ -82,9 +82,9 @@ ROUTING_ROLES = [
     ("adjudicator", "deep", 14000, 1),
 ]
 ROUTING_TIERS = [
-    ("fast", "ANTHROPIC_FAST_MODEL", 700),
-    ("balanced", "ANTHROPIC_BALANCED_MODEL", 1600),
-    ("deep", "ANTHROPIC_DEEP_MODEL", 2400),
+    ("fast", "fast_model", 700),
+    ("balanced", "balanced_model", 1600),
+    ("deep", "deep_model", 2400),
 ]
 
 # Names of the customer rights that the rights-restriction rule can detect.
