@@ -11,6 +11,9 @@ from pactlens.operators.prefix import running_offsets, salted_join, top_rows
 
 BIN = 4096
 
+# Every character or pair that ends a line.
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
 
 def clean_page(text: Column) -> Column:
     """Remove NUL characters and surrounding whitespace."""
@@ -124,7 +127,7 @@ def page_fragments(
 
 def margin_lines(pages: DataFrame, doc: str, page: str, text: str, edge: int = MARGIN_LINES) -> DataFrame:
     """The first and last ``edge`` lines of each page with their comparable key."""
-    lines = pages.select(doc, page, F.split(text, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]", -1).alias("_l"))
+    lines = pages.select(doc, page, F.split(text, LINE_BREAK, -1).alias("_l"))
     # A trailing line break does not open another line.
     lines = lines.withColumn(
         "_l", F.when(F.element_at("_l", -1) == "", F.slice("_l", F.lit(1), F.size("_l") - 1)).otherwise(F.col("_l"))
@@ -167,7 +170,7 @@ def remove_margins(
         salted_join(margin_lines(pages, doc, page, text, edge), repeated, [doc, "line_key"], "left_semi", [page])
         .groupBy(doc, page).agg(F.collect_set("line_no").alias("_drop"))
     )
-    lines = F.split(F.col(text), "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]", -1)
+    lines = F.split(F.col(text), LINE_BREAK, -1)
     kept = F.filter(
         F.transform(lines, lambda v, i: F.struct(v.alias("v"), (i + 1).alias("i"))),
         lambda s: F.col("_drop").isNull() | ~F.array_contains("_drop", s["i"]),
