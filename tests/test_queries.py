@@ -24,7 +24,9 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLES)
+    from pactlens.plans import registry
+
+    assert set(registry.QUERIES) == set(registry.ORACLES)
 
 
 def test_entry_has_rows(spark):
