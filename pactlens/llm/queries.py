@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlens.llm import exact_dedup, mixing
+from pactlens.llm import exact_dedup, line_dedup, mixing, token_counts
+
+
+TOKENIZER = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -31,8 +34,21 @@ def op6_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(graded).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op8_exact_dedup": op8_exact_dedup, "op6_mix_sources": op6_mix_sources}
+def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines before, lines dropped and the kept text's fingerprint of every document."""
+    out = line_dedup.drop_frequent_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.encode(F.coalesce("_doc.text", F.lit("")), "UTF-8"), 256)
+    return out.select("_doc.doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
+
+
+def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return token_counts.count_tokens(table(spark, sf, "documents"), token_counts.tokenizer_path(TOKENIZER))
+
+
+QUERIES = {"op4_token_counts": op4_token_counts, "op9_line_dedup": op9_line_dedup, "op8_exact_dedup": op8_exact_dedup, "op6_mix_sources": op6_mix_sources}
 
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
 ORACLES = {
@@ -41,4 +57,13 @@ ORACLES = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
+    "op9_line_dedup": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        l AS (SELECT r, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
+        k AS (SELECT r, i, line, translate(trim(line, {_BLANK}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM l),
+        f AS (SELECT k FROM k WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10),
+        m AS (SELECT k.*, f.k IS NOT NULL AS hit FROM k LEFT JOIN f USING (k)),
+        s AS (SELECT r, count(*) AS n_lines, count(*) FILTER (hit) AS n_dropped,
+                     coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT hit), '') AS t FROM m GROUP BY r)
+        SELECT doc_id, n_lines, n_dropped, sha256(t) AS kept_sha256 FROM d JOIN s USING (r)""",
 }
