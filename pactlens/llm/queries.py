@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlens.llm import exact_dedup, line_dedup, mixing, token_counts
+from pactlens.llm import exact_dedup, line_dedup, mixing, simhash, token_counts
 
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -46,7 +46,15 @@ def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf, "documents"), token_counts.tokenizer_path(TOKENIZER))
 
 
-QUERIES = {"op4_token_counts": op4_token_counts, "op9_line_dedup": op9_line_dedup, "op8_exact_dedup": op8_exact_dedup, "op6_mix_sources": op6_mix_sources}
+def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprint and near-copy group of every document."""
+    out = simhash.near_groups(table(spark, sf, "documents"))
+    return out.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {
+    "op5_simhash": op5_simhash,
+    "op4_token_counts": op4_token_counts, "op9_line_dedup": op9_line_dedup, "op8_exact_dedup": op8_exact_dedup, "op6_mix_sources": op6_mix_sources}
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
