@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlens.llm import exact_dedup, line_dedup, mixing, simhash, token_counts
+from pactlens.llm import exact_dedup, line_dedup, lm_score, mixing, simhash, token_counts
 
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -52,7 +52,13 @@ def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Log-probabilities of every text under a model of four fifths of them."""
+    return lm_score.score(table(spark, sf, "documents"))
+
+
 QUERIES = {
+    "op3_lm_score": op3_lm_score,
     "op5_simhash": op5_simhash,
     "op4_token_counts": op4_token_counts, "op9_line_dedup": op9_line_dedup, "op8_exact_dedup": op8_exact_dedup, "op6_mix_sources": op6_mix_sources}
 
