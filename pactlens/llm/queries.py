@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlens.llm import exact_dedup, line_dedup, lm_score, mixing, simhash, token_counts
+from pactlens.llm import exact_dedup, line_dedup, lm_score, mixing, simhash, suffix_dedup, token_counts
 
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -57,7 +57,13 @@ def op3_lm_score(spark: SparkSession, sf: str) -> DataFrame:
     return lm_score.score(table(spark, sf, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes and spans removed from every document, and the fingerprint of the rest."""
+    return suffix_dedup.remove_repeats(table(spark, sf, "documents")).drop("spans")
+
+
 QUERIES = {
+    "op10_suffix_dedup": op10_suffix_dedup,
     "op3_lm_score": op3_lm_score,
     "op5_simhash": op5_simhash,
     "op4_token_counts": op4_token_counts, "op9_line_dedup": op9_line_dedup, "op8_exact_dedup": op8_exact_dedup, "op6_mix_sources": op6_mix_sources}
