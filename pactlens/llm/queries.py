@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlens.llm import exact_dedup, line_dedup, lm_score, mixing, simhash, suffix_dedup, token_counts
+from pactlens.llm import exact_dedup, line_dedup, lm_score, mixing, quality, simhash, suffix_dedup, token_counts
 
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -62,7 +62,19 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf, "documents")).drop("spans")
 
 
+def trusted(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents labelled good and not toxic."""
+    return table(spark, sf, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
+
+
+def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Perplexity of every document and whether it stays."""
+    out = quality.classify(table(spark, sf, "documents").select("doc_id", "text", "lang"), trusted(spark, sf))
+    return out.select("_doc.doc_id", "_doc.lang", "n_tokens", "perplexity", "threshold", "kept")
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op3_lm_score": op3_lm_score,
     "op5_simhash": op5_simhash,
