@@ -170,7 +170,7 @@ def score(docs: DataFrame, mass: Sequence[float] = MASS, chunk_bytes: int = CHUN
     size = docs.agg(F.sum(F.octet_length(whole_text()) + 64)).first()[0] or 0
     chunks = int(size // chunk_bytes) + 1
     dealt = docs.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), "doc_id", train_rows(F.col("doc_id")).alias("train"),
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), F.col("doc_id").cast("string").alias("doc_id"), train_rows(F.col("doc_id")).alias("train"),
         whole_text().alias("text"),
     )
     asked = dealt.groupBy("chunk").applyInPandas(_chunk_counts(len(mass) + 1), "key long, n long, token boolean, chunk long")
@@ -179,6 +179,7 @@ def score(docs: DataFrame, mass: Sequence[float] = MASS, chunk_bytes: int = CHUN
     answers = save(met.filter("total <> n OR (token AND total > 0)").select("chunk", "key", "total", "token", "first"), f"{folder}/answers")
     total = answers.filter("token AND first").agg(F.sum("total"), F.count(F.lit(1)), F.count(F.when(F.col("total") == 1, 1))).first()
     totals = tuple(int(x or 0) for x in total)
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     back = answers.select("chunk", "key", "total").groupBy("chunk")
-    return dealt.groupBy("chunk").cogroup(back).applyInPandas(_chunk_scores(totals, mass), schema)
+    out = dealt.groupBy("chunk").cogroup(back).applyInPandas(_chunk_scores(totals, mass), schema)
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))  # as text above: pandas has no integer column with nulls

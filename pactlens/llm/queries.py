@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlens.llm import exact_dedup, line_dedup, lm_score, mixing, quality, simhash, suffix_dedup, token_counts
+from pactlens.llm import decontaminate, exact_dedup, line_dedup, lm_score, mixing, quality, sentence_dedup, simhash, suffix_dedup, token_counts
 
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -73,7 +73,21 @@ def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("_doc.doc_id", "_doc.lang", "n_tokens", "perplexity", "threshold", "kept")
 
 
+def op2_sentence_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences removed from every document as parts of repeated passages."""
+    out = sentence_dedup.remove_spans(table(spark, sf, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.encode(F.coalesce("_doc.text", F.lit("")), "UTF-8"), 256)
+    return out.select("_doc.doc_id", "n_sentences", "n_removed", kept.alias("kept_sha256"))
+
+
+def op7_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with the benchmark items that they hold."""
+    return decontaminate.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 QUERIES = {
+    "op2_sentence_dedup": op2_sentence_dedup,
+    "op7_decontaminate": op7_decontaminate,
     "op1_quality": op1_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op3_lm_score": op3_lm_score,

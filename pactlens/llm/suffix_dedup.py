@@ -275,8 +275,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
                 row = (doc_id, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in spans])
                 out.append((*row, kept) if with_kept else row)
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"] + ["kept"] * with_kept
-            result = pd.DataFrame(out, columns=names)
-            yield result.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=names)
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
-    return rows.join(marks, "_row", "left").select("doc_id", "text", "ats").mapInPandas(apply, schema + ", kept binary" * with_kept)
+    # Ids travel as text: pandas has no integer column with nulls.
+    schema = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
+    named = rows.join(marks, "_row", "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "ats")
+    out = named.mapInPandas(apply, schema + ", kept binary" * with_kept)
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
