@@ -26,12 +26,13 @@ SEED = 42
 LEADER_ROUNDS = 2
 STRIDE = 1 << 16  # shingles whose bits are counted at a time
 
-_GOLDEN, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+_GOLDEN = 0x9E3779B97F4A7C15
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def _remix(h: np.ndarray, lane: int) -> np.ndarray:
     """Further 64 bits from a hash (the finaliser of splitmix64)."""
-    x = h + _GOLDEN * np.uint64(lane)
+    x = h + np.uint64(_GOLDEN * lane % (1 << 64))
     x = (x ^ (x >> np.uint64(30))) * _M1
     x = (x ^ (x >> np.uint64(27))) * _M2
     return x ^ (x >> np.uint64(31))
