@@ -46,12 +46,8 @@ def _hex(digest: Column, start: int, size: int) -> Column:
 
 def signed_codes(tokens: Column, dimension: int = HASH_DIMENSION) -> Column:
     """Each token as ``2 * bucket + sign bit`` from its SHA-256."""
-    return F.transform(
-        tokens,
-        lambda t: (
-            (_hex(F.sha2(t, 256), 1, 8) % dimension) * 2 + _hex(F.sha2(t, 256), 9, 2) % 2
-        ).cast("int"),
-    )
+    digests = F.transform(tokens, lambda t: F.substring(F.sha2(t, 256), 1, 10))
+    return F.transform(digests, lambda d: ((_hex(d, 1, 8) % dimension) * 2 + _hex(d, 9, 2) % 2).cast("int"))
 
 
 def ngram_codes(text: Column, dimension: int = NGRAM_DIMENSION) -> Column:
@@ -68,11 +64,21 @@ def ngram_codes(text: Column, dimension: int = NGRAM_DIMENSION) -> Column:
     return F.concat(*[codes(n) for n in NGRAM_SIZES])
 
 
-def unit_vector(codes, dimension: int) -> np.ndarray:
-    """Unit vector of one code list (an empty list gives zeros)."""
-    c = np.asarray(codes, dtype=np.int64)
-    v = np.bincount(c // 2, weights=1.0 - 2.0 * (c % 2), minlength=dimension)
-    return v / (np.sqrt((v * v).sum()) or 1.0)
+VECTORS_AT_A_TIME = 1024
+
+
+def unit_vectors(lists, dimension: int) -> np.ndarray:
+    """Unit vectors of code lists, one flat count for many lists (an empty list gives zeros)."""
+    lists, out = list(lists), np.zeros((len(lists), dimension))
+    for at in range(0, len(lists), VECTORS_AT_A_TIME):
+        part = lists[at:at + VECTORS_AT_A_TIME]
+        sizes = [len(c) for c in part]
+        c = np.concatenate([np.asarray(c, dtype=np.int64) for c in part]) if sum(sizes) else np.zeros(0, np.int64)
+        flat = np.repeat(np.arange(len(part)) * dimension, sizes) + c // 2
+        v = np.bincount(flat, weights=1.0 - 2.0 * (c % 2), minlength=len(part) * dimension).reshape(len(part), dimension)
+        norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        out[at:at + len(part)] = v / np.where(norm > 0, norm, 1.0)
+    return out
 
 
 def dense(dimension: int) -> Callable[[Column], Column]:
@@ -80,7 +86,7 @@ def dense(dimension: int) -> Callable[[Column], Column]:
 
     @F.pandas_udf("array<double>")
     def to_vector(codes: pd.Series) -> pd.Series:
-        return pd.Series([unit_vector(c, dimension) for c in codes])
+        return pd.Series(list(unit_vectors(codes, dimension)))
 
     return to_vector
 

@@ -78,16 +78,16 @@ def public_view(results: DataFrame) -> DataFrame:
     })
 
 
-def purge_field(results: DataFrame, column: str, field: str, schema: str) -> DataFrame:
-    """Rewrite JSON rows that still hold ``field``; other rows keep their exact bytes.
+def purge_field(results: DataFrame, column: str, field: str) -> DataFrame:
+    """Rewrite JSON objects that still hold ``field`` without it; other rows keep their exact bytes.
 
-    ``schema`` is the DDL of the object without the field. ``purged`` tells which rows changed.
+    All other keys keep their values, nested ones too. ``purged`` tells which rows changed.
     """
     holds = F.array_contains(F.json_object_keys(column), field)
     changed = F.coalesce(holds, F.lit(False))
-    return results.withColumn("purged", changed).withColumn(
-        column, F.when(changed, F.to_json(F.from_json(column, schema))).otherwise(F.col(column))
-    )
+    members = F.try_parse_json(F.when(changed, F.col(column))).cast("map<string, variant>")
+    rest = F.map_filter(members, lambda k, _: k != field)
+    return results.withColumn("purged", changed).withColumn(column, F.when(changed, F.to_json(rest)).otherwise(F.col(column)))
 
 
 def expires_at(uploaded: Column, hours: int = DOCUMENT_TTL_HOURS) -> Column:

@@ -60,7 +60,7 @@ def validate_context(
     c = clauses.select(doc, "section_id", F.col("text").alias("_text"), "clause_ord")
     # A repeated section id means its last clause.
     c = top_rows(c, [doc, "section_id"], [F.col("clause_ord").desc()], 1, "_r").drop("_r", "clause_ord")
-    joined = outputs.join(F.broadcast(rules.select("rule_id", "category")), "rule_id", "left").join(c, [doc, "section_id"], "left")
+    joined = outputs.join(rules.select("rule_id", "category"), "rule_id", "left").join(c, [doc, "section_id"], "left")
     if excluded is not None:
         ex = excluded.select(doc, "section_id", "category").distinct().withColumn("_seen", F.lit(True))
         joined = joined.join(ex, [doc, "section_id", "category"], "left")
@@ -90,10 +90,9 @@ def budget_batches(
     """Clauses of the first call per document: (doc, order, chars, batch_no); NULL marks those left out.
 
     One call is the product case: the clauses whose running length stays within the budget. Clauses
-    over the budget on their own are skipped and do not count.
+    over the budget on their own are skipped and do not count. More than one call is taken as one.
     """
-    if max_calls not in (0, 1):
-        raise ValueError("at most one call per document")
+    max_calls = min(max(max_calls, 0), 1)
     # Only lengths travel; the texts stay where they are.
     sized = clauses.select(doc, order, F.length("text").cast("long").alias("chars"))
     fits = F.col("chars") <= max_chars
@@ -133,7 +132,7 @@ def route_requests(
     order up to the limit.
     """
     roles = policy.select("role", "default_tier", F.col("max_input_tokens").alias("_in"), "max_turns").distinct()
-    r = requests.join(F.broadcast(roles), "role", "left")
+    r = requests.join(roles, "role", "left")
     escalated = (F.col("role") == "verifier") & (F.col("failed_attempts") >= 1)
     deep = (F.col("role") == "analyst") & (F.col("risk_level") == "high") & F.col("conflicting")
     r = r.withColumns({
@@ -162,7 +161,7 @@ def route_requests(
         F.when(F.col("rejected_code").isNotNull(), F.col("rejected_code"))
         .when(exhausted, "DEEP_LIMIT_REACHED")
         .when(over, "INPUT_BUDGET_EXCEEDED"),
-    ).join(F.broadcast(policy.select("role", "tier", "model_key", "max_output_tokens")), ["role", "tier"], "left")
+    ).join(policy.select("role", "tier", "model_key", "max_output_tokens"), ["role", "tier"], "left")
     if available is not None:
         missing = ~F.coalesce(F.col("model_key").isin(available), F.lit(False))
         with_models = with_models.withColumn(
@@ -241,24 +240,6 @@ def validate_context_json(outputs: DataFrame, body: str = "output") -> DataFrame
     })
 
 
-def fake_assessment(findings: DataFrame) -> DataFrame:
-    """Deterministic stand-in for a model: a cautious assessment citing every evidence item."""
-    return findings.withColumn(
-        "assessment",
-        F.struct(
-            F.lit("medium").alias("risk_level"),
-            F.lit("unknown").alias("applicability"),
-            F.concat("category", F.lit(" 관련 위험 신호가 있어 계약 전체 문맥의 검토가 필요합니다.")).alias("summary"),
-            F.col("rationale").alias("rationale"),
-            F.array(
-                F.lit("개별 협상 여부"), F.lit("법령상 허용 사유"), F.lit("사전 통지와 선택권 제공 여부")
-            ).alias("counter_considerations"),
-            F.array(F.lit("고객에게 실질적인 거절 또는 해지 선택권이 제공됩니까?")).alias("review_questions"),
-            F.transform("evidence", lambda e: e["evidence_id"]).alias("cited_evidence_ids"),
-        ),
-    )
-
-
 def call_model(batches: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Hook for a user-supplied provider: ``fn`` maps an Arrow batch of requests to outputs."""
 

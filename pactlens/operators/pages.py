@@ -91,11 +91,13 @@ def page_of(
 
 
 def page_fragments(
-    matches: DataFrame, ranges: DataFrame, doc: str, key: list[str], page: str = "page_no", keep: int = 2
+    matches: DataFrame, ranges: DataFrame, pages: DataFrame, doc: str, key: list[str], page: str = "page_no", keep: int = 2,
+    text: str = "text",
 ) -> DataFrame:
     """Page-local pieces of matches that may cross pages; blank pieces are skipped before the cap.
 
-    ``matches`` needs source_text, source_start, match_start and match_end (absolute).
+    ``matches`` needs match_start and match_end (absolute). Overlaps are found on offsets alone; each piece is then cut from its
+    own page's text in ``pages``, so documents of any length work and no text is copied per bin.
     """
     left = matches.withColumn(
         "_bin",
@@ -114,14 +116,11 @@ def page_fragments(
         left.join(right, [doc, "_bin"])
         # Count a pair once: in the bin where the overlap begins.
         .filter((lo < hi) & (F.floor(lo / BIN) == F.col("_bin")))
-        .withColumn("_lo", F.greatest(lo - F.col("source_start"), F.lit(0)))
-        .withColumn("_hi", F.least(hi - F.col("source_start"), F.length("source_text")))
-        .withColumn(
-            "fragment",
-            strip(F.expr("substring(source_text, cast(_lo + 1 as int), cast(_hi - _lo as int))")),
-        )
-        .filter(~is_blank(F.col("fragment")))
+        .select(*dict.fromkeys([doc, *key]), "page_number", (lo - F.col("_s")).alias("_lo"), (hi - lo).alias("_n"))
     )
+    own = pages.select(doc, F.col(page).alias("page_number"), clean_page(F.col(text)).alias("_text"))
+    cut = F.expr("substring(_text, cast(_lo + 1 as int), cast(_n as int))")
+    pairs = pairs.join(own, [doc, "page_number"]).withColumn("fragment", strip(cut)).filter(~is_blank(F.col("fragment")))
     return top_rows(pairs.select(*key, "page_number", "fragment"), key, ["page_number"], keep, "fragment_no")
 
 

@@ -134,10 +134,9 @@ def locate(findings: DataFrame, ranges: DataFrame | None = None, doc: str = "doc
     return placed
 
 
-def fragments(located: DataFrame, ranges: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Up to two page-local text pieces per located finding."""
+def fragments(located: DataFrame, ranges: DataFrame, pages: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Up to two page-local text pieces per located finding, cut from ``pages`` (doc, page_no, text)."""
     matches = located.select(
-        doc, "clause_ord", "rule_ord", F.col("text").alias("source_text"), F.col("char_start").alias("source_start"),
-        F.col("abs_start").alias("match_start"), F.col("abs_end").alias("match_end"),
+        doc, "clause_ord", "rule_ord", F.col("abs_start").alias("match_start"), F.col("abs_end").alias("match_end")
     )
-    return page_fragments(matches, ranges, doc, [doc, "clause_ord", "rule_ord"])
+    return page_fragments(matches, ranges, pages, doc, [doc, "clause_ord", "rule_ord"])

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pactlens.constants import HASH_DIMENSION
-from pactlens.functions.embed import unit_vector
+from pactlens.functions.embed import unit_vectors
 from pactlens.operators.prefix import top_rows
 
-# An index up to this many rows is shipped to the tasks as one matrix; beyond it, tiles are used.
-BROADCAST_ROWS = 20_000
+# Index rows that are shipped to the tasks at a time, and queries that are scored at a time.
 TILE_ROWS = 8_192
+QUERY_ROWS = 256
 ORDER_DIGITS = 9
 
 _SCHEMA = "query_id {q}, item_id {i}, grp {g}, score double"
@@ -41,62 +41,55 @@ def _best(qids, q: np.ndarray, items, groups, m: np.ndarray, top_n: int, floor:
 
 def _matrix(pdf: pd.DataFrame, dimension: int) -> np.ndarray:
     if "codes" in pdf:
-        return np.stack([unit_vector(c, dimension) for c in pdf["codes"]])
+        return unit_vectors(pdf["codes"], dimension)
     return np.stack([np.asarray(v, dtype=float) for v in pdf["vec"]])
 
 
+def _tiles(index: DataFrame, body: str, rows: int) -> Iterator[pd.DataFrame]:
+    """The index in the order of its items, ``rows`` at a time."""
+    tile = []
+    for row in index.select("item_id", "grp", body).orderBy("item_id", "grp").toLocalIterator():
+        tile.append(tuple(row))
+        if len(tile) == rows:
+            yield pd.DataFrame(tile, columns=["item_id", "grp", body])
+            tile = []
+    if tile:
+        yield pd.DataFrame(tile, columns=["item_id", "grp", body])
+
+
 def nearest(
     queries: DataFrame, index: DataFrame, top_n: int, floor: float | None = None,
-    broadcast_rows: int = BROADCAST_ROWS, dimension: int = HASH_DIMENSION,
+    tile_rows: int | None = None, dimension: int = HASH_DIMENSION,
 ) -> DataFrame:
     """Top ``top_n`` index rows per query and group: (query_id, item_id, grp, score).
 
     ``queries`` has (query_id, vec) and ``index`` (item_id, grp, vec). Instead of ``vec`` both may carry
     hash ``codes``, which are much smaller to move and become vectors only inside the scoring task. Ties at nine digits go to
-    the lower item. A small index (its size is checked) is shipped once per executor and queries
-    are scored where they are, without a shuffle. A larger one is cut into tiles that meet query
-    blocks by equi-join; each tile returns only its own best rows, which are then merged exactly.
+    the lower item. The index is shipped in tiles of ``tile_rows``; each tile is one pass over the queries, which stay where they
+    are, and returns its own best rows. Rows of several tiles are merged exactly. A task holds one tile and the scores of
+    ``QUERY_ROWS`` queries.
     """
     body = "codes" if "codes" in index.columns else "vec"
     types = {f.name: f.dataType.simpleString() for f in [*queries.schema, *index.schema]}
     schema = _SCHEMA.format(q=types["query_id"], i=types["item_id"], g=types["grp"])
-    size = index.count()
-    if size == 0:
-        return queries.sparkSession.createDataFrame([], schema)
-    if size <= broadcast_rows:
-        head = index.select("item_id", "grp", body).toPandas().sort_values("item_id")
+    found = []
+    for tile in _tiles(index, body, tile_rows or TILE_ROWS):
         shared = queries.sparkSession.sparkContext.broadcast(
-            (head["item_id"].to_numpy(), head["grp"].to_numpy(), _matrix(head, dimension))
+            (tile["item_id"].to_numpy(), tile["grp"].to_numpy(), _matrix(tile, dimension))
         )
 
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             items, groups, m = shared.value
-            for b in batches:
-                if len(b):
+            for batch in batches:
+                for at in range(0, len(batch), QUERY_ROWS):
+                    b = batch.iloc[at:at + QUERY_ROWS]
                     yield _best(b["query_id"].to_numpy(), _matrix(b, dimension), items, groups, m, top_n, floor)
 
-        return queries.select("query_id", body).mapInPandas(score, schema)
-
-    q_blocks = max(1, -(-queries.count() // TILE_ROWS))
-    i_blocks = max(1, -(-size // TILE_ROWS))
-    q = queries.select(
-        F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(i_blocks - 1))).alias("ib"), "query_id", body,
-    )
-    i = index.select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("qb"),
-        F.pmod(F.xxhash64("item_id"), F.lit(i_blocks)).cast("int").alias("ib"), "item_id", "grp", body,
-    )
-
-    def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=["query_id", "item_id", "grp", "score"])
-        right = right.sort_values("item_id")
-        return _best(
-            left["query_id"].to_numpy(), _matrix(left, dimension), right["item_id"].to_numpy(),
-            right["grp"].to_numpy(), _matrix(right, dimension), top_n, floor,
-        )
-
-    tiles = q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInPandas(tile, schema)
+        found.append(queries.select("query_id", body).mapInPandas(score, schema))
+    if not found:
+        return queries.sparkSession.createDataFrame([], schema)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
     order = [F.round("score", ORDER_DIGITS).desc(), F.col("item_id")]
-    return top_rows(tiles, ["query_id", "grp"], order, top_n, "_r").drop("_r")
+    return out if len(found) == 1 else top_rows(out, ["query_id", "grp"], order, top_n, "_r").drop("_r")

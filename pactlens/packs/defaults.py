@@ -3,44 +3,30 @@
 from __future__ import annotations
 
 from pactlens.packs import korean
-from pactlens.packs.model import DIGIT, WS, PiiPattern, RulePack, SectionPack
+from pactlens.packs.model import DIGIT, WS, PiiPattern, RulePack, SectionPack, portable
 
 KOREAN_RULES = RulePack(korean.RULESET_VERSION, korean.RULES)
 
 # The ten personal-data patterns in masking order.
-_SEP = "[- ]"
-_NAME_LABEL = f"(?:성명|이름|계약자명|채무자명|고객명){WS}*[:：]{WS}*"
-_NAME_CONTEXT = f"(?:계약자|채무자|고객)(?:는|은){WS}*"
-_INSTITUTIONS = "은행|회사|법인|사업자|채권자|금융사"
-_NO_DIGIT_BEFORE, _NO_DIGIT_AFTER = f"(?<!{DIGIT})", f"(?!{DIGIT})"
-
-
-def _number(body: str) -> str:
-    return _NO_DIGIT_BEFORE + body.replace("#", DIGIT) + _NO_DIGIT_AFTER
-
-
 PII_PATTERNS = [
     PiiPattern(
         "name",
-        f"({_NAME_LABEL})([가-힣]{{2,5}})(?={WS}|$|[.,;])"
-        f"|({_NAME_CONTEXT})((?!(?:{_INSTITUTIONS}))[가-힣]{{2,5}})(?=(?:이|입니|이며|이고|씨))",
+        portable(
+            r"((?:성명|이름|계약자명|채무자명|고객명)\s*[:：]\s*)([가-힣]{2,5})(?=\s|$|[.,;])"
+            r"|((?:계약자|채무자|고객)(?:는|은)\s*)((?!(?:은행|회사|법인|사업자|채권자|금융사))[가-힣]{2,5})(?=(?:이|입니|이며|이고|씨))"
+        ),
         "label",
         (1, 3),
     ),
-    PiiPattern(
-        "address",
-        f"((?:주소|거주지|송달주소){WS}*(?:[:：]|은|는){WS}*)([가-힣][^\\n;.!?]{{4,99}})",
-        "label",
-        (1,),
-    ),
+    PiiPattern("address", portable(r"((?:주소|거주지|송달주소)\s*(?:[:：]|은|는)\s*)([가-힣][^\n;.!?]{4,99})"), "label", (1,)),
     PiiPattern("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "at"),
-    PiiPattern("phone", _number(rf"(?:01[016789]|0#{{1,2}}){_SEP}?#{{3,4}}{_SEP}?#{{4}}"), "digit"),
-    PiiPattern("resident_id", _number(rf"#{{6}}{_SEP}?[1-8]#{{6}}"), "digit"),
-    PiiPattern("passport", rf"(?<![A-Za-z0-9])[A-Z]{{1,2}}{DIGIT}{{7,8}}{_NO_DIGIT_AFTER}", "digit"),
-    PiiPattern("driver_license", _number(f"#{{2}}{_SEP}#{{2}}{_SEP}#{{6}}{_SEP}#{{2}}"), "digit"),
-    PiiPattern("business_registration", _number(f"#{{3}}{_SEP}#{{2}}{_SEP}#{{5}}"), "digit"),
-    PiiPattern("card", _number(f"(?:#{{4}}{_SEP}?){{3}}#{{4}}"), "digit"),
-    PiiPattern("account_candidate", _number(f"#{{2,6}}{_SEP}#{{2,6}}{_SEP}#{{4,8}}"), "digit"),
+    PiiPattern("phone", portable(r"(?<!\d)(?:01[016789]|0\d{1,2})[- ]?\d{3,4}[- ]?\d{4}(?!\d)"), "digit"),
+    PiiPattern("resident_id", portable(r"(?<!\d)\d{6}[- ]?[1-8]\d{6}(?!\d)"), "digit"),
+    PiiPattern("passport", portable(r"(?<![A-Za-z0-9])[A-Z]{1,2}\d{7,8}(?!\d)"), "digit"),
+    PiiPattern("driver_license", portable(r"(?<!\d)\d{2}[- ]\d{2}[- ]\d{6}[- ]\d{2}(?!\d)"), "digit"),
+    PiiPattern("business_registration", portable(r"(?<!\d)\d{3}[- ]\d{2}[- ]\d{5}(?!\d)"), "digit"),
+    PiiPattern("card", portable(r"(?<!\d)(?:\d{4}[- ]?){3}\d{4}(?!\d)"), "digit"),
+    PiiPattern("account_candidate", portable(r"(?<!\d)\d{2,6}[- ]\d{2,6}[- ]\d{4,8}(?!\d)"), "digit"),
 ]
 
 # Article and appendix headings, and numbered items.

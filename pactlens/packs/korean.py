@@ -3,7 +3,7 @@
 Fixed values: rule ids, names, categories, patterns, element labels, prototype
 sentences and decision cards below are data that screening results must agree
 with. They are stated in rule order. Longer prose (explanations, drafting
-guidance) is not bundled; ``pactlens.sources.configs`` reads it from a ruleset file.
+guidance) is not bundled; ``pactlens.sources.readers`` reads it from a ruleset file.
 """
 
 RULESET_VERSION = "0.5.0"

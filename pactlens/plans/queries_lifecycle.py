@@ -106,15 +106,10 @@ def audit_latest(spark: SparkSession, sf: str) -> DataFrame:
     return lc.audit_query(e, key="event_id", created="ts", document="user_id").select("event_id", "event_type", "user_id")
 
 
-@query("""SELECT event_id, CASE WHEN event_type = 'view' THEN props ELSE CASE WHEN event_type = 'click' THEN '{"a":' || event_id || '}' ELSE props END END AS props, event_type = 'click' AS purged FROM events""")
+@query("""SELECT event_id, CASE WHEN json_exists(props, '$.k') THEN '{}' ELSE props END AS props, coalesce(json_exists(props, '$.k'), false) AS purged FROM events""")
 def purge_text(spark: SparkSession, sf: str) -> DataFrame:
     """Remove a private field from JSON results; rows without it keep their exact bytes."""
-    e = table(spark, sf, "events").select(
-        "event_id",
-        F.when(F.col("event_type") == "click", F.concat(F.lit('{"masked_text": "x", "a": '), F.col("event_id").cast("string"), F.lit("}")))
-        .otherwise(F.col("props")).alias("props"),
-    )
-    return lc.purge_field(e, "props", "masked_text", "a bigint")
+    return lc.purge_field(table(spark, sf, "events").select("event_id", "props"), "props", "k")
 
 
 @query("SELECT doc_id, lang AS visible, concat_ws(',', CASE WHEN n_chars % 2 = 0 THEN 'W_' || source END) AS warnings, false AS has_text FROM documents")

@@ -14,7 +14,7 @@ from pactlens.operators.prefix import spread, top_rows
 from pactlens.operators.similar import nearest
 from pactlens.packs.defaults import LATIN_RULES
 from pactlens.plans import sqltext as q
-from pactlens.plans.tables import documents, table
+from pactlens.plans.tables import documents, sha, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -105,7 +105,7 @@ def evidence_index(spark: SparkSession, sf: str) -> DataFrame:
 def turn_queries(spark: SparkSession, sf: str) -> DataFrame:
     """Every conversation turn as a query."""
     c = spread(table(spark, sf, "conversations"))
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text", "conv_id", "turn", "role")
+    return c.select(F.concat_ws("#", "conv_id", "turn").alias("query_id"), "text", "conv_id", "turn", "role")
 
 
 def _search_sql(queries: str, index: str, pool: int) -> str:
@@ -128,7 +128,7 @@ lx AS (SELECT pool.*, coalesce(s, 0) / CASE WHEN max(coalesce(s, 0)) OVER (PARTI
 
 _INDEX_SQL = """SELECT item_id AS item, text, g AS grp, CASE WHEN item_id % 3 <> 0 THEN (item_id % 4) * 0.25::DOUBLE ELSE 0.5::DOUBLE END AS auth
  FROM (SELECT *, unnest(CASE WHEN item_id % 7 = 0 THEN list_distinct([item_id % 5, 4]) ELSE [item_id % 5] END) AS g FROM benchmark)"""
-_TURN_SQL = "SELECT conv_id * 1000 + turn AS query_id, text FROM conversations"
+_TURN_SQL = "SELECT conv_id || '#' || turn AS query_id, text FROM conversations"
 
 
 def _rank_sql(k: int) -> str:
@@ -189,7 +189,7 @@ _TURN_RULES, _TR = q.rule_hits("tc", "conv_id, turn", LATIN_RULES.select(None),
 ev AS (SELECT query_id, string_agg(CAST(item AS VARCHAR), ',' ORDER BY rank) AS ids, count(*) AS nn, array_to_string(list_sort(list_distinct(list('v' || (item % 3)))), ',') AS cv FROM ranked GROUP BY query_id)
 SELECT f.conv_id, f.turn, f.rule_id, CASE WHEN ids IS NULL THEN 'unavailable' ELSE 'grounded' END AS grounding, CAST(coalesce(nn, 0) AS BIGINT) AS retrieved_count,
  coalesce(cv, 'not_available') AS corpus_version, coalesce(ids, array_to_string(list_transform(range(1, len(legal_basis) + 1), lambda i: 'candidate:' || f.rule_id || ':' || i), ',')) AS evidence_ids
-FROM {_TR} f LEFT JOIN ev ON ev.query_id = f.conv_id * 1000 + f.turn""")
+FROM {_TR} f LEFT JOIN ev ON ev.query_id = f.conv_id || '#' || f.turn""")
 def evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Findings in turns with their evidence; system turns have none and fall back to the rule's own."""
     t = turn_queries(spark, sf)
@@ -253,6 +253,29 @@ def _scored(spark: SparkSession, sf: str, keys: list[str], segments: DataFrame)
     return cand.category_scores(segments, pos, neg, keys, _T, _G)
 
 
+@query("""WITH r AS (SELECT source AS rule_id, min(lang) AS category, list_sort(list_distinct(list(lang))) AS terms FROM documents GROUP BY source),
+t AS (SELECT 'src' || (item_id % 27) AS rule_id, item_id, text, (item_id // 27) % 2 = 0 AND item_id % 5 <> 0 AS positive FROM benchmark),
+o AS (SELECT rule_id, list(text ORDER BY item_id) AS own FROM t WHERE positive GROUP BY rule_id),
+p AS (SELECT rule_id, category, coalesce(own, terms) AS texts FROM r LEFT JOIN o USING (rule_id))
+SELECT 'positive' AS kind, category, rule_id || ':p' || n AS prototype_id, sha256(texts[n]) AS text_sha FROM (SELECT *, unnest(range(1, len(texts) + 1)) AS n FROM p)
+UNION ALL SELECT 'negative', category, NULL, sha256(text) FROM t JOIN r USING (rule_id) WHERE NOT positive
+UNION ALL SELECT 'negative', category, NULL, sha256('shared') FROM r""")
+def prototype_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Prototypes of the sources from benchmark items; sources without items fall back to their languages."""
+    rules = table(spark, sf, "documents").groupBy(F.col("source").alias("rule_id")).agg(
+        F.min("lang").alias("category"), F.array_sort(F.collect_set("lang")).alias("candidate_terms")
+    )
+    rules = rules.withColumn("rule_ord", F.regexp_extract("rule_id", "[0-9]+", 0).cast("int"))
+    i = F.col("item_id")
+    taxonomy = table(spark, sf, "benchmark").select(
+        F.concat(F.lit("src"), (i % 27).cast("string")).alias("rule_id"),
+        F.when((F.floor(i / 27) % 2 == 0) & (i % 5 != 0), "positive").otherwise("negative").alias("polarity"), i.alias("ord"), "text",
+    )
+    pos, neg = cand.prototypes(rules, taxonomy, "shared")
+    named = pos.select(F.lit("positive").alias("kind"), "category", "prototype_id", sha("text").alias("text_sha"))
+    return named.unionByName(neg.select(F.lit("negative").alias("kind"), "category", F.lit(None).cast("string").alias("prototype_id"), sha("text").alias("text_sha")))
+
+
 @query(f"WITH {_KNN} SELECT vec_id, {_CAND_COLS} FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, rule_id) AS rank FROM ok) WHERE rank <= 2")
 def knn_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Best two categories per vector, above threshold and margin."""

@@ -202,15 +202,11 @@ def fragments(spark: SparkSession, sf: str) -> DataFrame:
     ranges = pages.page_ranges(t, "conv_id")
     mid = F.col("char_start") + F.floor((F.col("char_end") - F.col("char_start")) / 2)
     later = ranges.select("conv_id", (F.col("page_no") - 2).alias("page_no"), mid.alias("_later"))
-    body = pages.assemble_pages(t, "conv_id").select("conv_id", F.col("page_text").alias("source_text"))
     matches = (
-        ranges.join(later, ["conv_id", "page_no"], "left").join(body, "conv_id")
-        .select(
-            "conv_id", F.col("page_no").alias("match_no"), "source_text", F.lit(0).alias("source_start"),
-            mid.alias("match_start"), F.coalesce("_later", "char_end").alias("match_end"),
-        )
+        ranges.join(later, ["conv_id", "page_no"], "left")
+        .select("conv_id", F.col("page_no").alias("match_no"), mid.alias("match_start"), F.coalesce("_later", "char_end").alias("match_end"))
     )
-    f = pages.page_fragments(matches, ranges, "conv_id", ["conv_id", "match_no"])
+    f = pages.page_fragments(matches, ranges, t, "conv_id", ["conv_id", "match_no"])
     return f.select("conv_id", "match_no", F.col("fragment_no").cast("long"), "page_number", sha("fragment").alias("fragment_sha"))
 
 
@@ -359,7 +355,7 @@ def doc_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _CAT = f"""g AS (SELECT doc_id, rule_name, min(CASE strength WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 99 END) AS s, count(*) AS n,
- min(clause_ord * 1000 + rule_ord) AS f FROM {_R} GROUP BY doc_id, rule_name),
+ min(struct_pack(c := clause_ord, r := rule_ord)) AS f FROM {_R} GROUP BY doc_id, rule_name),
 h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, n DESC, f) AS k FROM g)"""
 
 
@@ -371,11 +367,14 @@ def top_categories(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("doc_id", "rule_name", F.col("category_rank").cast("long"), "finding_count")
 
 
-@query(f"""WITH {_CLAUSES}, {_RULES} SELECT doc_id, category, CAST(min(clause_ord * 1000 + rule_ord) AS BIGINT) AS first_index FROM {_R} GROUP BY doc_id, category""")
+@query(f"""WITH {_CLAUSES}, {_RULES} SELECT doc_id, category, CAST(f.c AS BIGINT) AS first_clause, CAST(f.r AS BIGINT) AS first_rule
+FROM (SELECT doc_id, category, min(struct_pack(c := clause_ord, r := rule_ord)) AS f FROM {_R} GROUP BY doc_id, category)""")
 def first_seen(spark: SparkSession, sf: str) -> DataFrame:
     """First position of each category in its document."""
     f = screen.screen(_clauses(spark, sf), LATIN_RULES)
-    return f.groupBy("doc_id", "category").agg(F.min(F.col("clause_ord") * 1000 + F.col("rule_ord")).cast("long").alias("first_index"))
+    return f.groupBy("doc_id", "category").agg(F.min(F.struct("clause_ord", "rule_ord")).alias("_f")).select(
+        "doc_id", "category", F.col("_f.clause_ord").cast("long").alias("first_clause"), F.col("_f.rule_ord").cast("long").alias("first_rule")
+    )
 
 
 _NO = summarize.NO_SIGNAL

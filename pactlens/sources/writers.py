@@ -49,5 +49,5 @@ def write_snapshot(index: DataFrame, path: str, partition: str = "corpus_type")
 
 
 def write_dead_letters(failed: DataFrame, path: str) -> None:
-    """Append terminal failures: ids and codes only."""
-    failed.select("analysis_id", "attempts", "error_code").write.mode("append").parquet(path)
+    """Terminal failures of one batch: ids and codes only. Writing the batch again replaces it."""
+    failed.select("analysis_id", "attempts", "error_code").write.mode("overwrite").parquet(path)

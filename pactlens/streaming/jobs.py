@@ -96,13 +96,24 @@ def process_jobs(
     """Start the worker: each micro-batch reviews its runnable documents and appends results.
 
     ``load`` gives the current analyses and documents; ``review`` maps (analysis_id, document_id)
-    rows to result rows. Finished ids found in the results are skipped, so a replayed batch has no
-    second effect.
+    rows to result rows. Ids that the results of other batches show as completed are skipped. A replayed batch
+    replaces its own results, so it has no second effect.
     """
 
+    def finished(spark: SparkSession, batch_id: int) -> DataFrame | None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(results_path)
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            return None
+        columns = "analysis_id string, status string, batch_id long"
+        done = spark.read.schema(columns).option("basePath", results_path).parquet(results_path)
+        return done.filter((F.col("status") == "completed") & (F.col("batch_id") != batch_id)).select("analysis_id")
+
     def run(batch: DataFrame, batch_id: int) -> None:
         analyses, documents = load()
         plan = plan_batch(batch, analyses, documents)
+        done_before = finished(batch.sparkSession, batch_id)
+        if done_before is not None:
+            plan = plan.join(done_before, "analysis_id", "left_anti")
         run_now = plan.filter("step = 'run'").select("analysis_id", "document_id")
         failed = plan.filter("step = 'fail'").select(
             "analysis_id", "document_id", F.lit("failed").alias("status"), "error_code"
@@ -119,9 +130,10 @@ def start_retries(attempts: DataFrame, states_path: str, dead_path: str, checkpo
     """Write every state change, and terminal failures once more to the dead-letter table."""
 
     def split(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
         batch.write.mode("overwrite").parquet(f"{states_path}/batch_id={batch_id}")
-        saved = batch.sparkSession.read.parquet(f"{states_path}/batch_id={batch_id}")
-        write_dead_letters(saved.filter("dead_letter"), f"{dead_path}/batch_id={batch_id}")
+        write_dead_letters(batch.filter("dead_letter"), f"{dead_path}/batch_id={batch_id}")
+        batch.unpersist()
 
     return (
         retry_states(attempts).writeStream.outputMode("update").foreachBatch(split)

@@ -72,15 +72,10 @@ def test_tiles_equal_broadcast_scoring(spark):
     rnd = random.Random(1)
     q = spark.createDataFrame([(i, [rnd.gauss(0, 1) for _ in range(8)]) for i in range(60)], "query_id long, vec array<double>")
     ix = spark.createDataFrame([(i, i % 3, [rnd.gauss(0, 1) for _ in range(8)]) for i in range(90)], "item_id long, grp int, vec array<double>")
-    import pactlens.operators.similar as similar
-
     small = {(r.query_id, r.grp, r.item_id): round(r.score, 9) for r in nearest(q, ix, 4).collect()}
-    saved, similar.TILE_ROWS = similar.TILE_ROWS, 25
-    try:
-        tiled = {(r.query_id, r.grp, r.item_id): round(r.score, 9) for r in nearest(q, ix, 4, broadcast_rows=10).collect()}
-    finally:
-        similar.TILE_ROWS = saved
+    tiled = {(r.query_id, r.grp, r.item_id): round(r.score, 9) for r in nearest(q, ix, 4, tile_rows=25).collect()}
     assert len(small) == 60 * 3 * 4 and small == tiled
+    assert nearest(q, ix.limit(0), 4).count() == 0
 
 
 def test_upsert_skips_unchanged_and_keeps_last(spark):
@@ -158,10 +153,21 @@ def test_context_json_schema(spark):
     assert got == {"good": True, "none": True, "extra": False, "long": False, "many": False, "top": False}
 
 
-def test_fake_model_and_hook(spark):
-    f = spark.createDataFrame([("c", "r", [("e1",)])], "category string, rationale string, evidence array<struct<evidence_id:string>>")
-    a = modelio.fake_assessment(f).collect()[0].assessment
-    assert a.risk_level == "medium" and a.cited_evidence_ids == ["e1"]
+def test_purge_keeps_all_other_keys(spark):
+    rows = [('{"masked_text":"x","a":1,"keep":"y","n":{"b":[1,"2",null]}}',), ('{"a": 1}',), ("[1]",), ("broken",), (None,)]
+    got = [(r.p, r.purged) for r in lifecycle.purge_field(spark.createDataFrame(rows, "p string"), "p", "masked_text").collect()]
+    assert json.loads(got[0][0]) == {"a": 1, "keep": "y", "n": {"b": [1, "2", None]}} and got[0][1]
+    assert got[1:] == [(r[0], False) for r in rows[1:]]
+
+
+def test_context_budget_takes_one_call(spark):
+    c = spark.createDataFrame([(1, i, "x" * 10) for i in range(5)], "doc_id int, clause_ord int, text string")
+    one, many = (sorted(map(tuple, modelio.budget_batches(c, 25, n).collect()), key=str) for n in (1, 7))
+    assert one == many
+
+
+def test_model_hook(spark):
+    f = spark.createDataFrame([("c",)], "category string")
     out = modelio.call_model(f.select("category"), lambda pdf: pdf.assign(n=pdf["category"].str.len()), "category string, n long")
     assert out.collect()[0].n == 1
 

@@ -163,8 +163,29 @@ def _target():
     return _two_sided(("소급", "우대 혜택"))
 
 
+def _prototypes(spark):
+    return cand.prototypes(cand.rule_terms(spark, KOREAN_RULES), cand.taxonomy_table(spark, korean.TAXONOMY), korean.SHARED_NEGATIVE)
+
+
+def test_prototypes_fall_back_to_terms(spark):
+    rules = spark.createDataFrame([(0, "R1", "a", ["t1", "t2"]), (1, "R2", "b", ["u"])], "rule_ord int, rule_id string, category string, candidate_terms array<string>")
+    taxonomy = spark.createDataFrame([("R2", "positive", 1, "second"), ("R2", "positive", 0, "first"), ("R1", "negative", 0, "no")], "rule_id string, polarity string, ord int, text string")
+    pos, neg = cand.prototypes(rules, taxonomy, "shared")
+    assert sorted((r.prototype_id, r.text) for r in pos.collect()) == [("R1:p1", "t1"), ("R1:p2", "t2"), ("R2:p1", "first"), ("R2:p2", "second")]
+    assert sorted((r.category, r.text) for r in neg.collect()) == [("a", "no"), ("a", "shared"), ("b", "shared")]
+
+
+def test_scoring_in_parts_equals_one_part(spark):
+    v = lambda i: [float((i * 7 + j * 3) % 11) - 5 for j in range(4)]
+    pos = spark.createDataFrame([(f"R{i % 6}", i % 6, f"p{i}", i, v(i)) for i in range(40)], "rule_id string, category int, prototype_id string, ord int, vec array<double>")
+    neg = spark.createDataFrame([(i % 3, v(i + 50)) for i in range(10)], "category int, vec array<double>")
+    segs = spark.createDataFrame([(i, v(i + 90)) for i in range(30)], "k int, vec array<double>")
+    one, many = (sorted(map(tuple, cand.category_scores(segs, pos, neg, ["k"], 5.0, 1.0, part_rows=n).collect())) for n in (4096, 3))
+    assert one and one == many
+
+
 def test_candidates_come_from_prototypes(spark):
-    pos, neg = cand.prototypes(spark, KOREAN_RULES, korean.TAXONOMY, korean.SHARED_NEGATIVE)
+    pos, neg = _prototypes(spark)
     assert pos.count() == 22 and neg.filter(F.col("text") == korean.SHARED_NEGATIVE).count() == 19
     clauses = _clauses(spark, [("a", "고객의 우대금리를 소급 취소할 수 있습니다."), ("b", "평범한 문장")]).withColumn(
         "subclauses", F.array().cast("array<struct<label:string,char_start:int,char_end:int>>")
@@ -196,7 +217,7 @@ def test_review_dispositions(spark, review_docs):
 
 
 def test_full_mode_keeps_rule_findings(spark, review_docs):
-    protos = cand.prototypes(spark, KOREAN_RULES, korean.TAXONOMY, korean.SHARED_NEGATIVE)
+    protos = _prototypes(spark)
     full = run_review(review_docs, prototypes=protos, cards=cand.cards_table(spark, korean.CARDS, korean.CARDS_VERSION), encoder=_target())
     base = run_review(review_docs)
     keys = lambda r: sorted((x.doc_id, x.finding_id) for x in r.findings.select("doc_id", "finding_id").collect())

@@ -120,11 +120,22 @@ def test_repeated_margins(spark):
 
 def test_fragments_over_two_pages(spark):
     ranges = spark.createDataFrame([(1, 1, 0, 3), (1, 2, 4, 7)], "doc_id int, page_no int, char_start long, char_end long")
-    m = spark.createDataFrame([(1, 0, "abc\nDEF", 0, 2, 6)], "doc_id int, k int, source_text string, source_start int, match_start int, match_end int")
-    got = pages.page_fragments(m, ranges, "doc_id", ["doc_id", "k"]).orderBy("fragment_no").collect()
+    m = spark.createDataFrame([(1, 0, 2, 6)], "doc_id int, k int, match_start int, match_end int")
+    texts = spark.createDataFrame([(1, 1, "abc"), (1, 2, "DEF")], "doc_id int, page_no int, text string")
+    got = pages.page_fragments(m, ranges, texts, "doc_id", ["doc_id", "k"]).orderBy("fragment_no").collect()
     assert [(r.page_number, r.fragment) for r in got] == [(1, "c"), (2, "DE")]
 
 
+def test_fragments_of_a_document_over_the_text_bound(spark):
+    texts = [(1, i, chr(97 + i) * 80_000) for i in range(4)]
+    df = spark.createDataFrame(texts, "doc_id int, page_no int, text string")
+    assert pages.assemble_pages(df).collect()[0].error_code == "TEXT_TOO_LONG"
+    whole = "\n".join(t for _, _, t in texts)
+    m = spark.createDataFrame([(1, 0, 79_990, 240_010)], "doc_id int, k int, match_start int, match_end int")
+    got = pages.page_fragments(m, pages.page_ranges(df), df, "doc_id", ["doc_id", "k"], keep=9).orderBy("fragment_no").collect()
+    assert [(r.page_number, r.fragment) for r in got] == list(enumerate(whole[79_990:240_010].split("\n")))
+
+
 def test_assembly_bounds_without_collecting_a_huge_document(spark):
     rows = [(1, i, "x" * 50) for i in range(100)] + [(2, 0, " a\x00 "), (2, 1, ""), (2, 2, "b"), (3, 0, "  ")]
     df = spark.createDataFrame(rows, "doc_id int, page_no int, text string")
