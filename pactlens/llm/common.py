@@ -21,10 +21,10 @@ _IN_PARTITION = (1 << 33) - 1
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder for tables between steps, in the folder that the cluster shares (``spark.checkpoint.dir``)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-llm-")  # only without a cluster setting, as in tests
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:  # only without a cluster setting, as in tests
+        base = tempfile.mkdtemp(prefix="spark-llm-")
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
