@@ -31,33 +31,29 @@ def bm25(pool: DataFrame, query_tokens: DataFrame, item_tokens: DataFrame) -> Da
     )
     pools = W.partitionBy("query_id", "grp")
     base = pool.columns
-    # One shuffle by query serves every window, join and aggregate that follows.
+    carried = [c for c in base if c not in ("query_id", "grp", "item_id")]
+    packed = pool.select("query_id", "grp", "item_id", F.struct(*carried).alias("_p") if carried else F.lit(1).alias("_p"))
+    # The pool is read once. One shuffle by query serves every window and aggregate that follows; its other columns
+    # travel with the rows, so callers keep them narrow.
     sized = (
-        pool.join(items.select("item_id", "_len"), "item_id")
+        packed.join(items, "item_id")
+        .join(query_tokens.select("query_id", F.array_distinct("tokens").alias("_qt")), "query_id", "left")
         .repartition("query_id")
         .withColumn("_n", F.count(F.lit(1)).over(pools))
         .withColumn("_avg", F.avg("_len").over(pools))
     )
-    hits = (
-        sized.select("query_id", "grp", "item_id", "_len", "_n", "_avg")
-        .join(query_tokens.select("query_id", F.array_distinct("tokens").alias("_qt")), "query_id")
-        .join(items.drop("_len"), "item_id")
-        .select(
-            "query_id", "grp", "item_id", "_len", "_n", "_avg", "_freq",
-            F.explode_outer(F.array_intersect("_qt", F.map_keys("_freq"))).alias("_tok"),
-        )
-        .filter("_tok IS NOT NULL")
-        .select(
-            "query_id", "grp", "item_id", "_len", "_n", "_avg", "_tok",
-            F.element_at("_freq", F.col("_tok")).alias("_tf"),
-        )
-    )
-    df_count = F.count(F.lit(1)).over(W.partitionBy("query_id", "grp", "_tok"))
-    weighted = hits.withColumn("_df", df_count).withColumn("_w", bm25_term("_tf", "_len", "_avg", "_n", "_df"))
-    scored = weighted.groupBy("query_id", "grp", "item_id").agg(F.sum("_w").alias("_s"))
-    out = pool.join(scored, ["query_id", "grp", "item_id"], "left").withColumn("_s", F.coalesce("_s", F.lit(0.0)))
+    shared = F.array_intersect(F.coalesce("_qt", F.array().cast("array<string>")), F.map_keys("_freq"))
+    matched = F.transform(shared, lambda t: F.struct(t.alias("tok"), F.element_at(F.col("_freq"), t).alias("tf")))
+    hits = sized.select(
+        "query_id", "grp", "item_id", "_p", "_len", "_n", "_avg", F.explode_outer(matched).alias("_m")
+    ).select("*", F.col("_m.tok").alias("_tok"), F.col("_m.tf").alias("_tf")).drop("_m")
+    df_count = F.count("_tok").over(W.partitionBy("query_id", "grp", "_tok"))
+    weight = F.when(F.col("_tok").isNotNull(), bm25_term("_tf", "_len", "_avg", "_n", "_df")).otherwise(F.lit(0.0))
+    weighted = hits.withColumn("_df", df_count).withColumn("_w", weight)
+    scored = weighted.groupBy("query_id", "grp", "item_id").agg(F.sum("_w").alias("_s"), F.any_value("_p").alias("_p"))
     best = F.max("_s").over(pools)
-    return out.withColumn("lexical", F.when(best > 0, F.col("_s") / best).otherwise(F.lit(0.0))).select(*base, "lexical")
+    out = scored.withColumn("lexical", F.when(best > 0, F.col("_s") / best).otherwise(F.lit(0.0)))
+    return out.select("query_id", "grp", "item_id", *[F.col(f"_p.{c}").alias(c) for c in carried], "lexical").select(*base, "lexical")
 
 
 def bm25_term(tf: str, length: str, average: str, n: str, df: str) -> Column:
