@@ -117,25 +117,32 @@ def hybrid_search(
     )
 
 
+#: Evidence fields beside rank and evidence_id, and what evidence derived from a rule has in them.
+EVIDENCE_FIELDS = {
+    "title": "string", "authority": "string", "source_url": "string", "quoted_excerpt": "string", "relevance_score": "double",
+    "collection": "string", "status": "string", "manifest_version": "string",
+}
+
+
 def attach_evidence(findings: DataFrame, hits: DataFrame, keys: list[str], doc_rule: str = "rule_id") -> DataFrame:
     """Give each finding its clause's evidence, or candidates derived from the rule when none came.
 
-    ``hits`` is (keys..., rank, evidence_id, title, status, manifest_version); at most a few rows per
+    ``hits`` is (keys..., rank, evidence_id and any of ``EVIDENCE_FIELDS``); at most a few rows per
     clause. A clause without hits is ``unavailable``, never an error.
     """
+    kept = [(F.col(c) if c in hits.columns else F.lit(None)).cast(kind).alias(c) for c, kind in EVIDENCE_FIELDS.items()]
     per_clause = hits.groupBy(*keys).agg(
-        F.array_sort(
-            F.collect_list(F.struct("rank", "evidence_id", "title", "status", "manifest_version"))
-        ).alias("_hits")
+        F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "evidence_id", *kept))).alias("_hits")
     )
     derived = F.transform(
         "legal_basis",
         lambda b, i: F.struct(
             (i + 1).alias("rank"),
             F.concat_ws(":", F.lit("candidate"), F.col(doc_rule), (i + 1).cast("string")).alias("evidence_id"),
-            b.alias("title"),
-            F.lit("candidate_unverified").alias("status"),
-            F.lit(None).cast("string").alias("manifest_version"),
+            *[
+                (b if c == "title" else F.lit("candidate_unverified" if c == "status" else None)).cast(kind).alias(c)
+                for c, kind in EVIDENCE_FIELDS.items()
+            ],
         ),
     )
     versions = F.array_sort(
