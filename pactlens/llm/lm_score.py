@@ -1,12 +1,14 @@
 """Language-model scores from a weighted backoff automaton.
 
-The model is an n-gram model with hierarchical Dirichlet smoothing: P(w | context) = (c(context w) + m P(w | shorter
-context)) / (c(context) + m). As an automaton, every context seen in training is a state. A seen continuation is an
-arc with the smoothed probability; any other word takes the failure arc, whose weight is m / (c(context) + m), to the
-state of the shorter context. After a word the state is the n-gram that ends there, so one pass from left to right
-carries the state and adds up log-probabilities. Unknown words share the mass of words seen once (Good and Turing).
-
-The automaton of a large corpus fits nowhere. Documents are dealt into chunks of bounded size; a chunk asks for the
+The model is an n-gram model over symbols with hierarchical Dirichlet smoothing: P(s | context) = (c(context s) + m P(s |
+shorter context)) / (c(context) + m). Symbols are the words with at least ``share`` of all training tokens, of which there are at most
+1 / share, the end of a text, and one symbol for all other words; a word has its share of its symbol's probability. As
+an automaton, every context seen in training is a state. A seen continuation is an arc with the smoothed probability; any
+other symbol takes the failure arc, whose weight is m / (c(context) + m), to the state of the shorter context. After a
+word the state is the n-gram that ends there, so one pass from left to right carries the state and adds up
+log-probabilities. Unknown words share the mass of words seen once (Good and Turing).
+
+The counts of a large corpus fit nowhere. Documents are dealt into chunks of bounded size; a chunk asks for the words and
 n-grams it holds, counts meet by n-gram, and go back to the chunks that asked: each chunk then traverses its own part of
 the automaton. N-grams that a chunk alone has counted don't travel back.
 """
@@ -23,9 +25,10 @@ from pyspark.sql import functions as F
 
 from pactlens.llm.common import save, whole_text, work_folder
 
+SHARE = 1e-5  # of training tokens, for a symbol of its own
 MASS = (100.0,)  # Dirichlet mass of contexts of 1, 2, .. words; its length gives the order
 CHUNK_BYTES = 16 << 20
-START_WORD, END_WORD = b" start", b" end"  # no word holds a space
+START_WORD, END_WORD, REST_WORD = b" start", b" end", b" rest"  # no word holds a space
 
 _STEP, _M1 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -58,13 +61,14 @@ class Sequences:
         self.is_start[self.starts] = True
         self.doc = np.repeat(np.arange(len(sizes)), sizes + 1)
 
-    def ngrams(self, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For 1 to ``order`` words: the key of the n-gram that ends at each place, and where there is one."""
-        out = [(self.words, np.ones(len(self.words), bool))]
+    def ngrams(self, order: int, symbols: Symbols) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For 1 to ``order`` symbols: the key of the n-gram that ends at each place, and where there is one."""
+        own = symbols.of(self.words)
+        out = [(own, np.ones(len(own), bool))]
         for _ in range(1, order):
             shorter, valid = out[-1]
             key, ok = np.zeros_like(shorter), np.zeros_like(valid)
-            x = shorter[:-1] * _STEP + (self.words[1:] ^ _STEP)
+            x = shorter[:-1] * _STEP + (own[1:] ^ _STEP)
             x = (x ^ (x >> np.uint64(29))) * _M1
             key[1:] = x ^ (x >> np.uint64(32))
             ok[1:] = valid[:-1] & ~self.is_start[1:]
@@ -72,94 +76,154 @@ class Sequences:
         return out
 
 
-def _chunk_counts(order: int):
+def _lookup(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Values of sorted keys; 0 where there is none."""
+    if not len(keys):
+        return np.zeros(len(asked))
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, values[at], 0.0)
+
+
+class Symbols:
+    """The bounded part of the model: training totals, and the symbols with their counts as tokens and as contexts."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, types: int, once: int, texts: int):
+        order = np.argsort(words)
+        self.words, self.counts = words[order], counts[order].astype(np.float64)
+        self.tokens, self.types, self.texts = tokens, types, texts
+        self.unknown = once / tokens if once and once < tokens else 0.5 / (tokens + 1)
+        marks = _Hashes()
+        self.start, self.end, self.rest = (np.uint64(marks[w]) for w in (START_WORD, END_WORD, REST_WORD))
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        kept = (_lookup(self.words, self.counts, words) > 0) | (words == self.start) | (words == self.end)
+        return np.where(kept, words, self.rest)
+
+    def count(self, symbols: np.ndarray) -> np.ndarray:
+        """Training count of symbols as contexts; a start mark stands before each text."""
+        own = _lookup(self.words, self.counts, symbols)
+        own = np.where(symbols == self.rest, self.tokens - self.counts.sum(), own)
+        return np.where(symbols == self.start, self.texts, own)
+
+    def word_probability(self, count: np.ndarray) -> np.ndarray:
+        return np.where(count > 0, (1 - self.unknown) * count / max(self.tokens, 1), self.unknown)
+
+    def probability(self, symbols: np.ndarray) -> np.ndarray:
+        """All other words have what the symbols leave, the unknown among them."""
+        seen = (1 - self.unknown) / max(self.tokens, 1)
+        end = self.unknown if not self.tokens else 0.0
+        own = np.where(symbols == self.end, np.maximum(_lookup(self.words, self.counts, symbols) * seen, end), _lookup(self.words, self.counts, symbols) * seen)
+        return np.where(symbols == self.rest, 1 - self.counts.sum() * seen, own)
+
+
+def _counted(keys: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often each is learned."""
+    asked = np.unique(keys)
+    known, times = np.unique(keys[learned], return_counts=True)
+    count = np.zeros(len(asked), np.int64)
+    count[np.searchsorted(asked, known)] = times
+    return asked, count
+
+
+def _count_words(pdf: pd.DataFrame) -> pd.DataFrame:
+    seq = Sequences(pdf["text"].tolist())
+    token = ~seq.is_start
+    key, n = _counted(seq.words[token], pdf["train"].to_numpy(bool)[seq.doc][token])
+    return pd.DataFrame({"key": key.view(np.int64), "n": n, "chunk": np.int64(pdf["chunk"].iloc[0])})
+
+
+def _count_ngrams(order: int, shared):
     def counts(pdf: pd.DataFrame) -> pd.DataFrame:
         seq = Sequences(pdf["text"].tolist())
         learned = pdf["train"].to_numpy(bool)[seq.doc]
-        frames = []
-        for n, (keys, ok) in enumerate(seq.ngrams(order)):
-            asked = np.unique(keys[ok])
-            known, times = np.unique(keys[ok & learned], return_counts=True)
-            count = np.zeros(len(asked), np.int64)
-            count[np.searchsorted(asked, known)] = times
-            # The start mark is a context, not a token: it is in no total.
-            token = (asked != seq.words[0]) if n == 0 and len(asked) else np.zeros(len(asked), bool)
-            frames.append(pd.DataFrame({"key": asked.view(np.int64), "n": count, "token": token}))
-        out = pd.concat(frames, ignore_index=True)
-        out["chunk"] = np.int64(pdf["chunk"].iloc[0])
-        return out
+        parts = [_counted(key[ok], learned[ok]) for key, ok in seq.ngrams(order, shared.value)[1:]]
+        key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pd.DataFrame({"key": key.view(np.int64), "n": n, "chunk": np.int64(pdf["chunk"].iloc[0])})
 
     return counts
 
 
 class Automaton:
-    """The part of the automaton that a chunk's texts can reach."""
+    """The part of the automaton that a chunk's texts can reach: arcs by n-gram, and word counts."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, totals: tuple[int, int, int], mass: Sequence[float]):
-        order = np.argsort(keys)
-        self.keys, self.counts = keys[order], counts[order].astype(np.float64)
-        self.tokens, self.types, once = totals
-        self.unknown = once / self.tokens if once and once < self.tokens else 0.5 / (self.tokens + 1)
-        self.mass = mass
-
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.counts[at], 0.0)
+    def __init__(self, symbols: Symbols, words: tuple[np.ndarray, np.ndarray], arcs: tuple[np.ndarray, np.ndarray], mass: Sequence[float]):
+        self.symbols, self.mass = symbols, mass
+        self.words, self.arcs = (tuple(x[np.argsort(t[0])] for x in t) for t in (words, arcs))
 
     def traverse(self, seq: Sequences) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability and training count of each token; start marks have zero and zero.
 
         The state before a place is the context that ends just before it, for all places of the chunk at once.
         """
-        grams = seq.ngrams(len(self.mass) + 1)
-        seen = self.count(grams[0][0])
-        p = np.where(seen > 0, (1 - self.unknown) * seen / max(self.tokens, 1), self.unknown)
-        state = seen  # count of the context one place on
+        grams = seq.ngrams(len(self.mass) + 1, self.symbols)
+        seen = _lookup(*self.words, seq.words)
+        root = self.symbols.probability(grams[0][0])
+        p, state = root, self.symbols.count(grams[0][0])
         for (key, ok), mass in zip(grams[1:], self.mass, strict=True):
-            arcs = np.where(ok, self.count(key), 0.0)
+            arcs = np.where(ok, _lookup(*self.arcs, key), 0.0)
             context = np.concatenate([[0.0], state[:-1]])
             failure = np.where(ok, mass / (context + mass), 1.0)  # weight of the failure arc
             p = np.where(arcs > 0, arcs / (context + mass), 0.0) + failure * p
             state = arcs
         token = ~seq.is_start
-        return np.where(token, np.log10(p), 0.0), np.where(token, seen, 0.0)
+        with np.errstate(divide="ignore", invalid="ignore"):  # of start marks, which are no tokens
+            inside = np.where(grams[0][0] == self.symbols.rest, self.symbols.word_probability(seen) / root, 1.0)
+            return np.where(token, np.log10(p * inside), 0.0), np.where(token, seen, 0.0)
+
 
+def _chunk_scores(shared, mass: Sequence[float]):
+    def merged(key: np.ndarray, total: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts from all chunks, and own ones that no other chunk has."""
+        known, times = np.unique(own, return_counts=True)
+        new = ~np.isin(known, key)
+        return np.concatenate([key, known[new]]), np.concatenate([total, times[new]])
 
-def _chunk_scores(totals: tuple[int, int, int], mass: Sequence[float]):
     def scores(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         if not len(docs):
             return pd.DataFrame({c: [] for c in columns})
-        seq = Sequences(docs["text"].tolist())
+        symbols, seq = shared.value, Sequences(docs["text"].tolist())
         learned = docs["train"].to_numpy(bool)[seq.doc]
-        keys = [answers["key"].to_numpy(np.int64).view(np.uint64)]
-        counts = [answers["total"].to_numpy(np.int64)]
-        for key, ok in seq.ngrams(len(mass) + 1):  # own counts, for n-grams that no other chunk has counted
-            own, times = np.unique(key[ok & learned], return_counts=True)
-            new = ~np.isin(own, keys[0])
-            keys.append(own[new])
-            counts.append(times[new])
-        model = Automaton(np.concatenate(keys), np.concatenate(counts), totals, mass)
-        logp, seen = model.traverse(seq)
-        base = np.log10((seen + 0.5) / (model.tokens + 0.5 * (model.types + 1)))
+        key, total, word = answers["key"].to_numpy(np.int64).view(np.uint64), answers["total"].to_numpy(np.int64), answers["word"].to_numpy(bool)
+        words = merged(key[word], total[word], seq.words[learned & ~seq.is_start])
+        arcs = [k[ok & learned] for k, ok in seq.ngrams(len(mass) + 1, symbols)[1:]]
+        arcs = merged(key[~word], total[~word], np.concatenate(arcs) if arcs else np.zeros(0, np.uint64))
+        logp, seen = Automaton(symbols, words, arcs, mass).traverse(seq)
+        base = np.log10((seen + 0.5) / (symbols.tokens + 0.5 * (symbols.types + 1)))
         base[seq.is_start] = 0.0
         add = lambda x: np.add.reduceat(x, seq.starts)
         return pd.DataFrame({
             "doc_id": docs["doc_id"], "held_out": ~docs["train"].to_numpy(bool), "n_tokens": seq.sizes,
-            "n_known": add((seen > 0).astype(np.int64)), "train_tokens": np.int64(model.tokens), "base_score": add(base), "score": add(logp),
+            "n_known": add((seen > 0).astype(np.int64)), "train_tokens": np.int64(symbols.tokens), "base_score": add(base), "score": add(logp),
         }, columns=columns)
 
     return scores
 
 
+def _met(asked: DataFrame) -> DataFrame:
+    """The total of each key beside every chunk's own count; ``first`` marks one row of a key."""
+    same = W.partitionBy("key")  # at most one row for each chunk
+    return asked.withColumn("total", F.sum("n").over(same)).withColumn("first", F.col("chunk") == F.min("chunk").over(same))
+
+
+def symbols_of(words: DataFrame, texts: int, share: float) -> Symbols:
+    """From (total, first, key): totals, and the at most 1 / share words that are symbols."""
+    learned = words.filter("first AND total > 0")
+    tokens, types, once = (int(x or 0) for x in learned.agg(F.sum("total"), F.count(F.lit(1)), F.count(F.when(F.col("total") == 1, 1))).first())
+    end = np.uint64(_Hashes()[END_WORD]).astype(np.int64).item()
+    frequent = (F.col("total") >= max(1.0, share * tokens)) | (F.col("key") == end)
+    rows = learned.filter(frequent).select("key", F.col("total").cast("long").alias("total")).toArrow()
+    return Symbols(rows["key"].to_numpy().astype(np.int64).view(np.uint64), rows["total"].to_numpy().astype(np.int64), tokens, types, once, texts)
+
+
 def train_rows(doc_id: Column) -> Column:
     """Whether a document is learned from; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)) != 1
 
 
-def score(docs: DataFrame, mass: Sequence[float] = MASS, chunk_bytes: int = CHUNK_BYTES, folder: str | None = None) -> DataFrame:
+def score(
+    docs: DataFrame, mass: Sequence[float] = MASS, share: float = SHARE, chunk_bytes: int = CHUNK_BYTES, folder: str | None = None
+) -> DataFrame:
     """Score every text with a model of the texts that :func:`train_rows` picks.
 
     Returns doc_id, held_out, n_tokens (words and one end), n_known, train_tokens, base_score, score for each row. A null text
@@ -167,19 +231,23 @@ def score(docs: DataFrame, mass: Sequence[float] = MASS, chunk_bytes: int = CHUN
     unknown words. Ties and further columns don't matter; an empty table gives an empty result.
     """
     folder = folder or work_folder(docs.sparkSession, "lm")
-    size = docs.agg(F.sum(F.octet_length(whole_text()) + 64)).first()[0] or 0
-    chunks = int(size // chunk_bytes) + 1
+    picked = train_rows(F.col("doc_id"))
+    size, texts = docs.agg(F.sum(F.octet_length(whole_text()) + 64), F.count(F.when(picked, 1))).first()
+    chunks = int((size or 0) // chunk_bytes) + 1
     dealt = docs.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), F.col("doc_id").cast("string").alias("doc_id"), train_rows(F.col("doc_id")).alias("train"),
-        whole_text().alias("text"),
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), F.col("doc_id").cast("string").alias("doc_id"),
+        picked.alias("train"), whole_text().alias("text"),
     )
-    asked = dealt.groupBy("chunk").applyInPandas(_chunk_counts(len(mass) + 1), "key long, n long, token boolean, chunk long")
-    same = W.partitionBy("key")  # at most one row for each chunk
-    met = asked.withColumn("total", F.sum("n").over(same)).withColumn("first", F.col("chunk") == F.min("chunk").over(same))
-    answers = save(met.filter("total <> n OR (token AND total > 0)").select("chunk", "key", "total", "token", "first"), f"{folder}/answers")
-    total = answers.filter("token AND first").agg(F.sum("total"), F.count(F.lit(1)), F.count(F.when(F.col("total") == 1, 1))).first()
-    totals = tuple(int(x or 0) for x in total)
+    by_chunk, schema = dealt.groupBy("chunk"), "key long, n long, chunk long"
+    # Words that a chunk alone has counted stay in the table for the totals.
+    words = _met(by_chunk.applyInPandas(_count_words, schema)).filter("total <> n OR first")
+    words = save(words.select("chunk", "key", F.col("total").cast("int").alias("total"), "n", "first"), f"{folder}/words")
+    shared = docs.sparkSession.sparkContext.broadcast(symbols_of(words, int(texts), share))
+    back = words.filter("total <> n").select("chunk", "key", "total", F.lit(True).alias("word"))
+    if mass:
+        arcs = _met(by_chunk.applyInPandas(_count_ngrams(len(mass) + 1, shared), schema)).filter("total <> n")
+        arcs = save(arcs.select("chunk", "key", F.col("total").cast("int").alias("total")), f"{folder}/arcs")
+        back = back.unionByName(arcs.withColumn("word", F.lit(False)))
     schema = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    back = answers.select("chunk", "key", "total").groupBy("chunk")
-    out = dealt.groupBy("chunk").cogroup(back).applyInPandas(_chunk_scores(totals, mass), schema)
+    out = by_chunk.cogroup(back.groupBy("chunk")).applyInPandas(_chunk_scores(shared, mass), schema)
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))  # as text above: pandas has no integer column with nulls
