@@ -27,7 +27,7 @@ from pactlens.llm.common import save, whole_text, work_folder
 
 SHARE = 1e-5  # of training tokens, for a symbol of its own
 MASS = (100.0,)  # Dirichlet mass of contexts of 1, 2, .. words; its length gives the order
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 6 << 20  # of text that a worker holds with its counts
 START_WORD, END_WORD, REST_WORD = b" start", b" end", b" rest"  # no word holds a space
 
 _STEP, _M1 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
