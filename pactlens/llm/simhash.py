@@ -104,6 +104,9 @@ class Segments:
     def wide(cls, lanes: int, bits: int, ball: int) -> Segments:
         return cls([(lane, at, bits, ball) for lane in range(lanes) for at in range(0, 64, bits)])
 
+    def of_lane(self, lane: int) -> Segments:
+        return Segments([p for p in self.parts if p[0] == lane])
+
     def _value(self, i: int, fp: str) -> Column:
         lane, at, bits, _ = self.parts[i]
         word = F.get(F.col(fp), F.lit(lane))
@@ -152,24 +155,19 @@ def link_prints(nodes: DataFrame, segments: Segments, radius: int, lanes: int, f
         near = (F.col("seg") == F.col("seg2")) & (F.col("val") == F.col("val2")) & (F.col("comp") != F.col("comp2")) & (distance("fp", "fp2", lanes) <= radius)
         edges = rows.join(first, near).select(F.col("comp").alias("a"), F.col("comp2").alias("b"))
         nodes = _relabel(nodes, edges, f"{folder}/round{turn}")
-    # Probes are many, so they carry one lane. With more lanes it only sieves, and the pairs left are verified whole.
-    bits = 64 * lanes
-    share = radius / bits
-    sieve = radius if lanes == 1 else math.ceil(64 * share + 3.5 * math.sqrt(64 * share * (1 - share)))
-    word = F.get("fp", F.lit(0))
-    table = nodes.select(segments.rows().alias("s"), F.col("id").alias("id2"), word.alias("word2"), F.col("comp").alias("comp2"))
-    table = table.select(F.col("s.seg").alias("seg2"), F.col("s.val").alias("val2"), "id2", "word2", "comp2")
-    probes = nodes.select(segments.probes().alias("s"), "id", word.alias("word"), "comp").select("s.*", "id", "word", "comp")
-    # Either side of a pair finds it; the side with the larger component reports it.
-    near = (F.col("seg") == F.col("seg2")) & (F.col("val") == F.col("val2")) & (F.col("comp2") < F.col("comp"))
-    near = near & (F.bit_count(F.col("word").bitwiseXOR(F.col("word2"))) <= sieve)
-    edges = probes.join(table, near).select(F.col("comp").alias("a"), F.col("comp2").alias("b"), "id", "id2")
-    if lanes > 1:
-        pairs = save(edges.distinct(), f"{folder}/pairs")
-        left, right = (nodes.select(F.col("id").alias(f"n{i}"), F.col("fp").alias(f"fp{i}")) for i in (1, 2))
-        whole = pairs.join(left, F.col("id") == F.col("n1")).join(right, F.col("id2") == F.col("n2"))
-        edges = whole.filter(distance("fp1", "fp2", lanes) <= radius)
-    return _relabel(nodes, edges.select("a", "b"), f"{folder}/last").select("id", "comp")
+    # One lane's segments at a time: the probes of a pass leave the disk before the next one, and find what it has linked.
+    words = [F.get("fp", F.lit(i)) for i in range(lanes)]
+    for lane in range(lanes):
+        part = segments.of_lane(lane)
+        table = nodes.select(part.rows().alias("s"), F.col("comp").alias("comp2"), *[w.alias(f"other{i}") for i, w in enumerate(words)])
+        table = table.withColumns({"seg2": F.col("s.seg"), "val2": F.col("s.val")}).drop("s")
+        probes = nodes.select(part.probes().alias("s"), "comp", *[w.alias(f"word{i}") for i, w in enumerate(words)]).select("s.*", "*").drop("s")
+        # Either side of a pair finds it; the side with the larger component reports it.
+        near = (F.col("seg") == F.col("seg2")) & (F.col("val") == F.col("val2")) & (F.col("comp2") < F.col("comp"))
+        differing = [F.bit_count(F.col(f"word{i}").bitwiseXOR(F.col(f"other{i}"))) for i in range(lanes)]
+        edges = probes.join(table, near & (sum(differing[1:], differing[0]) <= radius))
+        nodes = _relabel(nodes, edges.select(F.col("comp").alias("a"), F.col("comp2").alias("b")), f"{folder}/lane{lane}")
+    return nodes.select("id", "comp")
 
 
 def near_groups(
@@ -181,8 +179,7 @@ def near_groups(
     Returns one row per input row: ``key``, fp (array of signed 64-bit lanes), component_id (smallest key of the group; a
     null key is smaller than none, so a group of null keys alone has a null id). With one lane no link is lost. With
     more lanes, segments of ``segment_bits`` with balls of ``ball`` bits are searched: distances up to
-    (ball + 1) * segments - 1 are found nearly for certain (the first lane of a pair must differ by less than its share plus 3.5
-    standard deviations), larger ones mostly. Null texts are empty, and empty texts have
+    (ball + 1) * segments - 1 are always found, larger ones mostly. Null texts are empty, and empty texts have
     the fingerprint zero. Repeated rows share a fingerprint. An empty table gives an empty result; further columns of
     ``docs`` are ignored.
     """
