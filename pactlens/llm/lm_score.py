@@ -1,12 +1,12 @@
 """Language-model scores from a weighted backoff automaton.
 
 The model is an n-gram model over symbols with hierarchical Dirichlet smoothing: P(s | context) = (c(context s) + m P(s |
-shorter context)) / (c(context) + m). Symbols are the words with at least ``share`` of all training tokens, of which there are at most
-1 / share, the end of a text, and one symbol for all other words; a word has its share of its symbol's probability. As
-an automaton, every context seen in training is a state. A seen continuation is an arc with the smoothed probability; any
-other symbol takes the failure arc, whose weight is m / (c(context) + m), to the state of the shorter context. After a
-word the state is the n-gram that ends there, so one pass from left to right carries the state and adds up
-log-probabilities. Unknown words share the mass of words seen once (Good and Turing).
+shorter context)) / (c(context) + m). Every word is a symbol of its own. As an automaton, every context seen in training
+is a state. A seen continuation is an arc with the smoothed probability; any other symbol takes the failure arc, whose
+weight is m / (c(context) + m), to the state of the shorter context. After a word the state is the n-gram that ends
+there, so one pass from left to right carries the state and adds up log-probabilities. Unknown words share the mass of
+words seen once (Good and Turing). With a ``share`` above 0 only words with at least that share of all training tokens and
+the end of a text are symbols, and one symbol stands for all other words; a word has its share of its symbol's probability.
 
 The counts of a large corpus fit nowhere. Documents are dealt into chunks of bounded size; a chunk asks for the words and
 n-grams it holds, counts meet by n-gram, and go back to the chunks that asked: each chunk then traverses its own part of
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pactlens.llm.common import save, whole_text, work_folder
 
-SHARE = 1e-5  # of training tokens, for a symbol of its own
+SHARE = 0.0  # of training tokens, for a symbol of its own; 0: every word has one
 MASS = (100.0,)  # Dirichlet mass of contexts of 1, 2, .. words; its length gives the order
 CHUNK_BYTES = 6 << 20  # of text that a worker holds with its counts
 START_WORD, END_WORD, REST_WORD = b" start", b" end", b" rest"  # no word holds a space
@@ -61,7 +61,7 @@ class Sequences:
         self.is_start[self.starts] = True
         self.doc = np.repeat(np.arange(len(sizes)), sizes + 1)
 
-    def ngrams(self, order: int, symbols: Symbols) -> list[tuple[np.ndarray, np.ndarray]]:
+    def ngrams(self, order: int, symbols: Totals) -> list[tuple[np.ndarray, np.ndarray]]:
         """For 1 to ``order`` symbols: the key of the n-gram that ends at each place, and where there is one."""
         own = symbols.of(self.words)
         out = [(own, np.ones(len(own), bool))]
@@ -84,31 +84,47 @@ def _lookup(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarr
     return np.where(keys[at] == asked, values[at], 0.0)
 
 
-class Symbols:
-    """The bounded part of the model: training totals, and the symbols with their counts as tokens and as contexts."""
+class Totals:
+    """Training totals. Every word is its own symbol, and its counts are those that the chunk was sent."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, types: int, once: int, texts: int):
-        order = np.argsort(words)
-        self.words, self.counts = words[order], counts[order].astype(np.float64)
+    def __init__(self, tokens: int, types: int, once: int, texts: int):
         self.tokens, self.types, self.texts = tokens, types, texts
         self.unknown = once / tokens if once and once < tokens else 0.5 / (tokens + 1)
         marks = _Hashes()
         self.start, self.end, self.rest = (np.uint64(marks[w]) for w in (START_WORD, END_WORD, REST_WORD))
 
+    def of(self, words: np.ndarray) -> np.ndarray:
+        return words
+
+    def count(self, symbols: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """Training count of symbols as contexts; a start mark stands before each text."""
+        return np.where(symbols == self.start, self.texts, seen)
+
+    def word_probability(self, count: np.ndarray) -> np.ndarray:
+        return np.where(count > 0, (1 - self.unknown) * count / max(self.tokens, 1), self.unknown)
+
+    def probability(self, symbols: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        return self.word_probability(seen)
+
+
+class Symbols(Totals):
+    """The bounded part of a model of frequent words: totals, and the symbols with their counts as tokens and as contexts."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, types: int, once: int, texts: int):
+        super().__init__(tokens, types, once, texts)
+        order = np.argsort(words)
+        self.words, self.counts = words[order], counts[order].astype(np.float64)
+
     def of(self, words: np.ndarray) -> np.ndarray:
         kept = (_lookup(self.words, self.counts, words) > 0) | (words == self.start) | (words == self.end)
         return np.where(kept, words, self.rest)
 
-    def count(self, symbols: np.ndarray) -> np.ndarray:
-        """Training count of symbols as contexts; a start mark stands before each text."""
+    def count(self, symbols: np.ndarray, seen: np.ndarray) -> np.ndarray:
         own = _lookup(self.words, self.counts, symbols)
         own = np.where(symbols == self.rest, self.tokens - self.counts.sum(), own)
         return np.where(symbols == self.start, self.texts, own)
 
-    def word_probability(self, count: np.ndarray) -> np.ndarray:
-        return np.where(count > 0, (1 - self.unknown) * count / max(self.tokens, 1), self.unknown)
-
-    def probability(self, symbols: np.ndarray) -> np.ndarray:
+    def probability(self, symbols: np.ndarray, seen: np.ndarray) -> np.ndarray:
         """All other words have what the symbols leave, the unknown among them."""
         seen = (1 - self.unknown) / max(self.tokens, 1)
         end = self.unknown if not self.tokens else 0.0
@@ -125,20 +141,18 @@ def _counted(keys: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndar
     return asked, count
 
 
-def _count_words(pdf: pd.DataFrame) -> pd.DataFrame:
-    seq = Sequences(pdf["text"].tolist())
-    token = ~seq.is_start
-    key, n = _counted(seq.words[token], pdf["train"].to_numpy(bool)[seq.doc][token])
-    return pd.DataFrame({"key": key.view(np.int64), "n": n, "chunk": np.int64(pdf["chunk"].iloc[0])})
-
+def _chunk_counts(first: int, last: int, shared):
+    """A chunk's n-grams of ``first`` to ``last`` symbols with their training counts; those of one are words."""
 
-def _count_ngrams(order: int, shared):
     def counts(pdf: pd.DataFrame) -> pd.DataFrame:
         seq = Sequences(pdf["text"].tolist())
-        learned = pdf["train"].to_numpy(bool)[seq.doc]
-        parts = [_counted(key[ok], learned[ok]) for key, ok in seq.ngrams(order, shared.value)[1:]]
+        learned, parts = pdf["train"].to_numpy(bool)[seq.doc], []
+        if first == 1:
+            parts.append(_counted(seq.words[~seq.is_start], learned[~seq.is_start]))
+        parts += [_counted(key[ok], learned[ok]) for key, ok in seq.ngrams(last, shared.value)[1:]]
         key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return pd.DataFrame({"key": key.view(np.int64), "n": n, "chunk": np.int64(pdf["chunk"].iloc[0])})
+        word = np.arange(len(key)) < (len(parts[0][0]) if first == 1 else 0)
+        return pd.DataFrame({"key": key.view(np.int64), "n": n, "word": word, "chunk": np.int64(pdf["chunk"].iloc[0])})
 
     return counts
 
@@ -146,7 +160,7 @@ def _count_ngrams(order: int, shared):
 class Automaton:
     """The part of the automaton that a chunk's texts can reach: arcs by n-gram, and word counts."""
 
-    def __init__(self, symbols: Symbols, words: tuple[np.ndarray, np.ndarray], arcs: tuple[np.ndarray, np.ndarray], mass: Sequence[float]):
+    def __init__(self, symbols: Totals, words: tuple[np.ndarray, np.ndarray], arcs: tuple[np.ndarray, np.ndarray], mass: Sequence[float]):
         self.symbols, self.mass = symbols, mass
         self.words, self.arcs = (tuple(x[np.argsort(t[0])] for x in t) for t in (words, arcs))
 
@@ -157,8 +171,8 @@ class Automaton:
         """
         grams = seq.ngrams(len(self.mass) + 1, self.symbols)
         seen = _lookup(*self.words, seq.words)
-        root = self.symbols.probability(grams[0][0])
-        p, state = root, self.symbols.count(grams[0][0])
+        root = self.symbols.probability(grams[0][0], seen)
+        p, state = root, self.symbols.count(grams[0][0], seen)
         for (key, ok), mass in zip(grams[1:], self.mass, strict=True):
             arcs = np.where(ok, _lookup(*self.arcs, key), 0.0)
             context = np.concatenate([[0.0], state[:-1]])
@@ -206,10 +220,12 @@ def _met(asked: DataFrame) -> DataFrame:
     return asked.withColumn("total", F.sum("n").over(same)).withColumn("first", F.col("chunk") == F.min("chunk").over(same))
 
 
-def symbols_of(words: DataFrame, texts: int, share: float) -> Symbols:
-    """From (total, first, key): totals, and the at most 1 / share words that are symbols."""
+def totals_of(words: DataFrame, texts: int, share: float) -> Totals:
+    """From (total, first, key): totals, and with a ``share`` above 0 the at most 1 / share words that are symbols."""
     learned = words.filter("first AND total > 0")
     tokens, types, once = (int(x or 0) for x in learned.agg(F.sum("total"), F.count(F.lit(1)), F.count(F.when(F.col("total") == 1, 1))).first())
+    if not share:
+        return Totals(tokens, types, once, texts)
     end = np.uint64(_Hashes()[END_WORD]).astype(np.int64).item()
     frequent = (F.col("total") >= max(1.0, share * tokens)) | (F.col("key") == end)
     rows = learned.filter(frequent).select("key", F.col("total").cast("long").alias("total")).toArrow()
@@ -238,16 +254,17 @@ def score(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), F.col("doc_id").cast("string").alias("doc_id"),
         picked.alias("train"), whole_text().alias("text"),
     )
-    by_chunk, schema = dealt.groupBy("chunk"), "key long, n long, chunk long"
-    # Words that a chunk alone has counted stay in the table for the totals.
-    words = _met(by_chunk.applyInPandas(_count_words, schema)).filter("total <> n OR first")
-    words = save(words.select("chunk", "key", F.col("total").cast("int").alias("total"), "n", "first"), f"{folder}/words")
-    shared = docs.sparkSession.sparkContext.broadcast(symbols_of(words, int(texts), share))
-    back = words.filter("total <> n").select("chunk", "key", "total", F.lit(True).alias("word"))
-    if mass:
-        arcs = _met(by_chunk.applyInPandas(_count_ngrams(len(mass) + 1, shared), schema)).filter("total <> n")
-        arcs = save(arcs.select("chunk", "key", F.col("total").cast("int").alias("total")), f"{folder}/arcs")
-        back = back.unionByName(arcs.withColumn("word", F.lit(False)))
+    by_chunk, schema = dealt.groupBy("chunk"), "key long, n long, word boolean, chunk long"
+    context, order = docs.sparkSession.sparkContext, len(mass) + 1
+    # Where every word is a symbol, words and n-grams are counted together. Words that a chunk alone has counted stay in the table for the totals.
+    asked = by_chunk.applyInPandas(_chunk_counts(1, 1 if share else order, context.broadcast(Totals(0, 0, 0, 0))), schema)
+    met = _met(asked).filter("total <> n OR (word AND first AND total > 0)")
+    met = save(met.select("chunk", "key", "total", "n", "word", "first"), f"{folder}/counts")
+    shared = context.broadcast(totals_of(met.filter("word"), int(texts), share))
+    back = met.filter("total <> n").select("chunk", "key", "total", "word")
+    if mass and share:
+        arcs = _met(by_chunk.applyInPandas(_chunk_counts(2, order, shared), schema)).filter("total <> n")
+        back = back.unionByName(save(arcs.select("chunk", "key", "total", "word"), f"{folder}/arcs"))
     schema = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out = by_chunk.cogroup(back.groupBy("chunk")).applyInPandas(_chunk_scores(shared, mass), schema)
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))  # as text above: pandas has no integer column with nulls

@@ -214,6 +214,15 @@ def test_lm_score(spark, sf, share, chunk):
     assert found == Counter(brute_lm(DATA, share))
 
 
+def test_lm_query_counts_the_n_grams_of_rare_words(spark, tmp_path):
+    texts = ["of " * 40_000 + "a few words"] * 8 + ["seldom met"] * 2 + [f"only {i}" for i in range(10)]
+    data = [(i, text, "en", "a", 0, 1, "k", "x") for i, text in enumerate(texts)]
+    assert Counter(brute_lm(data, 0.0)) != Counter(brute_lm(data, 1e-5))
+    out = queries.op3_lm_score(spark, corpus.write(spark, tmp_path, data))
+    found = Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in out.collect())
+    assert found == Counter(brute_lm(data, 0.0))
+
+
 def test_lm_beats_the_base_on_held_out_text(spark, sf):
     out = [r for r in queries.op3_lm_score(spark, sf).collect() if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
