@@ -52,6 +52,20 @@ def test_near_stage(spark, sf, docs):
     assert sorted(group[r] for r in kept.elements()) == sorted(set(roots))
 
 
+def test_near_stage_goes_by_the_exact_similarity(spark, sf, docs):
+    texts = []
+    for i in range(48):  # similarities from 0.65 to 0.93 in a row
+        words = [f"a{i}b{k}" for k in range(60)]
+        texts += [" ".join(words), " ".join(words[:-(2 + i % 12)] + [f"c{i}d{k}" for k in range(2 + i % 12)])]
+    texts += ["of " * n + f"x{n} y" for n in (50, 90)] + ["z " * n + "one two three four five" for n in (6, 400)]
+    data = [(i, t, "en", "a", len(t), 1, "k", "x") for i, t in enumerate(texts)]
+    sets = [{tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    later = {i for i in range(len(texts)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])}
+    out = pipeline.keep_one_of_near_copies(spark, spark.createDataFrame(data, corpus.SCHEMA), sf)
+    assert sorted(r.doc_id for r in out.collect()) == sorted(set(range(len(texts))) - later)
+    assert 10 < len(later) < 40
+
+
 def test_leak_stage(spark, sf, docs):
     out = pipeline.drop_benchmark_leaks(spark, docs, sf)
     bench, words = decontaminate.Benchmark(), decontaminate.Words()
