@@ -21,7 +21,9 @@ from pactlens.llm.common import whole_text
 
 WINDOW = 8
 LEAST = 13  # template tokens of a match; a shorter item must match whole
-LITERALS = 0.5  # share of a match that must be words and not placeholders
+LITERALS = 0.5  # share of a match that must be words and not placeholders, where any slot has another value
+WHOLE = 0.8  # share of the item that a stretch must cover if its slots clash with the ones beside it
+SHORT = 5  # an item of fewer tokens is found only where it is the whole text
 SLICE = 200_000  # benchmark windows that go to the workers at a time
 CACHE_WORDS = 200_000
 
@@ -114,22 +116,22 @@ class Benchmark:
         return self
 
 
-def consistent(document: tuple, item: tuple, start: int, place: int, n: int) -> Iterator[tuple[int, int, int, int]]:
-    """(length, slots, changed slots, literals) of the stretches of an alignment whose slots map one to one."""
-    there, back, length, slots, changed, literals = {}, {}, 0, 0, 0, 0
+def consistent(document: tuple, item: tuple, start: int, place: int, n: int) -> Iterator[tuple[int, int, int, int, bool]]:
+    """(length, slots, changed slots, literals, clash at an end) of the stretches of an alignment whose slots map one to one."""
+    there, back, length, slots, changed, literals, torn = {}, {}, 0, 0, 0, 0, False
     for i in range(n):
         kind, a, b = int(item[1][place + i]), int(item[2][place + i]), int(document[2][start + i])
         if kind == LITERAL:
             literals += 1
         else:
             if there.get((kind, a), b) != b or back.get((kind, b), a) != a:
-                yield length, slots, changed, literals
-                there, back, length, slots, changed, literals = {}, {}, 0, 0, 0, 0
+                yield length, slots, changed, literals, True
+                there, back, length, slots, changed, literals, torn = {}, {}, 0, 0, 0, 0, True
             there[kind, a], back[kind, b] = b, a
             slots += 1
             changed += a != b
         length += 1
-    yield length, slots, changed, literals
+    yield length, slots, changed, literals, torn
 
 
 def find(document: tuple, bench: Benchmark, least: int, share: float) -> list[tuple[int, int, int, int]]:
@@ -159,8 +161,11 @@ def find(document: tuple, bench: Benchmark, least: int, share: float) -> list[tu
             place = start - int(diagonal[a])
             if not (document[0][start:start + n] == template[0][place:place + n]).all():
                 continue  # two windows with one hash
-            for length, slots, changed, literals in consistent(document, template, start, place, n):
-                if length >= min(least, len(template[0])) and literals >= share * length:
+            if len(template[0]) < SHORT and len(template[0]) != len(document[0]):
+                continue
+            for length, slots, changed, literals, torn in consistent(document, template, start, place, n):
+                need = max(min(least, len(template[0])), WHOLE * len(template[0]) if torn else 0)
+                if length >= need and (not changed or literals >= share * length):
                     best[i] = max(best.get(i, (0, 0, 0)), (length, slots, changed))
     return [(bench.items[i], *v) for i, v in sorted(best.items())]
 
@@ -183,8 +188,9 @@ def _slices(benchmark: DataFrame, per: int) -> Iterator[Benchmark]:
 def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: float = LITERALS, slice_windows: int = SLICE) -> DataFrame:
     """(doc_id, item_id, n_tokens, n_slots, n_changed): the longest match of each benchmark item in each document.
 
-    A match has ``least`` template tokens (or is the whole item, if that is shorter), of which ``share`` are plain words. A benchmark of any
-    size is compared in parts of ``slice_windows`` windows, each a pass over the documents. Null and empty texts match
+    A match has ``least`` template tokens (or is the whole item, if that is shorter); where slots have other values, ``share`` of
+    it must be plain words. Where slots clash, the stretch up to there counts only if it covers ``WHOLE`` of the item. Items of
+    fewer than ``SHORT`` tokens match only a document that is nothing else. A benchmark of any size is compared in parts of ``slice_windows`` windows, each a pass over the documents. Null and empty texts match
     nothing, null items are skipped. Repeated rows give repeated results; null ids are returned as null; further columns are ignored.
     """
     spark, out = docs.sparkSession, None

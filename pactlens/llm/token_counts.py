@@ -125,7 +125,8 @@ def frequent_lengths(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS,
     if not path.endswith(".model"):
         return {}
     every = max(1, docs.count() // sample_docs)
-    sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").repartition(8)
+    # The id is hashed as well, so that the copies of one text are not all taken or all left.
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).select("text")
 
     def most(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces, seen = counter(path), Counter()
@@ -135,7 +136,8 @@ def frequent_lengths(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS,
                 if len(seen) > 8 * entries:
                     seen = Counter(dict(seen.most_common(4 * entries)))
         top = seen.most_common(entries)
-        yield pd.DataFrame({"key": [k for k, _ in top], "n": [n for _, n in top]}, columns=["key", "n"])
+        if top:  # Arrow makes no struct of a frame without rows
+            yield pd.DataFrame({"key": [k for k, _ in top], "n": [n for _, n in top]}, columns=["key", "n"])
 
     total = Counter()
     for key, n in sample.mapInPandas(most, "key string, n long").toLocalIterator():
@@ -165,7 +167,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, sample_docs: in
     without truncation. Null and empty texts have 0 bytes and 0 tokens. Repeated rows and null doc_ids are counted like
     any other row; further columns are ignored; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs.select("text"), path, sample_docs))
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs.select("doc_id", "text"), path, sample_docs))
     counted = docs.select(
         "doc_id", F.octet_length(whole_text()).cast("long").alias("n_bytes"), token_count(whole_text(), path, shared).alias("n_tokens")
     )

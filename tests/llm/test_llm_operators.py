@@ -349,6 +349,19 @@ def test_decontamination(spark, sf):
     assert {d for d, _ in out} == {7009, 7010} | {d for d, i in out if i == 4}
 
 
+def test_unchanged_numbers_and_short_items(spark):
+    row = "Distances: Paris 12 km Rome 14 km Oslo 15 km Bern 16 km Kiev 17 km"
+    docs = spark.createDataFrame([(1, f"so. {row} end"), (2, "short item"), (3, "a short item here"), (4, row.replace("12", "98"))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, row), (2, "short item")], "item_id long, text string")
+    assert got(decontaminate.matches(docs, items), "doc_id", "item_id", "n_changed") == Counter([(1, 1, 0), (2, 2, 0)])
+
+
+@pytest.mark.parametrize("rows", [[(1, "one row only")], [(1, None), (2, None)]])
+def test_token_counts_of_tiny_tables(spark, rows):
+    out = token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), token_counts.tokenizer_path(queries.TOKENIZER))
+    assert {r.doc_id: r.n_tokens > 0 for r in out.collect()} == {i: t is not None for i, t in rows}
+
+
 def test_decontamination_by_slices(spark, sf):
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     columns = ("doc_id", "item_id", "n_tokens", "n_slots", "n_changed")
