@@ -55,8 +55,41 @@ def rows(seed=3, n=60):
     return [(i, t, lang, s, None if t is None else len(t), 1, "k", "x") for i, t, lang, s in out]
 
 
+URLS = [
+    None, "", "no scheme", "://", "https://", "http://net", "http://a.net/", "HTTP://EXAMPLE.NET/en/1?q=/de/", "https://m.example.net/en", "https://m.example.net/en/",
+    "https://example.net/EN/", "https://xexample.net/en/", "http://example.com/de/x#y", "http://example.com/den", "http://a.b.ORG/fr/?", "http://org?x=/fr/",
+    "http://org#/fr/", "http://.net/x", "http://u@net:80/", "http://é.example.com/de/ü/", "a://b://net/", "http://net/\n/x\n?y", "http://" + "a." * 3000 + "net/" + "p/" * 3000,
+]
+
+
+def page_rows():
+    return [(None if i % 9 == 4 else i, u, "h" if i % 2 else None, "clash") for i, u in enumerate(URLS + URLS[:9] + [URLS[6]] * 40)]
+
+
+def turn_rows(seed=5):
+    rng = random.Random(seed)
+    texts = ["Fine.", "Done? ", "cut off", " \t\n", "", None, "é!\x0b", "a: b\nc.", "twice.", "x" * 5000 + "."]
+    roles = ["user", "assistant", "system", "tool", None, "", "agent"]
+    out = []
+    for c in range(150):
+        n = rng.choice([1, 2, 3, 4, 7, 12])
+        turn = rng.randint(0, 3)
+        for i in range(n):
+            usual = ["user", "assistant"][i % 2]
+            out.append((None if c == 7 else c, None if rng.random() < 0.05 else turn, rng.choice(roles) if rng.random() < 0.3 else usual, rng.choice(texts), "x", 1))
+            turn += rng.choice([1, 1, 1, 2, 5, 0])
+    out += [(900, i, ["user", "assistant"][i % 2], f"part {i}.", "x", 1) for i in range(3000)]  # one long conversation
+    out += [(901, None, None, None, None, None), (None, None, None, None, None, None)] + [(902, 1, "user", "same.", "x", 1)] * 5
+    rng.shuffle(out)
+    return out
+
+
 def write(spark, folder, data):
-    """documents, labels and benchmark tables below ``folder``."""
+    """documents, labels, benchmark, pages and conversations tables below ``folder``; those without data are empty."""
+    pages = "page_id long, url string, html string, host string"
+    spark.createDataFrame(page_rows() if data else [], pages).repartition(3).write.parquet(f"{folder}/pages.parquet")
+    turns = "conv_id long, turn long, role string, text string, digest string, at long"
+    spark.createDataFrame(turn_rows() if data else [], turns).repartition(3).write.parquet(f"{folder}/conversations.parquet")
     spark.createDataFrame(data, SCHEMA).repartition(3).write.parquet(f"{folder}/documents.parquet")
     ids = sorted({r[0] for r in data if r[0] is not None and r[0] <= 100})
     labels = [(i, int(i % 9 != 0), int(i % 10 == 0)) for i in ids] + [(None, 1, 0)]
