@@ -67,20 +67,26 @@ def ngram_codes(text: Column, dimension: int = NGRAM_DIMENSION) -> Column:
 VECTORS_AT_A_TIME = 1024
 
 
-def unit_vectors(lists, dimension: int) -> np.ndarray:
-    """Unit vectors of code lists, one flat count for many lists (an empty list gives zeros)."""
-    lists, out = list(lists), np.zeros((len(lists), dimension))
-    for at in range(0, len(lists), VECTORS_AT_A_TIME):
-        part = lists[at:at + VECTORS_AT_A_TIME]
-        sizes = [len(c) for c in part]
-        c = np.concatenate([np.asarray(c, dtype=np.int64) for c in part]) if sum(sizes) else np.zeros(0, np.int64)
-        flat = np.repeat(np.arange(len(part)) * dimension, sizes) + c // 2
+def unit_matrix(codes: np.ndarray, sizes: np.ndarray, dimension: int) -> np.ndarray:
+    """Unit vectors of code lists laid end to end, one flat count for many lists (an empty list gives zeros)."""
+    sizes = np.nan_to_num(np.asarray(sizes, dtype=float)).astype(np.int64)
+    ends, out = np.concatenate([[0], np.cumsum(sizes)]), np.zeros((len(sizes), dimension))
+    for at in range(0, len(sizes), VECTORS_AT_A_TIME):
+        part = sizes[at:at + VECTORS_AT_A_TIME]
+        c = np.asarray(codes[ends[at]:ends[at + len(part)]], dtype=np.int64)
+        flat = np.repeat(np.arange(len(part)) * dimension, part) + c // 2
         v = np.bincount(flat, weights=1.0 - 2.0 * (c % 2), minlength=len(part) * dimension).reshape(len(part), dimension)
         norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
         out[at:at + len(part)] = v / np.where(norm > 0, norm, 1.0)
     return out
 
 
+def unit_vectors(lists, dimension: int) -> np.ndarray:
+    """Unit vectors of code lists."""
+    lists = [np.asarray(c, dtype=np.int64) for c in lists]
+    return unit_matrix(np.concatenate([np.zeros(0, np.int64), *lists]), np.array([len(c) for c in lists], dtype=np.int64), dimension)
+
+
 def dense(dimension: int) -> Callable[[Column], Column]:
     """Arrow UDF: code lists to unit vectors of ``dimension``."""
 

@@ -14,41 +14,41 @@ from pactlens.operators.prefix import top_rows
 from pactlens.operators.similar import nearest
 
 
-def bm25(pool: DataFrame, query_tokens: DataFrame, item_tokens: DataFrame) -> DataFrame:
-    """Add ``lexical``: BM25 within each (query_id, grp) pool, divided by the pool's best score.
+def shared_tokens(pool: DataFrame, query_tokens: DataFrame, item_tokens: DataFrame) -> DataFrame:
+    """Add ``length`` and ``shared`` to (query_id, item_id, ...) pairs that did not come from ``nearest``; here ``t`` is the token itself.
 
-    ``pool`` rows are (query_id, grp, item_id, ...), already cut to the pool size, so every window
-    below holds at most that many rows. ``query_tokens`` and ``item_tokens`` carry array columns.
-    Only tokens shared by a pool pair are ever turned into rows.
+    ``query_tokens`` and ``item_tokens`` carry array columns. Tokens are counted only for items that a pair names, inside the row.
     """
+    named = item_tokens.join(pool.select("item_id").distinct(), "item_id", "left_semi")
+    counts = named.select("item_id", F.explode_outer("tokens").alias("_t")).groupBy("item_id", "_t").agg(F.count("_t").cast("int").alias("_f"))
     # Token frequencies once per item; an item's own text bounds its map.
-    counts = item_tokens.select("item_id", F.explode_outer("tokens").alias("_t")).groupBy("item_id", "_t").agg(
-        F.count("_t").alias("_f")
-    )
     items = counts.groupBy("item_id").agg(
-        F.sum("_f").alias("_len"),
+        F.sum("_f").cast("long").alias("length"),
         F.map_from_entries(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct("_t", "_f")))).alias("_freq"),
     )
+    wanted = query_tokens.select("query_id", F.array_distinct("tokens").alias("_qt"))
+    pairs = pool.join(items, "item_id").join(wanted, "query_id", "left")
+    both = F.array_intersect(F.coalesce("_qt", F.array().cast("array<string>")), F.map_keys("_freq"))
+    return pairs.withColumn("shared", F.transform(both, lambda t: F.struct(t.alias("t"), F.element_at("_freq", t).alias("f")))).drop("_freq", "_qt")
+
+
+def bm25(pool: DataFrame) -> DataFrame:
+    """Turn ``length`` and ``shared`` into ``lexical``: BM25 within each (query_id, grp) pool, divided by the pool's best score.
+
+    ``pool`` rows are (query_id, grp, item_id, length, shared, ...), already cut to the pool size, so every window below holds at
+    most that many rows. Only tokens shared by a pool pair are ever turned into rows, as numbers.
+    """
     pools = W.partitionBy("query_id", "grp")
-    base = pool.columns
+    base = [c for c in pool.columns if c not in ("length", "shared")]
     carried = [c for c in base if c not in ("query_id", "grp", "item_id")]
-    packed = pool.select("query_id", "grp", "item_id", F.struct(*carried).alias("_p") if carried else F.lit(1).alias("_p"))
-    # The pool is read once. One shuffle by query serves every window and aggregate that follows; its other columns
-    # travel with the rows, so callers keep them narrow.
-    sized = (
-        packed.join(items, "item_id")
-        .join(query_tokens.select("query_id", F.array_distinct("tokens").alias("_qt")), "query_id", "left")
-        .repartition("query_id")
-        .withColumn("_n", F.count(F.lit(1)).over(pools))
-        .withColumn("_avg", F.avg("_len").over(pools))
-    )
-    shared = F.array_intersect(F.coalesce("_qt", F.array().cast("array<string>")), F.map_keys("_freq"))
-    matched = F.transform(shared, lambda t: F.struct(t.alias("tok"), F.element_at(F.col("_freq"), t).alias("tf")))
-    hits = sized.select(
-        "query_id", "grp", "item_id", "_p", "_len", "_n", "_avg", F.explode_outer(matched).alias("_m")
-    ).select("*", F.col("_m.tok").alias("_tok"), F.col("_m.tf").alias("_tf")).drop("_m")
+    packed = pool.select("query_id", "grp", "item_id", "length", "shared", F.struct(*carried).alias("_p") if carried else F.lit(1).alias("_p"))
+    # One shuffle by query serves every window and aggregate that follows.
+    sized = packed.repartition("query_id").withColumn("_n", F.count(F.lit(1)).over(pools)).withColumn("_avg", F.avg("length").over(pools))
+    hits = sized.select("query_id", "grp", "item_id", "_p", "length", "_n", "_avg", F.explode_outer("shared").alias("_m")).select(
+        "*", F.col("_m.t").alias("_tok"), F.col("_m.f").alias("_tf")
+    ).drop("_m")
     df_count = F.count("_tok").over(W.partitionBy("query_id", "grp", "_tok"))
-    weight = F.when(F.col("_tok").isNotNull(), bm25_term("_tf", "_len", "_avg", "_n", "_df")).otherwise(F.lit(0.0))
+    weight = F.when(F.col("_tok").isNotNull(), bm25_term("_tf", "length", "_avg", "_n", "_df")).otherwise(F.lit(0.0))
     weighted = hits.withColumn("_df", df_count).withColumn("_w", weight)
     scored = weighted.groupBy("query_id", "grp", "item_id").agg(F.sum("_w").alias("_s"), F.any_value("_p").alias("_p"))
     best = F.max("_s").over(pools)
@@ -85,21 +85,16 @@ def hybrid_search(
     stored = "embedding" in index.columns
     vec = F.col("embedding").alias("vec") if stored else body(F.col("text"))
     wanted_vec = embed(F.col("text"), encoder).alias("vec") if stored else body(F.col("text"))
-    indexed = index.select(F.col("evidence_id").alias("item_id"), F.col("collection_ord").alias("grp"), vec)
-    wanted = queries.select("query_id", wanted_vec)
-    pool = nearest(wanted, indexed, pool_size(top_k)).withColumnRenamed("score", "vector_score")
-    lexical = bm25(
-        pool,
-        queries.select("query_id", tokenize(F.col("text")).alias("tokens")),
-        index.select(F.col("evidence_id").alias("item_id"), tokenize(F.col("text")).alias("tokens")).dropDuplicates(["item_id"]),
-    )
-    meta = index.select(
-        F.col("evidence_id").alias("item_id"), F.col("collection_ord").alias("grp"),
-        F.coalesce("authority_weight", F.lit(DEFAULT_AUTHORITY)).alias("_auth"),
-        *[c for c in index.columns if c not in ("evidence_id", "collection_ord", "authority_weight", "embedding")],
-    )
+    tokens = tokenize(F.col("text"))
+    keys = [F.col("evidence_id").alias("item_id"), F.col("collection_ord").alias("grp")]
+    # Ranks need one number of an item, which comes with the pool; what is shown joins the few rows that stay.
+    weight = F.coalesce("authority_weight", F.lit(DEFAULT_AUTHORITY)).alias("_auth")
+    pool = nearest(
+        queries.select("query_id", wanted_vec, F.array_distinct(tokens).alias("tokens")), index.select(*keys, vec, tokens.alias("tokens"), weight),
+        pool_size(top_k), carry=["_auth"],
+    ).withColumnRenamed("score", "vector_score")
     wv, wl, wa = weights
-    scored = lexical.join(meta, ["item_id", "grp"]).withColumn(
+    scored = bm25(pool).withColumn(
         "relevance_score",
         F.round(
             F.lit(wv) * F.greatest("vector_score", F.lit(0.0)) + F.lit(wl) * F.col("lexical") + F.lit(wa) * F.col("_auth"), 6
@@ -109,11 +104,11 @@ def hybrid_search(
     order = [
         F.col("relevance_score").desc(), F.col("grp"), F.round("vector_score", 9).desc(), F.col("item_id"),
     ]
-    return top_rows(unique, ["query_id"], order, top_k).select(
-        "query_id", "rank", F.col("item_id").alias("evidence_id"), "collection",
-        *[c for c in index.columns if c not in (
-            "evidence_id", "collection", "collection_ord", "authority_weight", "embedding", "text")],
-        F.col("text").alias("quoted_excerpt"), "relevance_score",
+    ranked = top_rows(unique, ["query_id"], order, top_k).select("query_id", "rank", "item_id", "grp", "relevance_score")
+    shown = [c for c in index.columns if c not in ("evidence_id", "collection", "collection_ord", "authority_weight", "embedding", "text")]
+    meta = index.select(*keys, "collection", *shown, F.col("text").alias("quoted_excerpt"))
+    return ranked.join(meta, ["item_id", "grp"]).select(
+        "query_id", "rank", F.col("item_id").alias("evidence_id"), "collection", *shown, "quoted_excerpt", "relevance_score"
     )
 
 

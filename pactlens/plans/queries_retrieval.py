@@ -148,13 +148,13 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
 def bm25(spark: SparkSession, sf: str) -> DataFrame:
     """Pool-local lexical scores of every turn and its vector neighbours."""
     t, ix = turn_queries(spark, sf), evidence_index(spark, sf)
-    codes = em.signed_codes(em.tokenize(F.col("text"))).alias("codes")
+    words = em.tokenize(F.col("text"))
+    codes = em.signed_codes(words).alias("codes")
     pool = nearest(
-        t.select("query_id", codes),
-        ix.select(F.col("evidence_id").alias("item_id"), F.col("collection_ord").alias("grp"), codes), 20,
+        t.select("query_id", codes, F.array_distinct(words).alias("tokens")),
+        ix.select(F.col("evidence_id").alias("item_id"), F.col("collection_ord").alias("grp"), codes, words.alias("tokens")), 20,
     )
-    items = ix.select(F.col("evidence_id").alias("item_id"), em.tokenize(F.col("text")).alias("tokens")).dropDuplicates(["item_id"])
-    out = retrieve.bm25(pool, t.select("query_id", em.tokenize(F.col("text")).alias("tokens")), items)
+    out = retrieve.bm25(pool)
     return out.select("query_id", "item_id", F.col("grp").cast("long"), F.round("lexical", 6).alias("lexical"))
 
 

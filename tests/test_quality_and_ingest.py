@@ -3,12 +3,13 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pactlens import schemas
 from pactlens.operators import evaluate as ev
-from pactlens.operators import ingest, lifecycle, modelio
+from pactlens.operators import ingest, lifecycle, modelio, retrieve
 from pactlens.operators.prefix import running_offsets, salted_join
 from pactlens.operators.similar import nearest
 from pactlens.packs import korean
@@ -78,6 +79,39 @@ def test_tiles_equal_broadcast_scoring(spark):
     assert nearest(q, ix.limit(0), 4).count() == 0
 
 
+def test_nearest_over_a_large_index(spark):
+    """50,000 index rows in blocks: the same best rows as one matrix product, and no row through the driver."""
+    rng = np.random.default_rng(3)
+    ix = spark.range(50_000).select(F.col("id").alias("item_id"), (F.col("id") % 2).cast("int").alias("grp"), F.array(
+        *[((F.xxhash64("id", F.lit(j)) % 1000) / 1000.0) for j in range(16)]).alias("vec"))
+    m = np.array([r.vec for r in ix.orderBy("item_id").collect()])
+    q = rng.normal(size=(40, 16))
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, vec array<double>")
+    found = nearest(queries, ix, 5)
+    got = {(r.query_id, r.grp, r.item_id): round(r.score, 7) for r in found.collect()}
+    want = {}
+    for i, row in enumerate(np.round(q @ m.T, 9)):
+        for g in range(2):
+            best = sorted(range(g, 50_000, 2), key=lambda j: (-row[j], j))[:5]
+            want |= {(i, g, j): round(row[j], 7) for j in best}
+    assert got == want
+    plan = found._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan and "CartesianProduct" not in plan
+
+
+def test_shared_tokens_by_postings_and_by_join(spark):
+    words = ["a", "b", "c", "d", "e", "f", "g"]
+    rnd = random.Random(5)
+    texts = lambda n: [[rnd.choice(words) for _ in range(rnd.randint(0, 9))] for _ in range(n)]
+    vec = lambda: [rnd.gauss(0, 1) for _ in range(4)]
+    ix = spark.createDataFrame([(i, i % 2, vec(), t) for i, t in enumerate(texts(60))], "item_id long, grp int, vec array<double>, tokens array<string>")
+    q = spark.createDataFrame([(i, vec(), sorted(set(t))) for i, t in enumerate(texts(30))], "query_id long, vec array<double>, tokens array<string>")
+    flat = lambda df: {(r.query_id, r.grp, r.item_id): round(r.lexical, 9) for r in retrieve.bm25(df).collect()}
+    by_postings = flat(nearest(q, ix, 6, tile_rows=13))
+    pairs = nearest(q.drop("tokens"), ix.drop("tokens"), 6)
+    assert by_postings == flat(retrieve.shared_tokens(pairs, q, ix.select("item_id", "tokens"))) and len(by_postings) == 360
+
+
 def test_upsert_skips_unchanged_and_keeps_last(spark):
     cols = "stable_id string, title string, language string, source_hash string, authority_weight double, seq int"
     old = spark.createDataFrame([("d:1", "a", "ko", "h1", 0.5, 0), ("d:2", "b", "ko", "h2", 1.0, 0), ("d:9", "z", "ko", "h9", 0.5, 0)], cols)
