@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,9 @@ from pactlens.packs.model import DIGIT, NOT_WS, WS
 # Whitespace other than the plain space: far fewer hits to replace in ordinary prose.
 OTHER_WS = WS.replace(r"\x20", r"\x1f")
 ABBREVIATION_TAIL = "[ ,·]+$"
-SPAN_TYPE = "array<struct<start:int,stop:int,hit:string>>"
+SPAN = "struct<start:int,stop:int,hit:string,kept:int>"
+#: Items whose rows are collected before the parts are put together.
+FOLD_ROWS = 32
 
 
 def same_length_space(text: Column) -> Column:
@@ -41,34 +44,54 @@ def is_blank(text: Column) -> Column:
     return ~text.rlike(NOT_WS)
 
 
-def spans(text: Column, regex: str) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body and its lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def fold_rows(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """Walk an array with a running state and collect what ``step`` emits, in time proportional to its length.
+
+    ``step(state, item)`` gives the next state and a struct of type ``kind``, or null for nothing. Appending copies an array, so rows are
+    collected for ``FOLD_ROWS`` items at a time and the parts are put together at the end.
+    """
+    none = F.array().cast(f"array<{kind}>").alias("out")
+
+    def inner(acc: Column, item: Column) -> Column:
+        after, row = step(acc["s"], item)
+        return F.struct(after.alias("s"), F.when(row.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], row)).alias("out"))
+
+    def outer(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(acc["s"].alias("s"), none), inner)
+        return let(done, lambda d: F.struct(d["s"].alias("s"), F.array_append(acc["parts"], d["out"]).alias("parts")))
+
+    last = lambda p: F.greatest(F.floor((F.size(p) - 1) / FOLD_ROWS), F.lit(0)).cast("int")
+    parts = let(items, lambda p: F.transform(F.sequence(F.lit(0), last(p)), lambda b: F.slice(p, b * FOLD_ROWS + 1, F.lit(FOLD_ROWS))))
+    start = F.struct(state.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("parts"))
+    return F.flatten(F.aggregate(parts, start, outer, lambda acc: acc["parts"]))
+
+
+def spans(text: Column, regex: str, kept_groups: Sequence[int] = ()) -> Column:
     """All matches of ``regex`` with offsets, as an array built inside the row.
 
-    ``split`` and ``regexp_extract_all`` run once each; the fold only adds lengths. It is meant
-    for a handful of matches per text (headings, markers, identifiers), not for every word.
+    ``split`` and ``regexp_extract_all`` run once each; the fold only adds lengths. ``kept`` is the length of what the groups
+    ``kept_groups`` hold at the start of the match.
     """
-    pairs = F.zip_with(
-        F.split(text, regex, -1),
-        F.regexp_extract_all(text, F.lit(regex), F.lit(0)),
-        lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")),
+    sizes = [F.transform(F.regexp_extract_all(text, F.lit(regex), F.lit(i)), lambda g: F.length(g)) for i in kept_groups]
+    kept = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))), sizes) if sizes else None
+    hits = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+    named = F.transform(hits, lambda h: F.struct(h.alias("hit"), F.lit(0).alias("kept"))) if kept is None else F.zip_with(
+        hits, kept, lambda h, k: F.struct(h.alias("hit"), F.coalesce(k, F.lit(0)).alias("kept"))
     )
-    empty = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN_TYPE).alias("out"))
+    pairs = F.zip_with(F.split(text, regex, -1), named, lambda gap, n: F.struct(F.length(gap).alias("gap"), n["hit"].alias("hit"), n["kept"].alias("kept")))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["pos"] + pair["gap"]
+    def step(pos: Column, pair: Column) -> tuple[Column, Column]:
+        start = pos + pair["gap"]
         stop = start + F.length(pair["hit"])
-        return F.when(pair["hit"].isNull(), acc).otherwise(
-            F.struct(
-                stop.alias("pos"),
-                F.array_append(
-                    acc["out"],
-                    F.struct(start.alias("start"), stop.alias("stop"), pair["hit"].alias("hit")),
-                ).alias("out"),
-            )
-        )
+        row = F.struct(start.alias("start"), stop.alias("stop"), pair["hit"].alias("hit"), pair["kept"].alias("kept"))
+        return F.coalesce(stop, start), F.when(pair["hit"].isNotNull(), row)
 
-    found = F.aggregate(pairs, empty, step, lambda acc: acc["out"])
-    return F.when(text.rlike(regex), found).otherwise(F.array().cast(SPAN_TYPE))
+    return F.when(text.rlike(regex), fold_rows(pairs, F.lit(0), step, SPAN)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def first_match(text: Column, pattern: Column) -> Column:

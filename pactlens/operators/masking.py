@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pactlens.functions.text import spans
+from pactlens.functions.text import fold_rows, spans
 from pactlens.operators.prefix import running_offsets
 from pactlens.packs.defaults import PII_PATTERNS
 from pactlens.packs.model import DIGIT, PiiPattern
@@ -49,15 +49,16 @@ def _rebuild(pieces: Column, p: PiiPattern, offset: Column) -> Column:
 
 
 def apply_patterns(
-    df: DataFrame, text: str, patterns: Sequence[PiiPattern], offsets: dict[str, Column] | None = None
+    df: DataFrame, text: str, patterns: Sequence[PiiPattern], offsets: dict[str, Column] | None = None, where: Column | None = None
 ) -> DataFrame:
     """Mask ``text`` in place, one pattern after the other, and add ``n_<type>`` counts.
 
     Each step is its own projection, so a step's text is computed once. Clean texts only pay for
-    the three trigger checks.
+    the three trigger checks, and rows that are not ``where`` for nothing.
     """
     offsets = offsets or {}
-    df = df.withColumns({f"_has_{kind}": expr for kind, expr in _triggers(F.col(text)).items()})
+    where = F.lit(True) if where is None else where
+    df = df.withColumns({f"_has_{kind}": where & expr for kind, expr in _triggers(F.col(text)).items()})
     for p in patterns:
         offset = offsets.get(p.pii_type, F.lit(0))
         hit = F.col(f"_has_{p.needs}") & F.col(text).rlike(p.regex)
@@ -112,8 +113,9 @@ def mask_pages(
 ) -> DataFrame:
     """Mask every page while numbering placeholders over the whole document.
 
-    Numbers depend on earlier pages, so counts come first. The first pattern sees raw text; its
-    numbers are fixed before the rest run, because their width can matter to later patterns.
+    Numbers depend on earlier pages, so counts come first: every pattern looks through every page once. Only pages in
+    which something was found are then masked. The first pattern sees raw text; its numbers are fixed before
+    the rest run, because their width can matter to later patterns.
     """
     first, rest = patterns[0], patterns[1:]
     raw = pages.withColumn("masked_text", F.col(text))
@@ -121,15 +123,15 @@ def mask_pages(
         _triggers(F.col("masked_text"))[first.needs], F.regexp_count("masked_text", F.lit(first.regex))
     ).otherwise(F.lit(0))
     started = _with_offsets(raw, raw.select(doc, page, n_first.alias(_count(first.pii_type))), doc, page, [first])
-    named = apply_patterns(started, "masked_text", [first], _offset_columns([first])).drop(*_offset_names([first]))
+    named = apply_patterns(started, "masked_text", [first], _offset_columns([first]), F.col("_busy")).drop("_busy", *_offset_names([first]))
     counts = apply_patterns(named, "masked_text", rest).select(doc, page, *[_count(p.pii_type) for p in rest])
     placed = _with_offsets(named, counts, doc, page, rest)
-    final = apply_patterns(placed, "masked_text", rest, _offset_columns(rest))
+    final = apply_patterns(placed, "masked_text", rest, _offset_columns(rest), F.col("_busy"))
     final = final.withColumn("replacement_count", _totals(patterns))
     passed = F.when(F.col("replacement_count") == 0, F.lit(True)).otherwise(
         ~residual(F.col("masked_text"), patterns)
     )
-    return final.withColumn("passed", passed).drop(*_offset_names(rest))
+    return final.withColumn("passed", passed).drop("_busy", *_offset_names(rest))
 
 
 def _offset_names(patterns: Sequence[PiiPattern]) -> list[str]:
@@ -148,7 +150,8 @@ def _with_offsets(
     names = [_count(p.pii_type) for p in patterns]
     offsets = running_offsets(counts, [doc], page, names)
     busy = offsets.filter(reduce(lambda a, b: a + b, [F.col(n) for n in names]) > 0)
-    return pages.join(busy.select(doc, page, *_offset_names(patterns)), [doc, page], "left")
+    placed = pages.join(busy.select(doc, page, F.lit(True).alias("_busy"), *_offset_names(patterns)), [doc, page], "left")
+    return placed.withColumn("_busy", F.coalesce("_busy", F.lit(False)))
 
 
 def page_profile(masked_pages: DataFrame, doc: str = "doc_id", page: str = "page_no",
@@ -189,20 +192,15 @@ def pii_spans(
     triggers = _triggers(F.col(text))
     found = []
     for order, p in enumerate(patterns):
-        hits = F.transform(spans(F.col(text), p.regex), _value_span(p, order))
-        found.append(F.when(triggers[p.needs], hits).otherwise(F.array().cast(_SWEEP)))
+        hits = F.transform(spans(F.col(text), p.regex, p.prefix_groups), _value_span(p, order))
+        found.append(F.when(triggers[p.needs], hits).otherwise(F.array().cast(f"array<{_SWEEP}>")))
     rows = docs.select(doc, F.array_sort(F.concat(*found)).alias("_all"))
 
-    def sweep(acc: Column, s: Column) -> Column:
-        keep = s["start"] >= acc["cursor"]
-        return F.when(
-            keep, F.struct(s["stop"].alias("cursor"), F.array_append(acc["out"], s).alias("out"))
-        ).otherwise(acc)
+    def sweep(cursor: Column, s: Column) -> tuple[Column, Column]:
+        keep = s["start"] >= cursor
+        return F.when(keep, s["stop"]).otherwise(cursor), F.when(keep, s)
 
-    start = F.struct(F.lit(-1).alias("cursor"), F.array().cast(_SWEEP).alias("out"))
-    kept = rows.select(doc, F.inline_outer(F.aggregate("_all", start, sweep, lambda a: a["out"]))).filter(
-        "start IS NOT NULL"
-    )
+    kept = rows.select(doc, F.inline_outer(fold_rows(F.col("_all"), F.lit(-1), sweep, _SWEEP))).filter("start IS NOT NULL")
     nth = F.row_number().over(W.partitionBy(doc, "pii_type").orderBy("start"))
     return kept.select(
         doc,
@@ -217,9 +215,7 @@ def _value_span(p: PiiPattern, order: int):
     """Build the per-match mapper: the masked value starts after the kept prefix."""
 
     def shape(s: Column) -> Column:
-        start = s["start"]
-        if p.prefix_groups:
-            start = start + F.length(F.concat(*[F.regexp_extract(s["hit"], _inner(p.regex), i) for i in p.prefix_groups]))
+        start = s["start"] + s["kept"]
         return F.struct(
             start.alias("start"), (start - s["stop"]).alias("neg_len"), F.lit(order).alias("ord"),
             s["stop"].alias("stop"), F.lit(p.pii_type).alias("pii_type"),
@@ -228,12 +224,7 @@ def _value_span(p: PiiPattern, order: int):
     return shape
 
 
-_SWEEP = "array<struct<start:int,neg_len:int,ord:int,stop:int,pii_type:string>>"
-
-
-def _inner(regex: str) -> str:
-    """The pattern for re-reading an isolated hit: a trailing context check may see the end."""
-    return regex.replace("(?=(?:이|입니|이며|이고|씨))", "")
+_SWEEP = "struct<start:int,neg_len:int,ord:int,stop:int,pii_type:string>"
 
 
 def outbound_gate(payloads: DataFrame, text: str = "text", patterns: Sequence[PiiPattern] = PII_PATTERNS) -> DataFrame:

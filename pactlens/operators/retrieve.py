@@ -17,10 +17,9 @@ from pactlens.operators.similar import nearest
 def shared_tokens(pool: DataFrame, query_tokens: DataFrame, item_tokens: DataFrame) -> DataFrame:
     """Add ``length`` and ``shared`` to (query_id, item_id, ...) pairs that did not come from ``nearest``; here ``t`` is the token itself.
 
-    ``query_tokens`` and ``item_tokens`` carry array columns. Tokens are counted only for items that a pair names, inside the row.
+    ``query_tokens`` and ``item_tokens`` carry array columns; pass only items that pairs may name.
     """
-    named = item_tokens.join(pool.select("item_id").distinct(), "item_id", "left_semi")
-    counts = named.select("item_id", F.explode_outer("tokens").alias("_t")).groupBy("item_id", "_t").agg(F.count("_t").cast("int").alias("_f"))
+    counts = item_tokens.select("item_id", F.explode_outer("tokens").alias("_t")).groupBy("item_id", "_t").agg(F.count("_t").cast("int").alias("_f"))
     # Token frequencies once per item; an item's own text bounds its map.
     items = counts.groupBy("item_id").agg(
         F.sum("_f").cast("long").alias("length"),

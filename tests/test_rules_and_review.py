@@ -1,12 +1,15 @@
 """Rule screening, summaries and the whole review on Korean gold texts."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from pactlens.operators import candidates as cand
-from pactlens.operators import retrieve, screen, summarize
+from pactlens.operators import factors, retrieve, screen, summarize
 from pactlens.packs import korean
 from pactlens.packs.defaults import KOREAN_RULES
+from pactlens.packs.model import RulePack
 from pactlens.plans.review import run_review
 
 GOLD = [
@@ -224,3 +227,45 @@ def test_full_mode_keeps_rule_findings(spark, review_docs):
     assert keys(full) == keys(base)
     got = {r.doc_id: r.disposition for r in full.results.collect()}
     assert got[4] == "needs_review"
+
+
+@pytest.mark.parametrize(("pattern", "literals"), [
+    ("일방적으로", {"일방적으로"}), ("MIT|Apache|GNU", {"MIT", "Apache", "GNU"}), (r"\[EMAIL_[0-9]+\]", {"[EMAIL_"}), ("a(?:bc|de)f?x{2}", {"bc", "de"}),
+    ("[0-9]+", None), ("ab|[cd]", None), ("(?i)license", None), ("x*longer(y|)", {"longer"}), ("(?=ahead)z", {"z"}), ("(", None), ("", None),
+])
+def test_required_literals(pattern, literals):
+    found = factors.required_literals(pattern)
+    assert (found and set(found)) == literals
+
+
+def _generated(n):
+    """Rules whose groups have alternatives of a literal with something around it."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdef") for _ in range(rnd.randint(2, 4)))
+    part = lambda: rnd.choice([word(), f"{word()}[a-f]?", f"(?:{word()}|{word()})", f"{word()} ?{word()}", "[ab]c"])
+    rules = [
+        {"id": f"G{i}", "name": f"rule {i}", "category": f"c{i}", "context_terms": [word()], "labels": ["one"],
+         "required_pattern_groups": [[part() for _ in range(rnd.randint(1, 2))] for _ in range(rnd.randint(1, 3))],
+         "negative_patterns": [word()] * rnd.randint(0, 1), "negative_pattern_groups": [[word()], [word()]] if rnd.random() < 0.3 else []}
+        for i in range(n)
+    ]
+    return RulePack("1", rules)
+
+
+def test_automaton_and_literal_screening_agree(spark):
+    rnd = random.Random(11)
+    pack = _generated(40)
+    rows = [(i, "".join(rnd.choice("abcdef .") for _ in range(rnd.randint(0, 120)))) for i in range(300)]
+    clauses = spark.createDataFrame(rows, "k int, text string")
+    literal, by_factor = (sorted(map(str, screen.screen(clauses, pack, literal_rules=n).collect())) for n in (1000, 0))
+    assert literal and literal == by_factor
+    assert screen.screen(clauses, RulePack("1", [])).count() == 0
+
+
+def test_many_rules_cost_little_more_than_few(spark):
+    """A thousand rules against the bundled pack on the same texts: what the automaton names is close to what matches."""
+    rnd = random.Random(12)
+    finder = factors.RuleFinder([(i, r["required_pattern_groups"]) for i, r in _generated(1000).select(None)])
+    assert len(finder.always) < 100
+    text = "".join(rnd.choice("ghijkl .") for _ in range(2000))
+    assert finder.candidates(text) == finder.always and finder.candidates("") == finder.always

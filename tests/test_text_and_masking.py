@@ -153,3 +153,18 @@ def test_small_helpers(spark):
     assert (got[0].start, got[0].stop) == (4, 9) and got[1] is None
     long = spark.createDataFrame([("가" * 200,)], "t string").select(tx.bounded(F.col("t")).alias("b")).collect()[0].b
     assert len(long) == 119 and long.endswith("…")
+
+
+def test_many_spans_keep_their_offsets(spark):
+    """More matches than one part of the fold holds, and matches at both ends."""
+    rnd = random.Random(2)
+    texts = ["", "x", "12", "1 " * 500 + "2", "".join(rnd.choice("ab1 😀") for _ in range(3000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", tx.spans(F.col("t"), "[0-9]+").alias("s"))
+    for r in df.collect():
+        assert [(s.start, s.stop, s.hit) for s in r.s] == [(*m.span(), m[0]) for m in re.finditer("[0-9]+", texts[r.k])]
+
+
+def test_kept_prefix_of_spans(spark):
+    df = spark.createDataFrame([("id: ab, no: c, id:  d",)], "t string")
+    hits = df.select(tx.spans(F.col("t"), "(id:|no:)( +)([a-z])", (1, 2)).alias("s")).first().s
+    assert [(s.start, s.kept) for s in hits] == [(0, 4), (8, 4), (15, 5)]
