@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pactlens.functions.text import let
 from pactlens.llm.common import SPACE, keyed, remove, save, whole_text, work_folder
 
 BLOCK_BYTES = 4096
@@ -20,9 +21,13 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, rf"[\x09-\x0D]{SPACE}*|\x20{SPACE}+", " ")
 
 
-def _blocks(text: Column, size: int) -> Column:
-    """The UTF-8 bytes in blocks of ``size``; an empty text is one empty block. Slicing bytes takes constant time."""
-    data = F.encode(text, "UTF-8")
+def _data() -> Column:
+    """The UTF-8 bytes of the normalised text."""
+    return F.encode(normalised(whole_text()), "UTF-8")
+
+
+def _blocks(data: Column, size: int) -> Column:
+    """Bytes in blocks of ``size``; no bytes are one empty block. ``data`` is a column or a bound value: it is read for each block."""
     last = F.greatest(F.floor((F.octet_length(data) - 1) / size), F.lit(0)).cast("int")
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(data, i * size + 1, F.lit(size)))
 
@@ -34,7 +39,7 @@ def _key(block: Column, seed: int) -> Column:
 
 def _name_blocks(docs: DataFrame, size: int, seed: int, path: str) -> DataFrame | None:
     """(a, b, name) for every distinct block, named in sorted order; None if two blocks share a key."""
-    blocks = docs.select(F.explode(_blocks(normalised(whole_text()), size)).alias("block"))
+    blocks = docs.select(F.explode(let(_data(), lambda d: _blocks(d, size))).alias("block"))
     keyed_blocks = blocks.select(_key(F.col("block"), seed).alias("k"), "block").select("k.*", "block")
     # Copies meet before the shuffle, and each distinct block crosses it once per task.
     distinct = keyed_blocks.groupBy("a", "b").agg(F.min("block").alias("block"), F.max("block").alias("other"))
@@ -51,9 +56,10 @@ def identities(docs: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES) ->
     spark, seed = docs.sparkSession, 0
     while (names := _name_blocks(docs, block_bytes, seed, f"{folder}/names0-{seed}")) is None:
         seed += 1
-    text = normalised(whole_text())
-    keys = F.transform(_blocks(text, block_bytes), lambda b: _key(b, seed))
-    rows = save(docs.select("_row", "doc_id", F.sha2(F.encode(text, "UTF-8"), 256).alias("text_sha256"), keys.alias("keys")), f"{folder}/rows")
+    read = let(_data(), lambda d: F.struct(
+        F.sha2(d, 256).alias("text_sha256"), F.transform(_blocks(d, block_bytes), lambda b: _key(b, seed)).alias("keys")))
+    # Packed in an array and taken out by a generator, so that both fields come from one reading of the text.
+    rows = save(docs.select("_row", "doc_id", F.inline(F.array(read))), f"{folder}/rows")
     parts = rows.select("_row", F.size("keys").alias("n"), F.posexplode("keys").alias("pos", "k"))
     longest = rows.agg(F.max(F.size("keys"))).first()[0] or 1
     # Names and keys are narrow: 24 bytes for each block. A hot key is split by the skew join.

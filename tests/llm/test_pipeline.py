@@ -5,8 +5,8 @@ from collections import Counter
 import corpus
 import corpus_pipeline as pipeline
 import pytest
-from pactlens.llm import decontaminate, quality, simhash
-from test_llm_operators import DATA, drop_lines, linked
+from pactlens.llm import decontaminate, quality
+from test_llm_operators import DATA, drop_lines
 
 COLUMNS = [f.name for f in corpus.SCHEMA]
 
@@ -42,10 +42,33 @@ def test_line_stage(spark, sf, docs):
         (r[0], text(r, t), r[2], r[3], None if r[1] is None else len(t), *r[5:]) for r, _, _, t in drop_lines(DATA))
 
 
+def linked_sets(sets):
+    """The first of the sets that each is linked to by steps of a similarity of 0.8."""
+    roots = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or (a and b and 10 * len(a & b) >= 8 * len(a | b)):
+                old, new = max(roots[i], roots[j]), min(roots[i], roots[j])
+                roots = [new if r == old else r for r in roots]
+    return roots
+
+
+def test_copies_of_one_text_are_linked_by_their_original(spark, sf):
+    """Copies that differ from each other in two words are near the original only; few pairs are needed to see it."""
+    from pactlens.llm import shingle_dedup
+
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base)] + [" ".join(base[:k] + [f"x{k}"] + base[k + 1:]) for k in range(8, 52)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_row long, text string")
+    assert {r.component_id for r in shingle_dedup.near_groups(docs, "_row", 5).collect()} == {0}
+
+
 def test_near_stage(spark, sf, docs):
     out = pipeline.keep_one_of_near_copies(spark, docs, sf)
-    prints = [sum((x & (2**64 - 1)) << (64 * i) for i, x in enumerate(simhash.fingerprint(r[1], 5, 4))) for r in DATA]
-    roots = linked(prints, pipeline.RADIUS)
+    words = [(r[1] or "").encode().lower().split() for r in DATA]
+    sets = [{tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    roots = linked_sets(sets)
     kept = Counter(t for t in (tuple(r) for r in out.collect()))
     assert out.columns == COLUMNS and not kept - Counter(DATA)
     group = {r: c for r, c in zip(DATA, roots, strict=True)}
