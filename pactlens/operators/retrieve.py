@@ -70,7 +70,7 @@ def pool_size(top_k: int) -> int:
 def hybrid_search(
     queries: DataFrame, index: DataFrame, top_k: int = 5,
     weights: tuple[float, float, float] = (VECTOR_WEIGHT, LEXICAL_WEIGHT, AUTHORITY_WEIGHT),
-    encoder: Encoder | None = None,
+    encoder: Encoder | None = None, tile_rows: int | None = None,
 ) -> DataFrame:
     """Ranked evidence per query over all collections.
 
@@ -90,7 +90,7 @@ def hybrid_search(
     weight = F.coalesce("authority_weight", F.lit(DEFAULT_AUTHORITY)).alias("_auth")
     pool = nearest(
         queries.select("query_id", wanted_vec, F.array_distinct(tokens).alias("tokens")), index.select(*keys, vec, tokens.alias("tokens"), weight),
-        pool_size(top_k), carry=["_auth"],
+        pool_size(top_k), tile_rows=tile_rows, carry=["_auth"],
     ).withColumnRenamed("score", "vector_score")
     wv, wl, wa = weights
     scored = bm25(pool).withColumn(

@@ -384,3 +384,27 @@ def usage_totals(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("role") == "assistant", 1600).otherwise(700).alias("max_output_tokens"),
     )
     return modelio.usage_totals(c, "conv_id")
+
+
+@query("SELECT item_id, length(text)::DOUBLE AS chars, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS spaces FROM benchmark")
+def encoder_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of a user's encoder in place of the hashed ones: an encoder of two plain numbers."""
+    vectors = em.embed(F.col("text"), lambda texts: [[len(t), t.count(" ")] for t in texts])
+    return table(spark, sf, "benchmark").select("item_id", vectors.alias("v")).select(
+        "item_id", F.get("v", F.lit(0)).alias("chars"), F.get("v", F.lit(1)).alias("spaces")
+    )
+
+
+@query(f"""WITH {_search_sql(_CASE_SQL, _INDEX_SQL, 20)}, {_rank_sql(3)},
+g AS (SELECT query_id, rank, item FROM ranked), n AS (SELECT b.item_id AS case_id, count(g.item) AS hits, count(*) FILTER (g.item = b.item_id) AS own FROM benchmark b LEFT JOIN g ON g.query_id = b.item_id GROUP BY 1)
+SELECT case_id, CAST(hits AS BIGINT) AS hits, CAST(own AS BIGINT) AS own FROM n""")
+def blocked_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits of each case, with an index that is cut into many small blocks: the pool is merged from all of them."""
+    b = table(spark, sf, "benchmark")
+    cases = b.select(F.col("item_id").alias("query_id"), F.regexp_extract("text", r"^[^.]*[.]", 0).alias("text"))
+    hits = retrieve.hybrid_search(cases, evidence_index(spark, sf), 3, tile_rows=16)
+    per = hits.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("hits"), F.count_if(F.col("evidence_id") == F.col("query_id")).alias("own")
+    )
+    every = b.select(F.col("item_id").alias("case_id"))
+    return every.join(per, F.col("case_id") == F.col("query_id"), "left").select("case_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("hits", "own")])

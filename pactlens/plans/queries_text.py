@@ -460,3 +460,16 @@ def locate_compact(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         "doc_id", F.col("located.start").cast("long").alias("char_start"), F.col("located.stop").cast("long").alias("char_end")
     )
+
+
+_LAST_SYLLABLES = ["권", "리", "해지", "통지", "책임", "x", "1", "가"]
+
+
+@query(f"""WITH w AS (SELECT doc_id, text, list_extract({_LAST_SYLLABLES!r}, CAST(1 + doc_id % {len(_LAST_SYLLABLES)} AS INTEGER)) AS last FROM documents),
+t AS (SELECT doc_id, regexp_extract(text, '[A-Za-z]+') || CASE WHEN doc_id % 9 = 0 THEN '' ELSE last END AS word FROM w)
+SELECT doc_id, CASE WHEN unicode(right(word, 1)) BETWEEN 44032 AND 55203 AND (unicode(right(word, 1)) - 44032) % 28 <> 0 THEN '을' ELSE '를' END AS particle FROM t""")
+def object_particles(spark: SparkSession, sf: str) -> DataFrame:
+    """Object particle after each document's first word; most words get a Korean ending here, as the texts have none."""
+    ending = F.get(F.array(*[F.lit(s) for s in _LAST_SYLLABLES]), (F.col("doc_id") % len(_LAST_SYLLABLES)).cast("int"))
+    word = F.concat(F.regexp_extract("text", "[A-Za-z]+", 0), F.when(F.col("doc_id") % 9 == 0, "").otherwise(ending))
+    return documents(spark, sf).select("doc_id", tx.object_particle(word).alias("particle"))
