@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pactlens.constants import RISK_LEVELS
 
-SCORE_BLOCKS = 1_000
+SCORE_RANGES = 128
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -182,15 +182,16 @@ def disagreements(annotations: DataFrame) -> DataFrame:
 def threshold_curve(scores: DataFrame) -> DataFrame:
     """Precision, recall and F1 at every distinct score, from (score double, positive boolean).
 
-    Rows are first summed per distinct score, then cumulated with a two-level prefix over score
-    blocks, so no single task sees all scores.
+    Rows are first summed per distinct score, then cumulated with a two-level prefix over ranges of scores. The ranges end at
+    approximate quantiles of the distinct scores, so each task gets about as many of them however close they lie.
     """
     per = scores.groupBy("score").agg(
         F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg")
     )
     all_pos = scores.agg(F.count_if("positive").alias("n")).scalar()
-    block = F.floor(F.col("score") * SCORE_BLOCKS)
-    blocked = per.withColumn("_b", block)
+    placed = per.filter("score IS NOT NULL")
+    ends = placed.agg(F.percentile_approx("score", [i / SCORE_RANGES for i in range(1, SCORE_RANGES)], 20 * SCORE_RANGES)).scalar()
+    blocked = placed.withColumn("_ends", ends).withColumn("_b", F.size(F.filter("_ends", lambda e: e <= F.col("score")))).drop("_ends")
     totals = blocked.groupBy("_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
     above = W.orderBy(F.col("_b").desc()).rowsBetween(W.unboundedPreceding, -1)
     base = totals.select(

@@ -54,6 +54,18 @@ def test_calibration_equals_brute_force(spark):
         assert ev.calibrate_threshold(df, floor).collect()[0].threshold == best[1]
     empty = spark.createDataFrame([(0.9, False)], "score double, positive boolean")
     assert ev.calibrate_threshold(empty).collect()[0].threshold == 0.72
+    assert ev.calibrate_threshold(empty.limit(0)).collect()[0].threshold == 0.72
+
+
+def test_close_scores_are_spread_over_ranges(spark):
+    """Scores within a thousandth of each other: the curve is right at every one of them."""
+    close = spark.range(20_000).select((F.lit(0.5) + F.col("id") / 2e7).alias("score"), (F.xxhash64("id") % 3 == 0).alias("positive"))
+    rows = sorted(((r.score, r.positive) for r in close.collect()), reverse=True)
+    total, tp, want = sum(p for _, p in rows), 0, {}
+    for i, (score, positive) in enumerate(rows):
+        tp += positive
+        want[score] = (round(tp / (i + 1), 9), round(tp / total, 9))
+    assert {r.threshold: (round(r.precision, 9), round(r.recall, 9)) for r in ev.threshold_curve(close).collect()} == want
 
 
 def test_prefix_sums_and_salted_join_on_a_hot_key(spark):
