@@ -22,7 +22,9 @@ _IN_PARTITION = (1 << 33) - 1
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder for tables between steps, in the folder that the cluster shares (``spark.checkpoint.dir``)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:  # only without a cluster setting, as in tests
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-llm-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
