@@ -5,6 +5,10 @@ give the continuation counts of bigrams, those give the ones of words, and joins
 discounted probabilities and interpolation weights. The finished tables have no more rows than the sample has tokens, so they go to
 every worker, and each document's perplexity needs no shuffle. A document is rejected above its language's threshold, a
 quantile of trusted documents that the model has not seen.
+
+Toxic text reads like any other but for a few words, which a mean over all words hides. So the lowest order of the model, the
+continuation shares of words, is fitted to a bounded sample of labelled toxic documents as well. The log odds of a document's
+different words, as far as they are above ``LEAST_ODDS``, add up to a score with a threshold of the same kind.
 """
 
 from __future__ import annotations
@@ -22,10 +26,14 @@ from pactlens.llm.common import save, work_folder
 SAMPLE_DOCS = 2000  # trusted documents that the model is fitted on, at most
 SAMPLE_BYTES = 1 << 16  # longer documents are not taken into the sample
 QUANTILE = 0.998
-MARGIN = 0.25  # of log10 perplexity, above the quantile
+MARGIN = 0.05  # of log10 perplexity, above the quantile
+LEAST_ODDS = 1.0  # log10 odds that a word must exceed to count as a sign of toxic text; it counts by the excess
+TOXIC_MARGIN = 0.1  # of the toxic score, above the quantile
+HELD_BROADCAST = 1_000_000  # ids of trusted documents up to which they are sent to the workers, before their texts are scored
 LEAST_TRUSTED = 100  # trusted documents that a language needs for a threshold of its own
 PRIOR_TOKENS = 30.0  # weight of the typical perplexity in a document's: short texts say little
 CACHE_WORDS = 300_000
+_MARKS = b"\"'`.,;:!?()[]{}<>*_-"
 BOS, END, FIRST = 0, 1, 2  # ids of the marks, and of the first word
 
 
@@ -190,27 +198,83 @@ def log_probability(model: Model, texts: list[str | None], ids: Ids) -> tuple[np
     return np.add.reduceat(logs, starts), sizes
 
 
-def perplexities(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with n_tokens and logp; one pass over the texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def bare(word: bytes) -> bytes:
+    """A word without marks at its ends, A-Z lower-cased; a word of marks only is itself."""
+    return (word.strip(_MARKS) or word).lower()
+
+
+class Signs(dict):
+    """Word to the hash of its bare form if that is a sign of toxic text, else 0, with a bounded memory."""
+
+    def __init__(self, odds: dict[int, float]):
+        super().__init__()
+        self.odds = odds
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        found = _word_hash(bare(word))
+        self[word] = value = found if found in self.odds else 0
+        return value
+
+    def score(self, words: list[bytes]) -> float:
+        """Sum over the different signs; in the order of hashes, so that equal texts have equal scores."""
+        return sum(self.odds[h] for h in sorted(set(map(self.__getitem__, words)) - {0}))
+
 
-    @F.pandas_udf("n_tokens long, logp double")
+def word_odds(sample: DataFrame) -> dict[int, float]:
+    """Hash of a bare word to the log10 odds of its continuation share in toxic against trusted texts, less ``LEAST_ODDS``, where positive.
+
+    ``sample`` (text, bad) is bounded. A word's count is the number of different words before it, or of different texts with it if those are
+    fewer, so that one odd document makes no sign.
+    """
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text, bad in zip(batch["text"], batch["bad"], strict=True):
+                h = [0] + [_word_hash(bare(w)) for w in tokens(text)]
+                found = pd.DataFrame({"v": np.array(h[:-1], np.uint64).view(np.int64), "w": np.array(h[1:], np.uint64).view(np.int64)}).drop_duplicates()
+                yield found.assign(d=np.uint64(_word_hash((text or "").encode())).view(np.int64), bad=bool(bad))
+
+    seen = sample.mapInPandas(pairs, "v long, w long, d long, bad boolean")
+    n = seen.groupBy("bad", "w").agg(F.least(F.count_distinct("v"), F.count_distinct("d")).alias("n"))
+    rows = n.groupBy("w").agg(*[F.coalesce(F.sum(F.when(F.col("bad") == b, F.col("n"))), F.lit(0)).alias(c) for b, c in ((True, "b"), (False, "g"))])
+    table = rows.toArrow()
+    shares = []
+    for c in ("b", "g"):
+        k = table[c].to_numpy().astype(np.float64)
+        ones, twos, total = (k == 1).sum(), (k == 2).sum(), max(k.sum(), 1.0)
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        shares.append((np.maximum(k - d, 0) + d * (k > 0).sum() / (len(k) + 1)) / total)
+    odds = np.log10(shares[0] / shares[1]) - LEAST_ODDS if len(table) else np.zeros(0)
+    up = (odds > 0) & (table["b"].to_numpy() > 1)
+    return dict(zip(table["w"].to_numpy()[up].view(np.uint64).tolist(), odds[up].tolist(), strict=True))
+
+
+def perplexities(docs: DataFrame, model: Model, odds: dict[int, float]) -> DataFrame:
+    """``docs`` with n_tokens, logp and cue, the toxic score; one pass over the texts."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, odds))
+
+    @F.pandas_udf("n_tokens long, logp double, cue double")
     def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        ids = Ids(model.words)
+        model, odds = shared.value
+        ids, signs = Ids(model.words), Signs(odds)
         for batch in batches:
             texts, out = batch.tolist(), []
             for at in range(0, len(texts), 256):
-                logp, sizes = log_probability(model, texts[at:at + 256], ids)
-                out.append(pd.DataFrame({"n_tokens": sizes, "logp": logp}))
-            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"n_tokens": np.zeros(0, np.int64), "logp": np.zeros(0)})
+                part = texts[at:at + 256]
+                logp, sizes = log_probability(model, part, ids)
+                cue = [signs.score(tokens(t)) for t in part]
+                out.append(pd.DataFrame({"n_tokens": sizes, "logp": logp, "cue": np.array(cue, np.float64)}))
+            none = {"n_tokens": np.zeros(0, np.int64), "logp": np.zeros(0), "cue": np.zeros(0)}
+            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame(none)
 
     return docs.withColumn("_m", measure("text"))
 
 
 def classify(
-    docs: DataFrame, trusted: DataFrame, sample_docs: int = SAMPLE_DOCS, quantile: float = QUANTILE, margin: float = MARGIN,
-    prior: float = PRIOR_TOKENS, folder: str | None = None,
+    docs: DataFrame, trusted: DataFrame, toxic: DataFrame | None = None, sample_docs: int = SAMPLE_DOCS, quantile: float = QUANTILE,
+    margin: float = MARGIN, prior: float = PRIOR_TOKENS, folder: str | None = None, toxic_margin: float = TOXIC_MARGIN,
 ) -> DataFrame:
     """Judge every document of ``docs`` (doc_id, text, lang, ..).
 
@@ -218,44 +282,53 @@ def classify(
     most about ``sample_docs`` of them that are at most ``SAMPLE_BYTES`` long; the other half gives the thresholds: per
     language the ``quantile`` of log10 perplexity, plus ``margin``. A language with fewer than ``LEAST_TRUSTED``, or none
     (null), has the threshold of all. A document's log10 perplexity is averaged with the typical one of trusted text,
-    weighing as much as ``prior`` tokens; empty and null texts, which have one token, are kept by that. Without trusted
-    documents all are kept. Returns one row per row: _doc (the whole row as a struct), n_tokens, perplexity, score (the
-    averaged log10), threshold, kept. Repeated rows are judged alike. An empty table gives an empty result.
+    weighing as much as ``prior`` tokens; empty and null texts, which have one token, are kept by that. ``toxic`` names toxic documents, of
+    which at most about ``sample_docs`` of the same length give the word odds; a document whose toxic score is above the quantile of
+    trusted ones of its language plus ``toxic_margin`` is rejected, too. Without trusted documents all are kept, without toxic ones
+    perplexity alone decides. Returns one row per row: _doc (the whole row as a struct), n_tokens, perplexity, score (the
+    averaged log10), threshold, toxic_score, toxic_threshold, kept. Repeated rows are judged alike. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     folder = folder or work_folder(spark, "quality")
     side = F.pmod(F.xxhash64("_id"), F.lit(2))
     names = save(trusted.select(F.col("doc_id").alias("_id")).filter("_id IS NOT NULL").distinct(), f"{folder}/trusted")
-    fits = names.filter(side == 0)
-    every = max(1, -(-fits.count() // sample_docs))
-    chosen = fits.filter(F.pmod(F.xxhash64(F.lit(1), "_id"), F.lit(every)) == 0)
+    fits, rest = names.filter(side == 0), names.filter(side == 1)
     short = docs.select("doc_id", "text").filter(F.octet_length("text") <= SAMPLE_BYTES)
-    sample = save(short.join(chosen, F.col("doc_id") == F.col("_id"), "left_semi").select("text"), f"{folder}/sample")
-    model = fit(sample, f"{folder}/model")
+
+    def sampled(ids: DataFrame, path: str) -> DataFrame:
+        every = max(1, -(-ids.count() // sample_docs))
+        chosen = ids.filter(F.pmod(F.xxhash64(F.lit(1), "_id"), F.lit(every)) == 0)
+        return save(short.join(chosen, F.col("doc_id") == F.col("_id"), "left_semi").select("text"), f"{folder}/{path}")
+
+    sample = sampled(fits, "sample")
+    model, odds = fit(sample, f"{folder}/model"), {}
+    if toxic is not None:
+        bad = save(toxic.select(F.col("doc_id").alias("_id")).filter("_id IS NOT NULL").distinct(), f"{folder}/toxic")
+        bad = sampled(bad, "toxic_sample")
+        odds = word_odds(sample.withColumn("bad", F.lit(False)).unionByName(bad.withColumn("bad", F.lit(True))))
     language = F.coalesce(F.col("_doc.lang"), F.lit(""))
     packed = docs.select(F.struct("*").alias("_doc"), "text")
-    scored = perplexities(packed, model).select(
-        "_doc", F.col("_m.n_tokens").alias("n_tokens"), (-F.col("_m.logp") / F.col("_m.n_tokens")).alias("entropy"))
-    # Texts don't cross a shuffle: what the thresholds need is measured on narrow rows first.
-    narrow = perplexities(docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text"), model)
-    narrow = narrow.select("doc_id", "lang", F.col("_m.n_tokens").alias("n_tokens"), (-F.col("_m.logp") / F.col("_m.n_tokens")).alias("entropy"))
-    held = save(narrow.join(names.filter(side == 1), F.col("doc_id") == F.col("_id"), "left_semi"), f"{folder}/held")
+    measured = [F.col("_m.n_tokens").alias("n_tokens"), (-F.col("_m.logp") / F.col("_m.n_tokens")).alias("entropy"), F.col("_m.cue").alias("cue")]
+    scored = perplexities(packed, model, odds).select("_doc", *measured)
+    # Texts don't cross a shuffle: few ids go to the texts, and for many, all texts are measured and narrow rows are joined.
+    narrow, held_ids = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text"), F.col("doc_id") == F.col("_id")
+    few = rest.count() <= HELD_BROADCAST
+    if few:
+        narrow = narrow.join(F.broadcast(rest), held_ids, "left_semi")
+    narrow = perplexities(narrow, model, odds).select("doc_id", "lang", *measured)
+    held = save(narrow if few else narrow.join(rest, held_ids, "left_semi"), f"{folder}/held")
     typical = held.agg(F.percentile_approx("entropy", 0.5, 10_000)).first()[0]
     typical = 0.0 if typical is None else float(typical)
-
-    def averaged(entropy: Column, n: Column) -> Column:
-        return (entropy * n + prior * typical) / (n + prior)
-
-    graded = held.withColumn("score", averaged(F.col("entropy"), F.col("n_tokens")))
-    cut = F.percentile_approx("score", quantile, 10_000).alias("cut")
-    overall = graded.agg(cut).first()[0]
-    own = graded.groupBy("lang").agg(cut, F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_TRUSTED)
-    limits = save(own.select(F.col("lang").alias("_lang"), "cut"), f"{folder}/limits")
-    most = F.lit(None if overall is None else float(overall)).cast("double")
-    score = averaged(F.col("entropy"), F.col("n_tokens"))
-    judged = scored.withColumn("_l", language).join(limits, F.col("_l") == F.col("_lang"), "left")
-    judged = judged.withColumn("score", score).withColumn("threshold", F.coalesce("cut", most) + margin)
+    score = (F.col("entropy") * F.col("n_tokens") + prior * typical) / (F.col("n_tokens") + prior)
+    graded = held.withColumn("score", score)
+    cuts = [F.percentile_approx(c, quantile, 10_000).alias(f"{c}_cut") for c in ("score", "cue")]
+    overall = [F.lit(None if v is None else float(v)).cast("double") for v in graded.agg(*cuts).first()]
+    own = graded.groupBy("lang").agg(*cuts, F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_TRUSTED)
+    limits = save(own.select(F.col("lang").alias("_lang"), "score_cut", "cue_cut"), f"{folder}/limits")
+    judged = scored.withColumn("_l", language).join(limits, F.col("_l") == F.col("_lang"), "left").withColumn("score", score)
+    judged = judged.withColumn("threshold", F.coalesce("score_cut", overall[0]) + margin)
+    judged = judged.withColumn("toxic_threshold", F.coalesce("cue_cut", overall[1]) + toxic_margin)
     return judged.select(
-        "_doc", "n_tokens", F.pow(F.lit(10.0), "entropy").alias("perplexity"), "score", "threshold",
-        F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)).alias("kept"),
+        "_doc", "n_tokens", F.pow(F.lit(10.0), "entropy").alias("perplexity"), "score", "threshold", F.col("cue").alias("toxic_score"), "toxic_threshold",
+        F.coalesce((F.col("score") <= F.col("threshold")) & (F.col("cue") <= F.col("toxic_threshold")), F.lit(True)).alias("kept"),
     )

@@ -71,10 +71,15 @@ def trusted(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
 
 
+def toxic(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents labelled toxic."""
+    return table(spark, sf, "labels").filter("toxic = 1").select("doc_id")
+
+
 def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
-    """Perplexity of every document and whether it stays."""
-    out = quality.classify(table(spark, sf, "documents").select("doc_id", "text", "lang"), trusted(spark, sf))
-    return out.select("_doc.doc_id", "_doc.lang", "n_tokens", "perplexity", "threshold", "kept")
+    """Perplexity and toxic score of every document and whether it stays."""
+    out = quality.classify(table(spark, sf, "documents").select("doc_id", "text", "lang"), trusted(spark, sf), toxic(spark, sf))
+    return out.select("_doc.doc_id", "_doc.lang", "n_tokens", "perplexity", "threshold", "toxic_score", "toxic_threshold", "kept")
 
 
 def op2_sentence_dedup(spark: SparkSession, sf: str) -> DataFrame:

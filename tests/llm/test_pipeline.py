@@ -31,7 +31,7 @@ def test_stages_in_order():
 
 def test_quality_stage(spark, sf, docs):
     out = pipeline.drop_low_quality(spark, docs, sf)
-    judged = quality.classify(docs, pipeline.trusted(spark, sf))
+    judged = quality.classify(docs, pipeline.trusted(spark, sf), pipeline.toxic(spark, sf))
     assert out.columns == COLUMNS and rows(out) == rows(judged.filter("kept").select("_doc.*"))
 
 
