@@ -280,25 +280,73 @@ def test_suffix_slices_give_the_same(spark, sf, monkeypatch):
     suffix_dedup._POWERS.clear()
 
 
+def plain_sentences(text):
+    """Pieces by a loop over the words: (words, text of the piece)."""
+    pieces, now, calm, at = [], [], 0, 0
+    found = list(re.finditer(r"\S+", text))
+    for k, m in enumerate(found):
+        now.append(m[0].encode().lower())
+        calm += 1
+        stop = re.search(r"[.!?\u3002\uff01\uff1f\u2026][\"'`)\]}\u00bb\u201d\u2019\u300d\u300f]*$", m[0])
+        picked = calm > sentence_dedup.CALM and (xxhash.xxh64_intdigest(now[-1], 1) >> 32) % sentence_dedup.PICK == 0
+        if stop or picked or k == len(found) - 1:
+            end = found[k + 1].start() if k + 1 < len(found) else len(text)
+            pieces.append((now, text[at:end]))
+            now, at = [], end
+        if stop:
+            calm = 0
+    return pieces or ([([], text)] if text else [])
+
+
 def test_sentence_dedup(spark, sf):
-    first, want = {}, Counter()
-    docs = [(r, sentence_dedup.sentences(r[1] or "")) for r in sorted(DATA, key=order)]
-    for r, s in docs:
-        assert "".join(s) == (r[1] or "")
+    first, want = set(), Counter()
+    for r in sorted(DATA, key=order):
+        s = plain_sentences(r[1] or "")
+        assert [t for _, t in s] == sentence_dedup.sentences(r[1] or "")
         gone = set()
         for i in range(len(s)):
-            for j in range(i + 3, len(s) + 1):
-                run = " ".join("".join(s[i:j]).encode().lower().decode().split())
-                if len(run.encode().split()) >= 20:
+            for j in range(i + 1, len(s) + 1):
+                run = b" ".join(w for piece, _ in s[i:j] for w in piece)
+                if len(run.split()) >= sentence_dedup.WORDS:
                     if run in first:
                         gone |= set(range(i, j))
-                    first.setdefault(run, 1)
+                    first.add(run)
                     break
-        want[r[0], len(s), len(gone), sha("".join(x for i, x in enumerate(s) if i not in gone))] += 1
+        want[r[0], len(s), len(gone), sha("".join(t for i, (_, t) in enumerate(s) if i not in gone))] += 1
     assert got(queries.op2_sentence_dedup(spark, sf), "doc_id", "n_sentences", "n_removed", "kept_sha256") == want
     assert sum(n for (_, _, n, _) in want) > 10
 
 
+@pytest.mark.parametrize("form", ["prose", "one sentence", "no stops", "wrapped"])
+def test_repeated_passages_of_sixty_words_are_found(form):
+    """Passages without sentence ends, cut anywhere, between other words: nearly all words go, also where lines break elsewhere."""
+    import random
+
+    rng, known = random.Random(form), sentence_dedup.Words()
+    hit = total = 0
+    for _ in range(200):
+        stop = {"prose": 0.09, "wrapped": 0.09, "one sentence": 0.0, "no stops": 0.0}[form]
+        word = lambda: f"{rng.choice('abcdefgh')}{rng.randrange(3000)}" + "." * (rng.random() < stop)
+        passage = [word() for _ in range(60)]
+        if form == "one sentence":
+            passage[-1] += "."
+        texts = [" ".join(word() for _ in range(30)) + " " + " ".join(passage) + " " + " ".join(word() for _ in range(30)) for _ in range(2)]
+        if form == "wrapped":
+            texts[1] = re.sub(" ", lambda m: rng.choice("   \n"), texts[1])
+        seen = set(sentence_dedup.run_hashes(texts[0], known)[0].tolist())
+        code, at, n = sentence_dedup.run_hashes(texts[1], known)
+        covered = {k for c, a, m in zip(code.tolist(), at.tolist(), n.tolist(), strict=True) if c in seen for k in range(a, a + m)}
+        hit += bool(covered)
+        total += sum(len(p.split()) for k, p in enumerate(sentence_dedup.sentences(texts[1])) if k in covered)
+    assert hit >= 0.98 * 200 and total >= 0.6 * 60 * 200
+
+
+def test_full_width_stops_end_sentences():
+    text = "\u4eca\u65e5\u306f\u3002\u660e\u65e5\uff01 next one"
+    assert sentence_dedup.sentences(text) == ["\u4eca\u65e5\u306f\u3002", "\u660e\u65e5\uff01 ", "next one"]
+    assert sentence_dedup.sentences(" \n ") == [" \n "] and sentence_dedup.sentences("") == []
+
+
 def test_mixing(spark, sf):
     out = queries.op6_mix_sources(spark, sf).collect()
     size = [len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in DATA]
@@ -429,6 +477,73 @@ def test_quality_keeps_prose_and_rejects_noise(spark, sf):
     assert none.filter("NOT kept").count() == 0
 
 
+def test_word_odds(spark):
+    """The odds of each word against plain counting."""
+    good = [" ".join(f"w{(i * k) % 23}" for k in range(40)) for i in range(1, 30)]
+    bad = [" ".join(["Vile," if k % 9 == i % 9 else f"w{(i + k * k) % 29}" for k in range(40)]) for i in range(20)] + [None, "", "zz zz1 zz zz2 zz"]
+    df = spark.createDataFrame([(t, False) for t in good] + [(t, True) for t in bad], "text string, bad boolean")
+
+    def counts(texts):
+        left, docs = defaultdict(set), defaultdict(set)
+        for t in texts:
+            before = None
+            for w in ((t or "").encode().split()):
+                w = quality.bare(w)
+                left[w].add(before)
+                docs[w].add(t)
+                before = w
+        return {w: min(len(left[w]), len(docs[w])) for w in left}
+
+    b, g = counts(bad), counts(good)
+    every = set(b) | set(g)
+
+    def share(n, w):
+        ones, twos, total = sum(v == 1 for v in n.values()), sum(v == 2 for v in n.values()), sum(n.values())
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        return (max(n.get(w, 0) - d, 0) + d * len(n) / (len(every) + 1)) / total
+
+    want = {}
+    for w in every:
+        odds = math.log10(share(b, w) / share(g, w)) - quality.LEAST_ODDS
+        if odds > 0 and b.get(w, 0) > 1:
+            want[xxhash.xxh64_intdigest(w)] = odds
+    assert quality.word_odds(df) == pytest.approx(want) and xxhash.xxh64_intdigest(b"vile") in want
+    assert quality.word_odds(df.limit(0)) == {}
+
+
+def test_toxic_documents_go_by_thresholds_of_their_language(spark):
+    """Every decision against quantiles taken in plain Python; most toxic documents outside the sample are caught."""
+    import random
+
+    rng, bad_words = random.Random(8), ["vile", "scummy", "nasty"]
+    docs = []
+    for i in range(900):
+        text = [f"w{int(60 * rng.random() ** 2)}" for _ in range(rng.randint(20, 80))]
+        if i >= 700:
+            for _ in range(2):
+                text.insert(rng.randrange(len(text)), rng.choice(bad_words).title() + rng.choice(["", ",", "!"]))
+        docs.append((i, " ".join(text), ["en", "de", None][i % 3]))
+    docs += [(2000, None, None), (2001, "", "xx")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    ids = lambda r: spark.createDataFrame([(i,) for i in r], "doc_id long")
+    out = {r["_doc"].doc_id: r for r in quality.classify(df, ids(range(600)), ids(range(700, 800))).collect()}
+    from pyspark.sql import functions as F
+
+    held = {r.doc_id for r in ids(range(600)).filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1).collect()}
+
+    def cut(rows, name):
+        v = sorted(r[name] for r in rows)
+        return v[math.ceil(quality.QUANTILE * len(v)) - 1]
+
+    for r in out.values():
+        own = [out[i] for i in held if (out[i]["_doc"].lang or "") == (r["_doc"].lang or "")]
+        own = own if len(own) >= quality.LEAST_TRUSTED else [out[i] for i in held]
+        assert r.threshold == pytest.approx(cut(own, "score") + quality.MARGIN)
+        assert r.toxic_threshold == pytest.approx(cut(own, "toxic_score") + quality.TOXIC_MARGIN)
+        assert r.kept == (r.score <= r.threshold and r.toxic_score <= r.toxic_threshold)
+    assert all(out[i].kept for i in [*range(700), 2000, 2001]) and not any(out[i].kept for i in range(800, 900))
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, sf, empty, name):
     df = queries.QUERIES[name](spark, empty)
