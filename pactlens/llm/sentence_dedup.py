@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,28 +36,25 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 class Words(dict):
-    """Word to (hash, whether it ends a sentence, whether it may end a piece), with a bounded memory. A-Z are lower-cased."""
-
-    def __missing__(self, word: str) -> tuple[int, bool, bool]:
-        import xxhash
+    """Word to its hash, A-Z lower-cased, whose last bits say that it ends a sentence (1) or may end a piece (2); with a bounded memory."""
 
+    def __missing__(self, word: str) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
         h = xxhash.xxh64_intdigest(word.encode().lower(), 1)
-        self[word] = value = (h, word.rstrip(_CLOSERS).endswith(_STOPS), (h >> 32) % PICK == 0)
+        self[word] = value = h >> 2 << 2 | word.rstrip(_CLOSERS).endswith(_STOPS) | 2 * ((h >> 32) % PICK == 0)
         return value
 
 
 def _split(text: str) -> list[str]:
-    return _SOLID_WORD.findall(text) if _HAS_SOLID.search(text) else text.split()
+    return text.split() if text.isascii() or not _HAS_SOLID.search(text) else _SOLID_WORD.findall(text)
 
 
 def _ends(words: list[str], known: Words) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, number of words up to the end of each piece)."""
     n = len(words)
-    facts = list(map(known.__getitem__, words))
-    hashes = np.fromiter((f[0] for f in facts), np.uint64, n)
-    stop, may = np.fromiter((f[1] for f in facts), bool, n), np.fromiter((f[2] for f in facts), bool, n)
+    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, n)
+    stop, may = hashes & np.uint64(1) > 0, hashes & np.uint64(2) > 0
     at = np.arange(n)
     last = np.maximum.accumulate(np.where(stop, at, -1)) if n else at
     end = stop | (may & (at - last > CALM))
@@ -143,9 +141,12 @@ def remove_spans(docs: DataFrame, least: int = WORDS) -> DataFrame:
         for texts, lists in batches:
             out = []
             for text, spans in zip(texts, lists, strict=True):
+                if spans is None:  # nothing goes
+                    out.append((text, max(len(_ends(_split(text), known)[1]), int(text != "")), 0))
+                    continue
                 pieces = sentences(text, known)
                 gone = np.zeros(len(pieces) + 1, np.int64)
-                for m in spans if spans is not None else ():
+                for m in spans:
                     gone[m["pos"]] += 1
                     gone[m["pos"] + m["n"]] -= 1
                 gone = np.cumsum(gone)[:-1] > 0
