@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pactlens.constants import DEFAULT_RIGHT_NAME, RIGHT_NAMES
 from pactlens.functions import text as tx
 from pactlens.operators import lifecycle, masking, pages, screen, segment, summarize
 from pactlens.operators.prefix import spread
@@ -473,3 +474,28 @@ def object_particles(spark: SparkSession, sf: str) -> DataFrame:
     ending = F.get(F.array(*[F.lit(s) for s in _LAST_SYLLABLES]), (F.col("doc_id") % len(_LAST_SYLLABLES)).cast("int"))
     word = F.concat(F.regexp_extract("text", "[A-Za-z]+", 0), F.when(F.col("doc_id") % 9 == 0, "").otherwise(ending))
     return documents(spark, sf).select("doc_id", tx.object_particle(word).alias("particle"))
+
+
+_GUIDED = ["R18_CUSTOMER_RIGHTS_RESTRICTION", "R01", "R02"]  # the last has no template
+_RIGHT_WORDS = [*RIGHT_NAMES, "그 밖의 것"]
+_NAMED_SQL = "CASE word " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in RIGHT_NAMES.items()) + f" ELSE '{DEFAULT_RIGHT_NAME}' END"
+
+
+@query(f"""WITH f AS (SELECT doc_id, list_extract({_GUIDED!r}, CAST(1 + doc_id % 3 AS INTEGER)) AS rule_id,
+  CASE WHEN doc_id % 5 > 0 THEN list_extract({_RIGHT_WORDS!r}, CAST(1 + length(text) % {len(_RIGHT_WORDS)} AS INTEGER)) END AS word FROM documents),
+n AS (SELECT *, {_NAMED_SQL} AS named FROM f),
+p AS (SELECT *, named || CASE WHEN (unicode(right(named, 1)) - 44032) % 28 > 0 THEN '을' ELSE '를' END AS object, rule_id = '{_GUIDED[0]}' AND word IS NOT NULL AS special FROM n)
+SELECT doc_id, rule_id, CASE WHEN rule_id = 'R02' THEN NULL WHEN special THEN '고객의 ' || object || ' 원칙적으로 보존합니다.|second' ELSE rule_id || ' first|second' END AS points,
+  CASE WHEN rule_id = 'R02' THEN NULL WHEN special THEN '고객은 관련 법령과 이 계약에서 정한 절차에 따라 ' || object ||
+    ' 행사할 수 있습니다. 권리 행사가 제한되는 경우에는 그 사유·범위·기간을 구체적으로 명시하고 고객에게 이의제기 및 구제 절차를 안내합니다.' ELSE rule_id || ' example' END AS example_clause,
+  CASE WHEN rule_id <> 'R02' THEN 'v1' END AS guidance_version FROM p""")
+def drafting_guidance(spark: SparkSession, sf: str) -> DataFrame:
+    """Drafting guidance of one finding for each document: rules with and without a template, and the rule that names a right."""
+    rule = F.get(F.array(*[F.lit(r) for r in _GUIDED]), (F.col("doc_id") % 3).cast("int"))
+    word = F.get(F.array(*[F.lit(w) for w in _RIGHT_WORDS]), F.length("text") % len(_RIGHT_WORDS))
+    elements = F.when(F.col("doc_id") % 5 > 0, F.array(F.struct(word.alias("excerpt")))).otherwise(F.array().cast("array<struct<excerpt: string>>"))
+    findings = documents(spark, sf).select("doc_id", rule.alias("rule_id"), elements.alias("elements"))
+    templates = [(r, f"{r} first", "second", f"{r} example", "v1") for r in _GUIDED[:2]]
+    guidance = spark.createDataFrame(templates, "rule_id string, point_one string, point_two string, example_clause string, guidance_version string")
+    out = summarize.attach_guidance(findings, guidance)
+    return out.select("doc_id", "rule_id", F.array_join("revision_points", "|").alias("points"), "example_clause", "guidance_version")
