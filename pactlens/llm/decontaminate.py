@@ -1,30 +1,33 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, names and units become typed placeholders. Windows of the templates of documents and benchmark items meet by hash;
-aligned windows are joined to longer matches, whose slots must be consistent: one value of the item stands for one value of
-the document and the other way round. So questions with other numbers and names are caught, and texts that only share a
-pattern are not.
+Numbers, names and units become typed placeholders; up to three names or numbers in a row are one placeholder. Windows of the
+templates are made in tasks and written as tables. Those of the documents pass a Bloom filter of the benchmark's windows and
+meet them in a hash join; windows of one alignment are read in order and become a match, whose slots must be consistent: one
+value of the item stands for one value of the document and the other way round. So questions with other numbers and names are
+caught, and texts that only share a pattern are not.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactlens.llm.common import whole_text
+from pactlens.llm.common import remove, save, whole_text, work_folder
 
 WINDOW = 8
 LEAST = 13  # template tokens of a match; a shorter item must match whole
 LITERALS = 0.5  # share of a match that must be words and not placeholders, where any slot has another value
 WHOLE = 0.8  # share of the item that a stretch must cover if its slots clash with the ones beside it
 SHORT = 5  # an item of fewer tokens is found only where it is the whole text
-SLICE = 200_000  # benchmark windows that go to the workers at a time
+RUN = 3  # names or numbers in a row that are one placeholder; longer runs, as in headings and tables, stay apart
+FILTER_WORDS = 1 << 20  # 64-bit words of the Bloom filter at most: 8 MB on the driver and in each worker
+PIECE = 20_000  # windows that leave a worker at a time
 CACHE_WORDS = 200_000
 
 UNITS = (
@@ -35,9 +38,11 @@ UNITS = (
 ).split()
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:[eE][+-]?\d+)?(%|[^\W\d_]{0,3})")
 _EDGE = "\"'`.,;:!?()[]{}<>«»“”‘’*_"
-LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
-_CODES = {NUMBER: 0x5851F42D4C957F2D, NAME: 0x14057B7EF767814F, UNIT: 0x2545F4914F6CDD1D}
+NUMBER, NAME, UNIT, START = 1, 2, 3, 4  # START: a capitalised word at a sentence start, a name or not
+_CODES = {NUMBER: np.uint64(0x5851F42D4C957F2D), NAME: np.uint64(0x14057B7EF767814F), UNIT: np.uint64(0x2545F4914F6CDD1D), START: np.uint64(0x632BE59BD9B4E019)}
+_KINDS = {int(code): kind for kind, code in _CODES.items()}
 _B = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.array([1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)  # a run's values are added up, each times its place's factor
 
 
 class Words:
@@ -58,29 +63,39 @@ class Words:
         low = bare.lower()
         number = _NUMBER.fullmatch(bare)
         flags = (1 if number and (number[1] in ("", "%") or number[1].lower() in UNITS) else 0)
-        flags |= 2 * (low in UNITS) | 4 * bare[:1].isupper() | 8 * (word.rstrip("\"'”’)»")[-1:] in tuple(".!?:"))
+        flags |= 2 * (low in UNITS) | 4 * bare[:1].isupper() | 8 * (word[-1] in ".,;:!?)") | 16 * (word.rstrip("\"'”’)»")[-1:] in tuple(".!?:"))
         at = self.at[word] = len(self.at)
         if at == len(self.value):
             self.value, self.flags = np.resize(self.value, 2 * at), np.resize(self.flags, 2 * at)
         self.value[at], self.flags[at] = xxhash.xxh64_intdigest(low.encode()), flags
         return at
 
-    def template(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(codes, types, values) of the tokens. A name is a capitalised word inside a sentence; a unit follows a number."""
+    def template(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(codes, values) of the template's tokens. A name is a capitalised word; a unit follows a number."""
         words = text.split()
         if len(self.at) > CACHE_WORDS:
             self.clear()
         known, look = self.at, self.look
         at = np.fromiter((known[w] if w in known else look(w) for w in words), np.int64, len(words))
         if not len(at):
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         value, flags = self.value[at], self.flags[at]
-        after = np.concatenate([[8], flags[:-1]])
-        types = np.where(flags & 1, NUMBER, np.where((flags & 2 > 0) & (after & 1 > 0), UNIT, np.where((flags & 4 > 0) & (after & 8 == 0), NAME, LITERAL)))
-        codes = value.copy()
-        for kind, code in _CODES.items():
-            codes[types == kind] = np.uint64(code)
-        return codes, types, value
+        number = flags & 1 > 0
+        unit = (flags & 2 > 0) & np.append(False, number[:-1]) & ~number
+        name = (flags & 4 > 0) & ~number & ~unit
+        start = name & np.append(True, flags[:-1] & 16 > 0)
+        codes = np.where(number, _CODES[NUMBER], np.where(unit, _CODES[UNIT], np.where(start, _CODES[START], np.where(name, _CODES[NAME], value))))
+        # A run of one type goes on unless a mark ends the word before.
+        goes_on = np.append(False, ((number[1:] & number[:-1]) | (name[1:] & name[:-1])) & (flags[:-1] & 24 == 0))
+        starts = np.flatnonzero(~goes_on)
+        lengths = np.diff(np.append(starts, len(at)))
+        longer = lengths > 1
+        if not longer.any():
+            return codes, value
+        split = np.repeat(lengths > RUN, lengths)
+        starts = np.flatnonzero(~goes_on | split)
+        place = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
+        return codes[starts], np.add.reduceat(value * _POWERS[place], starts)
 
 
 def windows(codes: np.ndarray, size: int) -> np.ndarray:
@@ -94,119 +109,164 @@ def windows(codes: np.ndarray, size: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-@dataclass
-class Benchmark:
-    """Templates of items, and their windows by size: hashes in order, with item and place."""
-
-    items: list[int] = field(default_factory=list)
-    templates: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
-    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
-
-    def build(self) -> Benchmark:
-        parts: dict[int, list] = {}
-        for i, (codes, _, _) in enumerate(self.templates):
-            if len(codes):
-                size = min(WINDOW, len(codes))
-                h = windows(codes, size)
-                parts.setdefault(size, []).append((h, np.full(len(h), i), np.arange(len(h))))
-        for size, lists in parts.items():
-            h, item, place = (np.concatenate(x) for x in zip(*lists, strict=True))
-            order = np.argsort(h, kind="stable")
-            self.tables[size] = (h[order], item[order], place[order])
-        return self
-
-
-def consistent(document: tuple, item: tuple, start: int, place: int, n: int) -> Iterator[tuple[int, int, int, int, bool]]:
-    """(length, slots, changed slots, literals, clash at an end) of the stretches of an alignment whose slots map one to one."""
-    there, back, length, slots, changed, literals, torn = {}, {}, 0, 0, 0, 0, False
-    for i in range(n):
-        kind, a, b = int(item[1][place + i]), int(item[2][place + i]), int(document[2][start + i])
-        if kind == LITERAL:
-            literals += 1
+def filter_bits(keys: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bits) of keys in a Bloom filter whose blocks are words of 64 bits; ``words`` is a power of two."""
+    mixed = (keys ^ (keys >> np.uint64(32))) * _B
+    bits = np.zeros(len(keys), np.uint64)
+    for shift in (40, 46, 52):
+        bits |= np.uint64(1) << (mixed >> np.uint64(shift) & np.uint64(63))
+    return (mixed & np.uint64(words - 1)).astype(np.int64), bits
+
+
+_WINDOWS = "uid long, id string, n int, size int, key long, place int, codes binary, vals binary"
+
+
+def template_windows(texts: DataFrame, filters: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """Windows of (uid, id, text): the size that the text's length sets, or, with ``filters``, all of each size that pass."""
+    names = [c.split()[0] for c in _WINDOWS.split(", ")]
+
+    def frame(parts: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({c: list(chain.from_iterable(x)) for c, x in zip(names, zip(*parts, strict=True), strict=True)})
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, parts, held = Words(), [], 0
+        for batch in batches:
+            for uid, key, text in zip(batch["uid"], batch["id"], batch["text"], strict=True):
+                codes, values = words.template(text)
+                n = len(codes)
+                for size in filters if filters is not None else [min(WINDOW, n)] if n else []:
+                    if filters is not None and size < SHORT and size != n:
+                        continue
+                    keys = windows(codes, size)
+                    at = np.arange(len(keys))
+                    if filters is not None and len(keys):
+                        word, bits = filter_bits(keys, len(filters[size]))
+                        at = np.flatnonzero(filters[size][word] & bits == bits)
+                    for i in range(0, len(at), PIECE):
+                        part = at[i:i + PIECE]
+                        each = part[:, None] + np.arange(size)
+                        cells = ([x.tobytes() for x in m[each]] for m in (codes, values))
+                        parts.append(([uid] * len(part), [key] * len(part), [n] * len(part), [size] * len(part), keys[part].view(np.int64).tolist(), part.tolist(), *cells))
+                        held += len(part)
+                        if held >= PIECE:
+                            yield frame(parts)
+                            parts, held = [], 0
+        if parts:
+            yield frame(parts)
+
+    return texts.mapInPandas(cut, _WINDOWS)
+
+
+def window_filters(items: DataFrame) -> dict[int, np.ndarray]:
+    """A Bloom filter for each window size of the benchmark; three bits a key, and no more than ``FILTER_WORDS`` words in each."""
+    out = {}
+    for size, n in sorted(items.groupBy("size").agg(F.approx_count_distinct("key")).collect()):
+        words = 64
+        while words < FILTER_WORDS and 4 * words < n:
+            words *= 2
+
+        def mark(batches: Iterator[pd.DataFrame], words=words) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                word, bits = filter_bits(batch["key"].to_numpy(np.int64).view(np.uint64), words)
+                yield pd.DataFrame({"word": word, "bits": bits.view(np.int64)})
+
+        marks = items.filter(F.col("size") == size).select("key").mapInPandas(mark, "word long, bits long")
+        marks = marks.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+        table = np.zeros(words, np.uint64)
+        table[marks["word"].to_numpy(np.int64)] = marks["bits"].to_numpy(np.int64).view(np.uint64)
+        out[int(size)] = table
+    return out
+
+
+class Alignment:
+    """A document and an item laid side by side, read from left to right, and the best stretch whose slots map one to one."""
+
+    def __init__(self, n_item: int, least: int, share: float):
+        self.n_item, self.least, self.share = n_item, least, share
+        self.best: tuple[int, int, int] | None = None
+        self.start(False)
+
+    def start(self, torn: bool) -> None:
+        self.there, self.back, self.torn = {}, {}, torn
+        self.length = self.slots = self.changed = self.literals = 0
+
+    def add(self, code: int, item: int, doc: int) -> None:
+        kind = _KINDS.get(code)
+        if kind:
+            first, kind = kind == START, NAME if kind == START else kind
+            if first and item != doc and not self.changed:
+                self.close(False)  # another sentence may begin here
+            if self.there.get((kind, item), doc) != doc or self.back.get((kind, doc), item) != item:
+                self.close(not first)
+                self.start(not first)
+            self.there[kind, item], self.back[kind, doc] = doc, item
+            self.changed += item != doc
+        if kind and not (first and item == doc):
+            self.slots += 1
         else:
-            if there.get((kind, a), b) != b or back.get((kind, b), a) != a:
-                yield length, slots, changed, literals, True
-                there, back, length, slots, changed, literals, torn = {}, {}, 0, 0, 0, 0, True
-            there[kind, a], back[kind, b] = b, a
-            slots += 1
-            changed += a != b
-        length += 1
-    yield length, slots, changed, literals, torn
-
-
-def find(document: tuple, bench: Benchmark, least: int, share: float) -> list[tuple[int, int, int, int]]:
-    """(item, tokens, slots, changed slots) of the best match of each item found in a document."""
-    best: dict[int, tuple[int, int, int]] = {}
-    for size, (hashes, items, places) in bench.tables.items():
-        own = windows(document[0], size)
-        if not len(own):
-            continue
-        left = np.searchsorted(hashes, own)
-        hit = np.flatnonzero(hashes[np.minimum(left, len(hashes) - 1)] == own)
-        if not len(hit):
-            continue
-        right = np.searchsorted(hashes, own[hit], side="right")
-        count = right - left[hit]
-        doc_at = np.repeat(hit, count)
-        at = np.repeat(left[hit] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        item, diagonal = items[at], doc_at - places[at]
-        order = np.lexsort((doc_at, diagonal, item))
-        item, diagonal, doc_at = item[order], diagonal[order], doc_at[order]
-        # Windows of one diagonal that touch are one alignment.
-        new = np.concatenate([[True], (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (doc_at[1:] > doc_at[:-1] + size)])
-        firsts = np.flatnonzero(new)
-        for a, b in zip(firsts, np.append(firsts[1:], len(new)) - 1, strict=True):
-            i, start, n = int(item[a]), int(doc_at[a]), int(doc_at[b] - doc_at[a]) + size
-            template = bench.templates[i]
-            place = start - int(diagonal[a])
-            if not (document[0][start:start + n] == template[0][place:place + n]).all():
-                continue  # two windows with one hash
-            if len(template[0]) < SHORT and len(template[0]) != len(document[0]):
-                continue
-            for length, slots, changed, literals, torn in consistent(document, template, start, place, n):
-                need = max(min(least, len(template[0])), WHOLE * len(template[0]) if torn else 0)
-                if length >= need and (not changed or literals >= share * length):
-                    best[i] = max(best.get(i, (0, 0, 0)), (length, slots, changed))
-    return [(bench.items[i], *v) for i, v in sorted(best.items())]
-
-
-def _slices(benchmark: DataFrame, per: int) -> Iterator[Benchmark]:
-    """The benchmark in parts of a bounded number of windows, one at a time on the driver."""
-    words, part, size = Words(), Benchmark(), 0
-    for row in benchmark.select("item_id", "text").filter("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
-        template = words.template(row["text"])
-        part.items.append(row["item_id"])
-        part.templates.append(template)
-        size += len(template[0])
-        if size >= per:
-            yield part.build()
-            part, size = Benchmark(), 0
-    if part.items:
-        yield part.build()
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: float = LITERALS, slice_windows: int = SLICE) -> DataFrame:
+            self.literals += 1
+        self.length += 1
+
+    def close(self, torn: bool) -> None:
+        need = max(min(self.least, self.n_item), WHOLE * self.n_item if torn or self.torn else 0)
+        if self.length >= max(need, 1) and (not self.changed or self.literals >= self.share * self.length):
+            self.best = max(self.best or (0, 0, 0), (self.length, self.slots, self.changed))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: float = LITERALS) -> DataFrame:
     """(doc_id, item_id, n_tokens, n_slots, n_changed): the longest match of each benchmark item in each document.
 
-    A match has ``least`` template tokens (or is the whole item, if that is shorter); where slots have other values, ``share`` of
+    A capitalised word at a sentence start counts as a plain word where it is unchanged, and as a name where it is not; if it clashes
+    with the names so far, another sentence begins there and the match ends. A match has ``least`` template tokens (or is the whole item, if that is shorter); where slots have other values, ``share`` of
     it must be plain words. Where slots clash, the stretch up to there counts only if it covers ``WHOLE`` of the item. Items of
-    fewer than ``SHORT`` tokens match only a document that is nothing else. A benchmark of any size is compared in parts of ``slice_windows`` windows, each a pass over the documents. Null and empty texts match
-    nothing, null items are skipped. Repeated rows give repeated results; null ids are returned as null; further columns are ignored.
+    fewer than ``SHORT`` tokens match only a document that is nothing else. Null and empty texts match nothing, null items are skipped. Of equally long
+    matches the one with more slots, then more changed ones, is given. Repeated rows give repeated results; null ids are returned
+    as null; long texts are compared whole; further columns are ignored; an empty table or benchmark gives no rows.
     """
-    spark, out = docs.sparkSession, None
-    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), whole_text().alias("text"))
-    schema = "doc_id string, item_id long, n_tokens long, n_slots long, n_changed long"
-    for part in _slices(benchmark, slice_windows):
-        shared = spark.sparkContext.broadcast(part)
-
-        def compare(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            bench, words = shared.value, Words()
-            for batch in batches:
-                rows = [(i, *m) for i, t in zip(batch["doc_id"], batch["text"], strict=True) for m in find(words.template(t), bench, least, share)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_tokens", "n_slots", "n_changed"])
-
-        found = texts.mapInPandas(compare, schema)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], schema)
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    spark = docs.sparkSession
+    folder = work_folder(spark, "templates")
+    uid = F.monotonically_increasing_id().alias("uid")
+    kept = benchmark.filter("text IS NOT NULL").select(uid, F.col("item_id").cast("string").alias("id"), "text")
+    items = save(template_windows(kept), f"{folder}/items")
+    shared = window_filters(items)
+    texts = docs.select(uid, F.col("doc_id").cast("string").alias("id"), whole_text().alias("text"))
+    # The ids of rows hold once they are written.
+    own = save(template_windows(texts, shared), f"{folder}/documents")
+    right = items.select("size", "key", F.col("codes").alias("_codes"), F.col("uid").alias("item"), F.col("id").alias("item_id"), F.col("n").alias("n_item"), F.col("place").alias("at"), F.col("vals").alias("item_vals"))
+    met = own.join(right, ["size", "key"]).filter((F.col("codes") == F.col("_codes")) & ((F.col("size") >= SHORT) | (F.col("n") == F.col("n_item"))))
+    met = met.select("uid", "item", (F.col("place") - F.col("at")).alias("diagonal"), "place", "id", "item_id", "n_item", "codes", "vals", "item_vals")
+    columns = ["doc_id", "item_id", "n_tokens", "n_slots", "n_changed"]
+
+    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pair = ids = diagonal = end = now = None
+        out = []
+        for batch in batches:
+            for u, item, d, place, key, item_id, n_item, codes, vals, item_vals in batch.itertuples(index=False, name=None):
+                if pair != (u, item):
+                    if now is not None:
+                        now.close(False)
+                        if now.best:
+                            out.append((*ids, *now.best))
+                    pair, ids, diagonal, now = (u, item), (key, item_id), None, Alignment(n_item, least, share)
+                if d != diagonal or place > end:
+                    if diagonal is not None:
+                        now.close(False)
+                    now.start(False)
+                    diagonal, end = d, place
+                c, b, a = (np.frombuffer(x, np.uint64).tolist() for x in (codes, vals, item_vals))
+                for i in range(end - place, len(c)):
+                    now.add(c[i], a[i], b[i])
+                end = place + len(c)
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        if now is not None:
+            now.close(False)
+            if now.best:
+                yield pd.DataFrame([(*ids, *now.best)], columns=columns)
+
+    ordered = met.repartition("uid").sortWithinPartitions("uid", "item", "diagonal", "place")
+    found = save(ordered.mapInPandas(align, "doc_id string, item_id string, n_tokens long, n_slots long, n_changed long"), f"{folder}/found")
+    for name in ("items", "documents"):
+        remove(spark, f"{folder}/{name}")
+    return found.withColumns({c: F.col(c).cast("long") for c in ("doc_id", "item_id")})

@@ -97,3 +97,45 @@ def write(spark, folder, data):
     items = [(1, QUESTION), (2, None), (3, ""), (4, PASSAGE.split(". ")[1]), (None, "no id and short")]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     return str(folder)
+
+
+def brute_match(doc, item):
+    """(tokens, slots, changed slots) of the best match of two texts' templates, diagonal by diagonal; None without one."""
+    from pactlens.llm import decontaminate as d
+
+    words = d.Words()
+    (dc, dv), (ic, iv) = ([x.tolist() for x in words.template(t or "")] for t in (doc, item))
+    size, best = min(d.WINDOW, len(ic)), None
+    if not ic or (len(ic) < d.SHORT and len(ic) != len(dc)):
+        return None
+    for diagonal in range(-len(ic), len(dc)):
+        runs, run = [], []
+        for place in range(max(0, -diagonal), len(ic)):
+            at = place + diagonal
+            if at < len(dc) and dc[at] == ic[place]:
+                run.append((ic[place], iv[place], dv[at]))
+            else:
+                runs.append(run)
+                run = []
+        for run in (r for r in [*runs, run] if len(r) >= size):
+            # Stretches between clashes: each slot value stands for one value of the other side. A clash at a sentence start is an end.
+            cuts, there, back = [(0, False)], {}, {}
+            for i, (code, a, b) in enumerate(run):
+                if code in d._KINDS:
+                    kind = d.NAME if d._KINDS[code] == d.START else d._KINDS[code]
+                    if there.get((kind, a), b) != b or back.get((kind, b), a) != a:
+                        cuts.append((i, kind == d._KINDS[code]))
+                        there, back = {}, {}
+                    there[kind, a], back[kind, b] = b, a
+            for (a, left), (b, right) in zip(cuts, [*cuts[1:], (len(run), False)], strict=True):
+                ends = [(b, left or right)]
+                begins = [i for i in range(a, b + 1) if i < len(run) and d._KINDS.get(run[i][0]) == d.START and run[i][1] != run[i][2]]
+                ends += [(i, left) for i in begins if all(x[1] == x[2] for x in run[a:i] if x[0] in d._KINDS)]
+                for end, torn in ends:
+                    part = run[a:end]
+                    slots = [x for x in part if x[0] in d._KINDS and (d._KINDS[x[0]] != d.START or x[1] != x[2])]
+                    changed = sum(x[1] != x[2] for x in slots)
+                    need = max(min(d.LEAST, len(ic)), d.WHOLE * len(ic) if torn else 0)
+                    if part and len(part) >= need and (not changed or len(part) - len(slots) >= d.LITERALS * len(part)):
+                        best = max(best or (0, 0, 0), (len(part), len(slots), changed))
+    return best

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -410,10 +411,33 @@ def test_token_counts_of_tiny_tables(spark, rows):
     assert {r.doc_id: r.n_tokens > 0 for r in out.collect()} == {i: t is not None for i, t in rows}
 
 
-def test_decontamination_by_slices(spark, sf):
-    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
-    columns = ("doc_id", "item_id", "n_tokens", "n_slots", "n_changed")
-    assert got(decontaminate.matches(docs, items, slice_windows=5), *columns) == got(decontaminate.matches(docs, items), *columns)
+def test_decontamination_by_brute_force(spark):
+    rng = random.Random(17)
+    stock = [*"abcdefghij", "Ann", "Bob", "Mary", "Zed", "3", "17", "4.5", "km", "kg"]
+    items = [" ".join(rng.choices(stock, k=rng.choice([2, 4, 6, 9, 14, 20, 30]))) for _ in range(30)]
+    docs = []
+    for i in range(120):
+        parts = [" ".join(rng.choices(stock, k=rng.randrange(12)))]
+        for item in rng.sample(items, 2):
+            swap = dict(zip(["Ann", "Bob", "3", "17"], rng.sample(["Mary", "Zed", "4.5", "99"], 4), strict=True)) if i % 2 else {}
+            w = [swap.get(x, x) for x in item.split()]
+            if i % 5 == 0:
+                w[rng.randrange(len(w))] = "17"
+            parts += [" ".join(w[rng.randrange(2):]), rng.choice(["", "so. ", "x y"])]
+        docs.append((i, " ".join(parts)))
+    docs += [(90, None), (91, ""), (92, items[0]), (92, items[0])]
+    want = Counter((i, k, *m) for i, t in docs for k, x in enumerate(items) if (m := corpus.brute_match(t, x)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items), (99, None)], "item_id long, text string")
+    out = decontaminate.matches(df, bench)
+    assert got(out, "doc_id", "item_id", "n_tokens", "n_slots", "n_changed") == want and len(want) > 50 and any(k[4] for k in want)
+
+
+def test_other_names_and_numbers_of_words(spark):
+    item = "Alice has 5 apples and gives some of them to Bob . Then Bob eats 500 g of the apples"
+    docs = [(1, "Carol has 7 apples and gives some of them to Mary Ann . Then Mary Ann eats 1 000 g of the apples"), (2, item.lower().replace("apples", "pears"))]
+    out = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert [r.doc_id for r in out.collect()] == [1]
 
 
 def brute_kneser_ney(texts):
