@@ -118,6 +118,28 @@ def cascade_children(children: DataFrame, parents: DataFrame, child_key: str, pa
     return children.join(parents.select(F.col(parent_key).alias(child_key)), child_key, "left_semi")
 
 
+def retention_cascade(documents: DataFrame, children: dict[str, tuple[DataFrame, str, Column]], now: Column) -> DataFrame:
+    """(kind, id, document_id, deleted_at) of everything that a retention pass takes away: due documents and all their children.
+
+    ``children`` gives for each kind its rows, their column with the document's id and an expression of their own id. Ids are text.
+    A child of a document that went in an earlier pass and came too late is taken as well; rows without a document stay.
+    """
+    gone = documents.withColumn("_due", F.col("deleted_at").isNull() & (F.col("expires_at") <= now))
+    due = gone.filter("_due").select(F.col("id").cast("string").alias("document_id"))
+    lost = gone.filter(F.col("_due") | F.col("deleted_at").isNotNull()).select(F.col("id").cast("string").alias("document_id"))
+    out = due.select(F.lit("document").alias("kind"), F.col("document_id").alias("id"), "document_id")
+    for kind, (rows, key, own) in sorted(children.items()):
+        named = rows.select(F.lit(kind).alias("kind"), own.cast("string").alias("id"), F.col(key).cast("string").alias("document_id"))
+        out = out.unionByName(cascade_children(named, lost, "document_id", "document_id").select("kind", "id", "document_id"))
+    return out.withColumn("deleted_at", now)
+
+
+def without_deleted(rows: DataFrame, deletions: DataFrame, kind: str, own: Column) -> DataFrame:
+    """Rows of a kind that no retention pass has taken."""
+    gone = deletions.filter(F.col("kind") == kind).select(F.col("id").alias("_gone"))
+    return rows.withColumn("_own", own.cast("string")).join(gone, F.col("_own") == F.col("_gone"), "left_anti").drop("_own")
+
+
 def expire_audit(events: DataFrame, now: Column, days: int = AUDIT_RETENTION_DAYS, created: str = "created_at") -> DataFrame:
     """Audit rows that stay: strictly older ones go."""
     return events.filter(F.col(created) >= now - F.make_interval(days=F.lit(days)))

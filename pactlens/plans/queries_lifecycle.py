@@ -92,6 +92,17 @@ def cascade_children(spark: SparkSession, sf: str) -> DataFrame:
     return c.groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH due AS (SELECT o_orderkey, o_orderstatus <> 'F' AS fresh FROM orders WHERE o_orderstatus = 'F' OR o_orderdate + INTERVAL 24 HOUR <= TIMESTAMP '{NOW}')
+SELECT 'document' AS kind, CAST(o_orderkey AS VARCHAR) AS id, CAST(o_orderkey AS VARCHAR) AS document_id, '{NOW}' AS deleted_at FROM due WHERE fresh
+UNION ALL SELECT 'line', l_orderkey || ':' || l_linenumber || ':' || l_partkey, CAST(l_orderkey AS VARCHAR), '{NOW}' FROM lineitem JOIN due ON l_orderkey = o_orderkey""")
+def retention_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that a pass takes away, with their children; children of documents that are gone already go as well."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    own = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey")
+    out = lc.retention_cascade(_orders(spark, sf), {"line": (lines, "l_orderkey", own)}, F.lit(NOW).cast("timestamp"))
+    return out.withColumn("deleted_at", _time("deleted_at"))
+
+
 @query(f"SELECT event_type, CAST(count(*) AS BIGINT) AS kept FROM events WHERE ts >= TIMESTAMP '{AUDIT_NOW}' - INTERVAL 365 DAY GROUP BY event_type")
 def audit_retention(spark: SparkSession, sf: str) -> DataFrame:
     """Audit rows inside the retention window."""

@@ -10,6 +10,7 @@ from pactlens.operators import evaluate as ev
 from pactlens.operators import ingest, lifecycle
 from pactlens.operators.prefix import top_rows
 from pactlens.plans.tables import table
+from pactlens.sources import stored
 from pactlens.sources.writers import with_run_meta
 
 QUERIES: dict = {}
@@ -405,3 +406,50 @@ def collection_counts(spark: SparkSession, sf: str) -> DataFrame:
     l = F.col("lang")  # noqa: E741
     c = F.when(l == "en", "statutes").when(l == "fr", "court_decisions").when(l == "de", "clause_patterns").otherwise("elsewhere")
     return ingest.collection_counts(table(spark, sf, "documents").select(c.alias("collection")))
+
+
+# ---- stored tables -------------------------------------------------------------------------------
+
+_CHUNKS_SQL = "SELECT doc_id, source || ':' || (doc_id // 2) AS id, lang, 'sha256:' || sha256(text) AS h FROM documents"
+
+
+def _chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as index rows; two neighbouring documents of a source are versions of one chunk."""
+    return table(spark, sf, "documents").select(
+        "doc_id", ingest.stable_id(F.col("source"), F.floor(F.col("doc_id") / 2).cast("string")).alias("stable_id"),
+        F.col("lang").alias("language"), ingest.source_hash(F.col("text")).alias("source_hash"),
+    )
+
+
+@query(f"""WITH c AS ({_CHUNKS_SQL}),
+old AS (SELECT * FROM c WHERE doc_id IN (SELECT vec_id FROM embeddings) QUALIFY row_number() OVER (PARTITION BY id ORDER BY doc_id) = 1),
+nw AS (SELECT * FROM c WHERE doc_id IN (SELECT doc_id FROM labels) QUALIFY row_number() OVER (PARTITION BY id ORDER BY doc_id DESC) = 1)
+SELECT coalesce(nw.id, old.id) AS stable_id, CASE WHEN nw.id IS NULL THEN old.doc_id WHEN old.h = nw.h AND old.lang = nw.lang THEN old.doc_id ELSE nw.doc_id END AS doc_id,
+ coalesce(nw.h, old.h) AS source_hash, coalesce(nw.lang, old.lang) AS language,
+ CASE WHEN nw.id IS NULL THEN 'kept' WHEN old.id IS NULL THEN 'add' WHEN old.h = nw.h AND old.lang = nw.lang THEN 'skip' ELSE 'update' END AS action
+FROM old FULL JOIN nw ON old.id = nw.id""")
+def stored_index(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored index of the documents with vectors, after an upsert of the labelled ones, read back from its buckets."""
+    c, path = _chunks(spark, sf), stored.shared_folder(spark, "index")
+    old = c.join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    old = top_rows(old, ["stable_id"], ["doc_id"], 1, "_r").drop("_r").withColumn("authority_weight", F.lit(0.5))
+    stored.write_index(old, path, buckets=16)
+    incoming = c.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").withColumn("authority_weight", F.lit(0.5))
+    done = stored.upsert_stored(spark, path, incoming, ["language"], "doc_id", buckets=16)
+    now = stored.read_index(spark, path).join(done, "stable_id", "left")
+    return now.select("stable_id", "doc_id", "source_hash", "language", F.coalesce("action", F.lit("kept")).alias("action"))
+
+
+@query("""SELECT doc_id, length(text)::DOUBLE AS chars, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS spaces,
+ (doc_id IN (SELECT doc_id FROM labels)) AS labelled FROM documents""")
+def encoder_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of labelled documents go to the store first; the run over all documents encodes only what is missing."""
+    d, path = table(spark, sf, "documents").select("doc_id", "text"), stored.shared_folder(spark, "vectors")
+    labels = table(spark, sf, "labels").select("doc_id").distinct().withColumn("_l", F.lit(True))
+    counts = lambda texts: [[len(t), t.count(" ")] for t in texts]
+    stored.encode_stored(d.join(labels, "doc_id", "left_semi"), counts, path)
+    both = stored.encode_stored(d, counts, path).join(labels, "doc_id", "left")
+    return both.select(
+        "doc_id", F.get("vector", F.lit(0)).alias("chars"), F.get("vector", F.lit(1)).alias("spaces"),
+        F.coalesce("_l", F.lit(False)).alias("labelled"),
+    )

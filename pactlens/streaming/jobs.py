@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from pactlens.constants import MAX_ATTEMPTS, PROGRESS_TTL_SECONDS
-from pactlens.operators.lifecycle import expire_audit, expire_documents, expiry_audit
+from pactlens.operators.lifecycle import expire_audit, expire_documents, expiry_audit, retention_cascade
+from pactlens.sources.stored import path_exists
 from pactlens.sources.writers import write_dead_letters
 
 RETRY_OUTPUT = "analysis_id string, attempts int, state string, dead_letter boolean, disposition string, error_code string"
@@ -101,8 +102,7 @@ def process_jobs(
     """
 
     def finished(spark: SparkSession, batch_id: int) -> DataFrame | None:
-        at = spark._jvm.org.apache.hadoop.fs.Path(results_path)
-        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        if not path_exists(spark, results_path):
             return None
         columns = "analysis_id string, status string, batch_id long"
         done = spark.read.schema(columns).option("basePath", results_path).parquet(results_path)
@@ -150,6 +150,40 @@ def progress(states: DataFrame) -> DataFrame:
     )
 
 
+def start_retention(
+    ticks: DataFrame, load: Callable[[], tuple[DataFrame, dict[str, tuple[DataFrame, str, Column]]]], path: str, checkpoint: str
+):
+    """Start the retention job: each micro-batch of ticks (ts) is one pass at its latest tick.
+
+    A pass writes the deletions of documents and of all their children as one table, so both become visible in one commit; readers
+    leave them out with ``lifecycle.without_deleted``. What another pass has taken is not taken again. A replayed batch has the
+    same time and replaces its own deletions.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        last = batch.agg(F.max("ts").alias("ts")).first().ts
+        if last is None:
+            return
+        documents, children = load()
+        taken = retention_deletions(spark, path, batch_id)
+        found = retention_cascade(documents, children, F.lit(last).cast("timestamp"))
+        if taken is not None:
+            found = found.join(taken.select("kind", "id"), ["kind", "id"], "left_anti")
+        found.select("kind", "id", "document_id", "deleted_at").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def retention_deletions(spark: SparkSession, path: str, but: int | None = None) -> DataFrame | None:
+    """All deletions so far, without those of one batch; None before the first pass."""
+    if not path_exists(spark, path):
+        return None
+    schema = "kind string, id string, document_id string, deleted_at timestamp, batch_id long"
+    rows = spark.read.schema(schema).option("basePath", path).parquet(path)
+    return rows if but is None else rows.filter(F.col("batch_id") != but)
+
+
 def retention_run(documents: DataFrame, audit: DataFrame, now) -> tuple[DataFrame, DataFrame]:
     """One retention pass: updated documents, and the audit rows that stay plus the new ones."""
     moment = F.lit(now).cast("timestamp")

@@ -75,3 +75,26 @@ def test_retention_pass(spark):
     state = {r.id: (r.status, r.masked_text) for r in updated.collect()}
     assert state == {"d1": ("expired", None), "d2": ("ready", "t")}
     assert sorted((r.event_type, r.document_id) for r in kept.collect()) == [("document_expired", "d1"), ("document_uploaded", "d2")]
+
+
+def test_retention_takes_children_along_and_a_replay_changes_nothing(spark, tmp_path):
+    day = dt.timedelta(days=1)
+    docs = spark.createDataFrame([("d1", T0, None), ("d2", T0 + 2 * day, None), ("d3", T0, T0 - day), ("d4", T0 + 9 * day, None)], "id string, expires_at timestamp, deleted_at timestamp")
+    clauses = spark.createDataFrame([("d1", 1), ("d1", 2), ("d2", 1), ("d3", 1), ("d4", 1), (None, 1)], "doc string, n int")
+    own = F.concat_ws(":", "doc", "n")
+    src, path = tmp_path / "ticks", str(tmp_path / "gone")
+    src.mkdir()
+
+    def run(checkpoint):
+        ticks = job_stream(spark, str(src), "ts timestamp", max_files=1)
+        jobs.start_retention(ticks, lambda: (docs, {"clause": (clauses, "doc", own)}), path, str(tmp_path / checkpoint)).awaitTermination(120)
+        return sorted((r.batch_id, r.kind, r.id) for r in jobs.retention_deletions(spark, path).collect())
+
+    _write(src / "0.json", [{"ts": (T0 + day / 2).isoformat()}, {"ts": (T0 + day).isoformat()}])
+    first = [(0, "clause", "d1:1"), (0, "clause", "d1:2"), (0, "clause", "d3:1"), (0, "document", "d1")]
+    assert run("cp") == first
+    assert run("other") == first  # a lost checkpoint: batch 0 again
+    _write(src / "1.json", [{"ts": (T0 + 3 * day).isoformat()}])
+    assert run("cp") == [*first, (1, "clause", "d2:1"), (1, "document", "d2")]
+    left = lifecycle.without_deleted(clauses, jobs.retention_deletions(spark, path), "clause", own)
+    assert {(r.doc, r.n) for r in left.collect()} == {("d4", 1), (None, 1)}
