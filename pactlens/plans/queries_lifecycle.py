@@ -13,7 +13,10 @@ from pactlens.packs.defaults import LATIN_RULES
 from pactlens.plans import review
 from pactlens.plans.queries_text import _CLAUSES, _R, _RULES
 from pactlens.plans.tables import LATIN, documents, table, turns
+from pactlens.sources import stored
+from pactlens.sources.readers import job_stream, read_jsonl
 from pactlens.sources.writers import export_results
+from pactlens.streaming import jobs
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -395,3 +398,61 @@ def model_output_schema(spark: SparkSession, sf: str) -> DataFrame:
     )
     v = mo.validate_assessment(c.select("conv_id", "turn", F.to_json(body).alias("output")))
     return v.select("conv_id", "turn", "valid", "error_code")
+
+
+# ---- files and streams ---------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, lang, sha256(text) AS sha256, n_chars FROM documents")
+def jsonl_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as JSON lines and read back with their schema."""
+    path = stored.shared_folder(spark, "jsonl")
+    table(spark, sf, "documents").select("doc_id", "lang", "text", "n_chars").write.json(path)
+    rows = read_jsonl(spark, path, "doc_id long, lang string, text string, n_chars long")
+    return rows.select("doc_id", "lang", F.sha2("text", 256).alias("sha256"), "n_chars")
+
+
+@query("""WITH l AS (SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1)
+SELECT CAST(o_orderkey AS VARCHAR) AS analysis_id, CASE WHEN c_custkey IS NULL OR c_acctbal < 0 THEN 'failed' ELSE 'completed' END AS status,
+ CASE WHEN c_custkey IS NULL OR c_acctbal < 0 THEN 'DOCUMENT_NOT_FOUND' END AS error_code, CASE WHEN c_acctbal >= 0 THEN coalesce(n, 0) END AS findings
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN l ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'F'""")
+def processed_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order queued twice and worked off as a stream: finished ones are ignored, those of customers in debt have lost their document."""
+    folder, orders = stored.shared_folder(spark, "jobs"), table(spark, sf, "orders")
+    queued = orders.select(F.col("o_orderkey").cast("string").alias("analysis_id"), F.lit(NOW).cast("timestamp").alias("ts"))
+    queued.unionByName(queued).write.json(f"{folder}/queue")
+
+    def load() -> tuple[DataFrame, DataFrame]:
+        status = F.when(F.col("o_orderstatus") == "F", "completed").otherwise("queued").alias("status")
+        analyses = orders.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").alias("document_id"), status)
+        gone = F.when(F.col("c_acctbal") < 0, F.lit(NOW).cast("timestamp")).alias("deleted_at")
+        return analyses, table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), gone)
+
+    def count_lines(ids: DataFrame) -> DataFrame:
+        n = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("analysis_id")).agg(F.count(F.lit(1)).alias("n"))
+        return ids.join(n, "analysis_id", "left").select("analysis_id", "document_id", F.coalesce("n", F.lit(0)).alias("findings"))
+
+    jobs.use_rocksdb(spark)
+    stream = jobs.dedupe_jobs(job_stream(spark, f"{folder}/queue"))
+    jobs.process_jobs(stream, load, count_lines, f"{folder}/results", f"{folder}/checkpoint").awaitTermination()
+    out = spark.read.schema("analysis_id string, status string, error_code string, findings long").parquet(f"{folder}/results")
+    return out.select("analysis_id", "status", "error_code", "findings")
+
+
+@query("""WITH now AS (SELECT max(ts) AS t FROM events),
+due AS (SELECT o_orderkey, o_orderstatus <> 'F' AS fresh FROM orders, now WHERE o_orderstatus = 'F' OR o_orderdate + INTERVAL 24 HOUR <= t)
+SELECT 'document' AS kind, CAST(o_orderkey AS VARCHAR) AS id FROM due WHERE fresh
+UNION ALL SELECT 'line', l_orderkey || ':' || l_linenumber || ':' || l_partkey FROM lineitem JOIN due ON l_orderkey = o_orderkey""")
+def retention_job(spark: SparkSession, sf: str) -> DataFrame:
+    """The retention stream, whose ticks are the last event of each type: documents and children that it has taken away."""
+    folder = stored.shared_folder(spark, "retention")
+    table(spark, sf, "events").groupBy("event_type").agg(F.max("ts").alias("ts")).select("ts").write.json(f"{folder}/ticks")
+    own = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey")
+
+    def load() -> tuple[DataFrame, dict]:
+        lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+        return _orders(spark, sf), {"line": (lines, "l_orderkey", own)}
+
+    ticks = job_stream(spark, f"{folder}/ticks", "ts timestamp")
+    jobs.start_retention(ticks, load, f"{folder}/gone", f"{folder}/checkpoint").awaitTermination()
+    return jobs.retention_deletions(spark, f"{folder}/gone").select("kind", "id")
