@@ -29,6 +29,11 @@ def _count(name: str) -> str:
     return f"n_{name}"
 
 
+def count_name(pii_type: str) -> str:
+    """Column of ``mask_pages`` with the number of a type's replacements."""
+    return _count(pii_type)
+
+
 def _pieces(text: Column, p: PiiPattern) -> Column:
     """Cut the text at the matches: (gap, kept prefix) per match, then the tail with no prefix."""
     gaps = F.split(text, p.regex, -1)

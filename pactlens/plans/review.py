@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pactlens.constants import MASKING_FAILED_WARNING
 from pactlens.operators import candidates as cand
+from pactlens.operators import pages as pg
 from pactlens.operators import masking, retrieve, screen, segment, summarize
 from pactlens.operators.prefix import keep_where
 from pactlens.packs.defaults import KOREAN_RULES, KOREAN_SECTIONS, PII_PATTERNS
 from pactlens.packs.model import PiiPattern, RulePack, SectionPack
+from pactlens.sources import stored
 
 
 @dataclass(frozen=True)
@@ -71,7 +73,51 @@ def run_review(
     prototypes: tuple[DataFrame, DataFrame] | None = None, cards: DataFrame | None = None, encoder=None,
 ) -> Review:
     """Review ``docs`` (doc_id, text). Retrieval, candidates and the gate run when their tables are given."""
-    masked = outlined_documents(masked_documents(docs, config), config)
+    return review_masked(outlined_documents(masked_documents(docs, config), config), config, index, prototypes, cards, encoder)
+
+
+def review_pages(
+    pages: DataFrame, config: ReviewConfig = ReviewConfig(), index: DataFrame | None = None,
+    prototypes: tuple[DataFrame, DataFrame] | None = None, cards: DataFrame | None = None, encoder=None,
+) -> Review:
+    """Review ``pages`` (doc_id, page_no, text); findings also get ``page_number`` and ``fragments``.
+
+    Pages are cleaned and masked one by one, with placeholders numbered over the document, and joined by line feeds. A finding is on
+    the page on which its match begins; ``fragments`` are the pieces of the first two pages that the match touches. Documents without
+    text or over the length bound get their error code and no findings. Masked pages and findings are each read several times, so
+    both are written to the cluster's shared folder when this is called.
+    """
+    spark, folder = pages.sparkSession, stored.shared_folder(pages.sparkSession, "review")
+    clean = pages.select("doc_id", "page_no", pg.clean_page(F.coalesce("text", F.lit(""))).alias("text"))
+    names = [masking.count_name(p.pii_type) for p in config.patterns]
+    kept = masking.mask_pages(clean, patterns=config.patterns).select("doc_id", "page_no", "masked_text", "passed", "replacement_count", *names)
+    kept.write.parquet(f"{folder}/pages")
+    masked = spark.read.schema(kept.schema).parquet(f"{folder}/pages")
+    texts = masked.select("doc_id", "page_no", pg.clean_page(F.col("masked_text")).alias("text"))
+    whole = pg.assemble_pages(texts).select("doc_id", F.coalesce("page_text", F.lit("")).alias("text"), F.col("error_code").alias("_error"))
+    found = [F.sum(n).alias(n) for n in names]
+    per = masked.groupBy("doc_id").agg(F.every("passed").alias("passed"), F.sum("replacement_count").alias("replacement_count"), *found)
+    types = F.array_compact(F.array(*[F.when(F.col(n) > 0, F.lit(p.pii_type)) for n, p in zip(names, config.patterns, strict=True)]))
+    states = per.select("doc_id", "passed", "replacement_count", types.alias("detected_types"))
+    planned = outlined_documents(whole.join(states, "doc_id"), config)
+    planned = planned.withColumn("error_code", F.coalesce("_error", "error_code")).withColumn("clause_count", F.when(F.col("_error").isNull(), F.col("clause_count")).otherwise(F.lit(0))).drop("_error")
+    done = review_masked(planned, config, index, prototypes, cards, encoder)
+    ranges, key = pg.page_ranges(texts), ["doc_id", "clause_ord", "finding_id"]
+    done.findings.write.parquet(f"{folder}/findings")
+    done = replace(done, findings=spark.read.schema(done.findings.schema).parquet(f"{folder}/findings"))
+    placed = pg.page_of(done.findings.withColumn("offset", F.col("abs_start")), ranges).drop("offset")
+    spans = done.findings.select(*key, F.col("abs_start").alias("match_start"), F.col("abs_end").alias("match_end"))
+    pieces = pg.page_fragments(spans, ranges, texts, "doc_id", key).groupBy(*key).agg(
+        F.array_sort(F.collect_list(F.struct("page_number", "fragment"))).alias("fragments")
+    )
+    return replace(done, findings=placed.join(pieces, key, "left"))
+
+
+def review_masked(
+    masked: DataFrame, config: ReviewConfig, index: DataFrame | None = None,
+    prototypes: tuple[DataFrame, DataFrame] | None = None, cards: DataFrame | None = None, encoder=None,
+) -> Review:
+    """The review of masked documents with their section plan."""
     clauses = clauses_of(masked, config, drop_failed=True)
     findings = findings_of(clauses, config)
     if index is not None:

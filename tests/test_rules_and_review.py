@@ -269,3 +269,21 @@ def test_automaton_names_only_rules_whose_literals_occur():
     assert len(finder.always) < 100
     text = "".join(rnd.choice("ghijkl .") for _ in range(2000))
     assert finder.candidates(text) == finder.always and finder.candidates("") == finder.always
+
+
+def test_review_of_pages_gives_the_page_and_its_pieces(spark):
+    from pactlens.plans.review import review_pages
+
+    rule = "제1조 은행은 필요하다고 인정하는 경우 서비스 내용을"
+    rows = [(1, 1, "  안내 전화 010-1234-5678 \n"), (1, 2, rule), (1, 3, "일방적으로 변경할 수 있다. 전화 010-9999-8888"), (1, 4, None), (2, 1, " "), (2, 2, None)]
+    done = review_pages(spark.createDataFrame(rows, "doc_id int, page_no int, text string"))
+    findings = done.findings.collect()
+    assert findings and {r.doc_id for r in findings} == {1}
+    body = done.documents.filter("doc_id = 1").first()
+    assert body.passed and body.replacement_count == 2 and "010-" not in body.text
+    for r in findings:
+        page = 1 + body.text[:r.abs_start].count("\n")
+        want = [(page + i, t.strip()) for i, t in enumerate(body.text[r.abs_start:r.abs_end].split("\n")) if t.strip()][:2]
+        assert r.page_number == page and [(f.page_number, f.fragment) for f in r.fragments] == want
+    results = {r.doc_id: r for r in done.results.collect()}
+    assert set(results) == {1, 2} and done.documents.filter("doc_id = 2").first().error_code == "TEXT_EMPTY"
