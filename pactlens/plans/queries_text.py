@@ -510,11 +510,15 @@ _PG_RULES, _PG_R = q.rule_hits("pc", "doc_id, clause_ord", LATIN_RULES.select(No
 {_PG_MASK}, pt AS (SELECT doc_id, t AS text FROM {_PG_M}), {_PG_SEC}, pc AS (SELECT * FROM {_PG_S} WHERE analyzable), {_PG_RULES},
 f AS (SELECT r.doc_id, r.clause_ord, 'finding:' || r.section_id || ':' || r.rule_id AS finding_id, r.char_start + r.risk_start AS s, r.char_start + r.risk_end AS e FROM {_PG_R} r)
 SELECT f.doc_id, f.clause_ord, finding_id, s AS abs_start, CAST(1 + length(substr(text, 1, s)) - length(replace(substr(text, 1, s), chr(10), '')) AS BIGINT) AS page_number,
- list_filter(list_transform(string_split(substr(text, s + 1, e - s), chr(10)), lambda x: {q.strip('x')}), lambda x: x <> '')[1] AS first_fragment FROM f JOIN pt ON pt.doc_id = f.doc_id""")
+ list_filter(list_transform(string_split(substr(text, s + 1, e - s), chr(10)), lambda x: {q.strip('x')}), lambda x: x <> '')[1] AS first_fragment FROM f JOIN pt ON pt.doc_id = f.doc_id
+WHERE f.doc_id NOT IN (SELECT doc_id FROM pc WHERE length(text) > 20000)""")
 def review_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as pages of one line each: every finding with its page and the piece of the match on its first page."""
+    """Documents of any length as pages of one line each: every finding with its page and the piece of the match on its first page.
+
+    As in every review, a document with a clause of over 20,000 characters fails and has no findings.
+    """
     lines = documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("_at", "text"))
-    done = review.review_pages(lines.select("doc_id", (F.col("_at") + 1).cast("long").alias("page_no"), "text"), LATIN)
+    done = review.review_pages(lines.select("doc_id", (F.col("_at") + 1).cast("long").alias("page_no"), "text"), LATIN, max_chars=2**31 - 1)
     return done.findings.select(
         "doc_id", F.col("clause_ord").cast("long"), "finding_id", F.col("abs_start").cast("long"), "page_number",
         F.get("fragments", F.lit(0))["fragment"].alias("first_fragment"),

@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactlens.constants import MASKING_FAILED_WARNING
+from pactlens.constants import MASKING_FAILED_WARNING, MAX_DOCUMENT_CHARS
 from pactlens.operators import candidates as cand
 from pactlens.operators import pages as pg
 from pactlens.operators import masking, retrieve, screen, segment, summarize
@@ -79,12 +79,13 @@ def run_review(
 def review_pages(
     pages: DataFrame, config: ReviewConfig = ReviewConfig(), index: DataFrame | None = None,
     prototypes: tuple[DataFrame, DataFrame] | None = None, cards: DataFrame | None = None, encoder=None,
+    max_chars: int = MAX_DOCUMENT_CHARS,
 ) -> Review:
     """Review ``pages`` (doc_id, page_no, text); findings also get ``page_number`` and ``fragments``.
 
     Pages are cleaned and masked one by one, with placeholders numbered over the document, and joined by line feeds. A finding is on
     the page on which its match begins; ``fragments`` are the pieces of the first two pages that the match touches. Documents without
-    text or over the length bound get their error code and no findings. Masked pages and findings are each read several times, so
+    text or over ``max_chars`` get their error code and no findings. Masked pages and findings are each read several times, so
     both are written to the cluster's shared folder when this is called.
     """
     spark, folder = pages.sparkSession, stored.shared_folder(pages.sparkSession, "review")
@@ -94,7 +95,7 @@ def review_pages(
     kept.write.parquet(f"{folder}/pages")
     masked = spark.read.schema(kept.schema).parquet(f"{folder}/pages")
     texts = masked.select("doc_id", "page_no", pg.clean_page(F.col("masked_text")).alias("text"))
-    whole = pg.assemble_pages(texts).select("doc_id", F.coalesce("page_text", F.lit("")).alias("text"), F.col("error_code").alias("_error"))
+    whole = pg.assemble_pages(texts, max_chars=max_chars).select("doc_id", F.coalesce("page_text", F.lit("")).alias("text"), F.col("error_code").alias("_error"))
     found = [F.sum(n).alias(n) for n in names]
     per = masked.groupBy("doc_id").agg(F.every("passed").alias("passed"), F.sum("replacement_count").alias("replacement_count"), *found)
     types = F.array_compact(F.array(*[F.when(F.col(n) > 0, F.lit(p.pii_type)) for n, p in zip(names, config.patterns, strict=True)]))
