@@ -31,3 +31,17 @@ def test_every_query_has_an_oracle():
 
 def test_entry_has_rows(spark):
     assert entry(spark).count() > 0
+
+
+def test_summary_lines_equal_sql_where_a_headline_is_too_long_for_a_line(spark, tmp_path):
+    """Four categories make a headline of over 100 characters, which no line may have."""
+    import duckdb
+
+    text = "Licensed under the MIT. token = abcdefabcdefabcdef for the intention of law, write to bob@mail.org and thank the agent"
+    spark.createDataFrame([(1, text), (2, "plain")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    ok, note = oracle.compare(spark, con, QUERIES["summary_lines"], ORACLES["summary_lines"], str(tmp_path))
+    found = {r.doc_id: r for r in QUERIES["summary_lines"](spark, str(tmp_path)).collect()}
+    assert ok, note
+    assert len(found[1].headline) > 100 and not found[1].lines_ok and found[2].lines_ok
