@@ -1,8 +1,9 @@
 """Near copies by the exact similarity of shingle sets.
 
-Two texts are near copies if the Jaccard similarity of their sets of word shingles reaches a bound. Candidates share a band
-of min-hashes. Pairs whose set sizes rule the bound out, or too few of whose min-hashes agree, go no further; the similarity of
-all others is computed from both texts. Equal sets are one node throughout. Before the pairs of a bucket are compared, its
+Two texts are near copies if the Jaccard similarity of their sets of word shingles reaches a bound. First the SimHash fingerprints
+of the sets are searched by multi-index hashing, which finds close copies. Fingerprints can't tell 0.8 from 0.7 within a searchable
+radius, so farther pairs are found as well: they share a band of min-hashes. Pairs whose set sizes rule the bound out, or too few of
+whose min-hashes agree, go no further; the similarity of all others is computed from both texts. Equal sets are one node throughout. Before the pairs of a bucket are compared, its
 nodes are compared with leaders of the bucket, first the nodes that share most buckets with others: the originals of
 copies. Pairs that are linked by then are not made.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pactlens.llm.common import remove, save, work_folder
 from pactlens.llm.components import components
-from pactlens.llm.simhash import SEED, _remix, shingle_hashes
+from pactlens.llm.simhash import RADIUS, SEED, Segments, _remix, link_prints, print_of, shingle_hashes
 
 LEAST = 0.8
 BANDS, DEPTH = 28, 4  # a pair at 0.8 shares no band in (1 - 0.8**4)**28 = 4e-7 of cases
@@ -36,8 +37,8 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def sketch(text: str | None, shingle: int) -> tuple[bytes, list[int], int, list[int]]:
-    """A 128-bit name of the shingle set, the hash of each band of min-hashes, its size, and the last bytes of the min-hashes."""
+def sketch(text: str | None, shingle: int) -> tuple[bytes, list[int], int, list[int], list[int]]:
+    """A 128-bit name of the shingle set, the hash of each band of min-hashes, its size, the last bytes of the min-hashes, and its fingerprint."""
     import xxhash
 
     own = shingle_set(text, shingle)
@@ -45,13 +46,13 @@ def sketch(text: str | None, shingle: int) -> tuple[bytes, list[int], int, list[
     rows = np.array(least, np.uint64).reshape(BANDS, DEPTH)
     bands = np.array([xxhash.xxh64_intdigest(r.tobytes(), SEED) for r in rows], np.uint64)
     last = (rows.ravel() & np.uint64(255)).astype(np.uint8).view("<i8")
-    return xxhash.xxh128_digest(own.tobytes()), bands.view(np.int64).tolist(), len(own), last.tolist()
+    return xxhash.xxh128_digest(own.tobytes()), bands.view(np.int64).tolist(), len(own), last.tolist(), print_of(own)
 
 
 def sketches(text: Column, shingle: int) -> Column:
-    names = ["name", "bands", "size", "last"]
+    names = ["name", "bands", "size", "last", "fp"]
 
-    @F.pandas_udf("name binary, bands array<long>, size int, last array<long>")
+    @F.pandas_udf("name binary, bands array<long>, size int, last array<long>, fp array<long>")
     def made(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([sketch(t, shingle) for t in texts], columns=names)
 
@@ -93,6 +94,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float, fo
     return edges
 
 
+def _by_prints(single: DataFrame, texts: DataFrame, shingle: int, least: float, folder: str) -> DataFrame:
+    """(id, comp) of different sets (id, fp, size, last) linked by fingerprints within ``RADIUS`` bits and, of those, by their similarity."""
+    sizes = single.select("id", "size", "last")
+    twice = sizes.select(*[F.col(c).alias(f"{c}2") for c in sizes.columns])
+
+    def check(pairs: DataFrame, at: str) -> DataFrame:
+        asked = pairs.select("id", "comp", "id2", "comp2").distinct().join(sizes, "id").join(twice, "id2").filter(_possible(least))
+        return _verified(asked.select("id", "comp", "id2", "comp2"), texts, shingle, least, at)
+
+    return link_prints(single.select("id", "fp"), Segments.exact(single.count(), RADIUS), RADIUS, 1, folder, check=check)
+
+
 def near_groups(docs: DataFrame, key: str, shingle: int, least: float = LEAST, rounds: int = LEADER_ROUNDS, folder: str | None = None) -> DataFrame:
     """(key, component_id) of every row: the smallest key that is linked to it by steps of a similarity of ``least`` or more.
 
@@ -111,8 +124,13 @@ def near_groups(docs: DataFrame, key: str, shingle: int, least: float = LEAST, r
     shared = own.groupBy("band", "val").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     own = save(own.join(shared, ["band", "val"]), f"{folder}/buckets")
     weights = own.groupBy("id").agg(F.sum("n").alias("weight"))
-    nodes = save(weights.join(single.select(F.col("key").alias("id"), "size", "last"), "id").withColumn("comp", F.col("id")), f"{folder}/nodes")
+    sets = save(single.select(F.col("key").alias("id"), "fp", "size", "last"), f"{folder}/sets")
     remove(spark, f"{folder}/prints")
+    linked = _by_prints(sets, texts, shingle, least, f"{folder}/links")
+    nodes = sets.join(linked, "id").join(weights, "id", "left").select("id", F.coalesce("weight", F.lit(0)).alias("weight"), "size", "last", "comp")
+    nodes = save(nodes, f"{folder}/nodes")
+    for step in ("sets", "links"):
+        remove(spark, f"{folder}/{step}")
     for turn in range(rounds + 1):
         at = f"{folder}/round{turn}"
         if turn < rounds:

@@ -9,7 +9,7 @@ that large groups of copies are single components and their pairs are not made a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -54,8 +54,12 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, lanes: int = 1) -> list[int]:
-    """Signed 64-bit lanes. A bit is set if it is set in over half the shingle hashes; no words: all zero."""
-    hashes = shingle_hashes(text, shingle)
+    """Signed 64-bit lanes of a text's shingles, repeats included."""
+    return print_of(shingle_hashes(text, shingle), lanes)
+
+
+def print_of(hashes: np.ndarray, lanes: int = 1) -> list[int]:
+    """Signed 64-bit lanes. A bit is set if it is set in over half the hashes; no hashes: all zero."""
     out = []
     for lane in range(lanes):
         ones = np.zeros(64, np.int64)
@@ -145,28 +149,38 @@ def _relabel(nodes: DataFrame, edges: DataFrame, folder: str) -> DataFrame:
         "id", "fp", F.coalesce("root", "comp").alias("comp")), f"{folder}/nodes")
 
 
-def link_prints(nodes: DataFrame, segments: Segments, radius: int, lanes: int, folder: str, rounds: int = LEADER_ROUNDS) -> DataFrame:
-    """(id, comp) from distinct fingerprints (id, fp): comp is the smallest id linked to it by steps within the radius."""
-    nodes = nodes.withColumn("comp", F.col("id"))
+def link_prints(
+    nodes: DataFrame, segments: Segments, radius: int, lanes: int, folder: str, rounds: int = LEADER_ROUNDS,
+    check: Callable[[DataFrame, str], DataFrame] | None = None,
+) -> DataFrame:
+    """(id, comp) from fingerprints (id, fp): comp is the smallest id linked to it by steps within the radius.
+
+    ``check`` takes pairs (id, comp, id2, comp2) within the radius and a folder, and gives the edges (a, b) between components that count.
+    Without it all do; equal fingerprints should be one row then.
+    """
+    nodes, ids = nodes.withColumn("comp", F.col("id")), ["id"] if check else []
+
+    def counted(pairs: DataFrame, at: str) -> DataFrame:
+        return check(pairs, at) if check else pairs.select(F.col("comp").alias("a"), F.col("comp2").alias("b"))
+
     for turn in range(rounds):
         rows = nodes.select("id", "fp", "comp", segments.rows().alias("s")).select("id", "fp", "comp", "s.*")
-        first = rows.groupBy("seg", "val").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("o"), "fp", "comp")).alias("f"))
-        first = save(first.select(F.col("seg").alias("seg2"), F.col("val").alias("val2"), F.col("f.fp").alias("fp2"), F.col("f.comp").alias("comp2")), f"{folder}/leaders{turn}")
+        first = rows.groupBy("seg", "val").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("o"), "fp", "comp", *ids)).alias("f"))
+        first = save(first.select(F.col("seg").alias("seg2"), F.col("val").alias("val2"), *[F.col(f"f.{c}").alias(f"{c}2") for c in ("fp", "comp", *ids)]), f"{folder}/leaders{turn}")
         near = (F.col("seg") == F.col("seg2")) & (F.col("val") == F.col("val2")) & (F.col("comp") != F.col("comp2")) & (distance("fp", "fp2", lanes) <= radius)
-        edges = rows.join(first, near).select(F.col("comp").alias("a"), F.col("comp2").alias("b"))
-        nodes = _relabel(nodes, edges, f"{folder}/round{turn}")
+        nodes = _relabel(nodes, counted(rows.join(first, near), f"{folder}/checked{turn}"), f"{folder}/round{turn}")
     # One lane's segments at a time: the probes of a pass leave the disk before the next one, and find what it has linked.
     words = [F.get("fp", F.lit(i)) for i in range(lanes)]
     for lane in range(lanes):
         part = segments.of_lane(lane)
-        table = nodes.select(part.rows().alias("s"), F.col("comp").alias("comp2"), *[w.alias(f"other{i}") for i, w in enumerate(words)])
+        table = nodes.select(part.rows().alias("s"), F.col("comp").alias("comp2"), *[F.col(c).alias(f"{c}2") for c in ids], *[w.alias(f"other{i}") for i, w in enumerate(words)])
         table = table.withColumns({"seg2": F.col("s.seg"), "val2": F.col("s.val")}).drop("s")
-        probes = nodes.select(part.probes().alias("s"), "comp", *[w.alias(f"word{i}") for i, w in enumerate(words)]).select("s.*", "*").drop("s")
+        probes = nodes.select(part.probes().alias("s"), "comp", *ids, *[w.alias(f"word{i}") for i, w in enumerate(words)]).select("s.*", "*").drop("s")
         # Either side of a pair finds it; the side with the larger component reports it.
         near = (F.col("seg") == F.col("seg2")) & (F.col("val") == F.col("val2")) & (F.col("comp2") < F.col("comp"))
         differing = [F.bit_count(F.col(f"word{i}").bitwiseXOR(F.col(f"other{i}"))) for i in range(lanes)]
         edges = probes.join(table, near & (sum(differing[1:], differing[0]) <= radius))
-        nodes = _relabel(nodes, edges.select(F.col("comp").alias("a"), F.col("comp2").alias("b")), f"{folder}/lane{lane}")
+        nodes = _relabel(nodes, counted(edges, f"{folder}/found{lane}"), f"{folder}/lane{lane}")
     return nodes.select("id", "comp")
 
 

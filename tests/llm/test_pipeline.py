@@ -89,6 +89,32 @@ def test_near_stage_goes_by_the_exact_similarity(spark, sf, docs):
     assert 10 < len(later) < 40
 
 
+def test_near_stage_links_close_copies_by_their_fingerprints(spark, sf, monkeypatch):
+    """The multi-index search links copies that differ in a word, and nothing that is not similar; min-hashes find what lies farther."""
+    from pactlens.llm import shingle_dedup, simhash
+
+    texts, found = [], []
+    for i in range(12):
+        words = [f"a{i}b{k}" for k in range(400)]
+        texts += [" ".join(words), " ".join([*words[:-1], "x"]), " ".join(["y", *words[1:]]), " ".join(words[:-40])]
+    sets = [shingle_dedup.shingle_set(t, 5) for t in texts]
+    prints = [simhash.print_of(s)[0] for s in sets]
+    close = {(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4 and shingle_dedup.similarity(sets[i], sets[j]) >= 0.8}
+    whole = simhash.link_prints
+
+    def spy(*args, **kw):
+        out = whole(*args, **kw)
+        found.append({r.id: r.comp for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(shingle_dedup, "link_prints", spy)
+    data = [(i, t, "en", "a", len(t), 1, "k", "x") for i, t in enumerate(texts)]
+    out = pipeline.keep_one_of_near_copies(spark, spark.createDataFrame(data, corpus.SCHEMA), sf)
+    assert sorted(r.doc_id for r in out.collect()) == list(range(0, len(texts), 4))
+    comps, = found
+    assert len(close) > 12 and all(comps[i] == comps[j] for i, j in close) and all(c // 4 == i // 4 for i, c in comps.items())
+
+
 def test_leak_stage(spark, sf, docs):
     out = pipeline.drop_benchmark_leaks(spark, docs, sf)
     items = (corpus.QUESTION, corpus.PASSAGE.split(". ")[1], "no id and short")
