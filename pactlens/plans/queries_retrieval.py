@@ -154,7 +154,7 @@ def bm25(spark: SparkSession, sf: str) -> DataFrame:
         t.select("query_id", codes, F.array_distinct(words).alias("tokens")),
         ix.select(F.col("evidence_id").alias("item_id"), F.col("collection_ord").alias("grp"), codes, words.alias("tokens")), 20,
     )
-    out = retrieve.bm25(pool)
+    out = retrieve.bm25(pool, gathered=True)
     return out.select("query_id", "item_id", F.col("grp").cast("long"), F.round("lexical", 6).alias("lexical"))
 
 

@@ -1,6 +1,7 @@
 """Metrics, calibration, routing, schema checks and ingestion against gold rows and brute force."""
 
 import json
+import math
 import random
 
 import numpy as np
@@ -124,6 +125,35 @@ def test_shared_tokens_by_postings_and_by_join(spark):
     assert by_postings == flat(retrieve.shared_tokens(pairs, q, ix.select("item_id", "tokens"))) and len(by_postings) == 360
 
 
+def test_pools_pass_by_in_batches_without_windows(spark):
+    """BM25 holds a batch and one query: no window or sort by pool, and batches that cut a pool give the same scores."""
+    rnd = random.Random(6)
+    vec = lambda: [rnd.gauss(0, 1) for _ in range(4)]
+    texts = {i: [rnd.choice("abcdef") for _ in range(rnd.randint(0, 8))] for i in range(40)}
+    asked = {i: sorted({rnd.choice("abcdefg") for _ in range(3)}) for i in range(25)}
+    ix = spark.createDataFrame([(i, i % 3, vec(), t) for i, t in texts.items()], "item_id long, grp int, vec array<double>, tokens array<string>")
+    q = spark.createDataFrame([(i, vec(), t) for i, t in asked.items()], "query_id long, vec array<double>, tokens array<string>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for tile in (None, 13):
+            out = retrieve.bm25(nearest(q, ix, 6, tile_rows=tile), gathered=True)
+            got = {(r.query_id, r.grp, r.item_id): r.lexical for r in out.collect()}
+            assert len(got) == 25 * 3 * 6
+            assert tile or "Window" not in out._jdf.queryExecution().toString()
+            for i, wanted in asked.items():
+                for g in range(3):
+                    pool = [k[2] for k in got if k[:2] == (i, g)]
+                    mean = sum(len(texts[j]) for j in pool) / len(pool)
+                    df = {t: sum(t in texts[j] for j in pool) for t in wanted}
+                    idf = {t: math.log(1 + (len(pool) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+                    part = lambda j, t: idf[t] * (f := texts[j].count(t)) * 2.5 / (f + 1.5 * (0.25 + 0.75 * len(texts[j]) / mean)) if t in texts[j] else 0.0  # noqa: E731, B023
+                    total = {j: sum(part(j, t) for t in wanted) for j in pool}
+                    best = max(total.values())
+                    assert all(abs(got[i, g, j] - (total[j] / best if best else 0.0)) < 1e-9 for j in pool)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_upsert_skips_unchanged_and_keeps_last(spark):
     cols = "stable_id string, title string, language string, source_hash string, authority_weight double, seq int"
     old = spark.createDataFrame([("d:1", "a", "ko", "h1", 0.5, 0), ("d:2", "b", "ko", "h2", 1.0, 0), ("d:9", "z", "ko", "h9", 0.5, 0)], cols)
