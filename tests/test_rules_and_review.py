@@ -287,3 +287,16 @@ def test_review_of_pages_gives_the_page_and_its_pieces(spark):
         assert r.page_number == page and [(f.page_number, f.fragment) for f in r.fragments] == want
     results = {r.doc_id: r for r in done.results.collect()}
     assert set(results) == {1, 2} and done.documents.filter("doc_id = 2").first().error_code == "TEXT_EMPTY"
+
+
+def test_review_of_pages_cleans_each_page_once(spark):
+    """Pages are stored clean, so what reads them for ranges, assembly and fragments does not clean them again."""
+    from pactlens.plans.review import review_pages
+
+    rows = [(1, 1, " \x00 제1조 은행은 필요하다고 인정하는 경우 서비스 내용을　"), (1, 2, "\n일방적으로 변경할 수 있다. \x00a@b.com "), (2, 1, "\x00 ")]
+    done = review_pages(spark.createDataFrame(rows, "doc_id int, page_no int, text string"))
+    for table in (done.findings, done.documents):
+        assert "translate(" not in table._jdf.queryExecution().optimizedPlan().toString()
+    assert done.documents.filter("doc_id = 1").first().text == "제1조 은행은 필요하다고 인정하는 경우 서비스 내용을\n일방적으로 변경할 수 있다. [EMAIL_1]"
+    found = done.findings.first()
+    assert found.page_number == 1 and [f.page_number for f in found.fragments] == [1, 2]
