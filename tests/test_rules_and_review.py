@@ -300,3 +300,13 @@ def test_review_of_pages_cleans_each_page_once(spark):
     assert done.documents.filter("doc_id = 1").first().text == "제1조 은행은 필요하다고 인정하는 경우 서비스 내용을\n일방적으로 변경할 수 있다. [EMAIL_1]"
     found = done.findings.first()
     assert found.page_number == 1 and [f.page_number for f in found.fragments] == [1, 2]
+
+
+def test_clean_page_strips_at_the_ends_only(spark):
+    from pactlens.functions.text import strip
+    from pactlens.operators.pages import clean_page
+
+    texts = [None, "", " ", "\x00", "a", " a", "a\n", "\u3000a b ", "\x00 a \x00", "a\x85", "\x1c\x1d", "\r\n", "a b\r\n", "x\n\ny"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = rows.select(clean_page(F.col("t")).alias("a"), strip(F.translate("t", "\x00", "")).alias("b"))
+    assert all(r.a == r.b for r in both.collect())
