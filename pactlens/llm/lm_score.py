@@ -8,9 +8,9 @@ there, so one pass from left to right carries the state and adds up log-probabil
 words seen once (Good and Turing). With a ``share`` above 0 only words with at least that share of all training tokens and
 the end of a text are symbols, and one symbol stands for all other words; a word has its share of its symbol's probability.
 
-The counts of a large corpus fit nowhere. Documents are dealt into chunks of bounded size; a chunk asks for the words and
-n-grams it holds, counts meet by n-gram, and go back to the chunks that asked: each chunk then traverses its own part of
-the automaton. N-grams that a chunk alone has counted don't travel back.
+The counts of a large corpus fit nowhere. Documents are dealt into chunks of bounded size. A chunk asks for the words and
+n-grams it holds, sorted and cut into buckets by their hashes; a bucket adds up the counts of all chunks and answers each chunk
+with the totals alone, in the order of its keys. Each chunk then traverses its own part of the automaton.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pactlens.llm.common import save, whole_text, work_folder
@@ -132,8 +133,26 @@ class Symbols(Totals):
         return np.where(symbols == self.rest, 1 - self.counts.sum() * seen, own)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers as eight planes of bytes: the high bytes, mostly zero, lie together and take no room when compressed."""
+    return np.ascontiguousarray(values, np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys by their steps, which are smaller."""
+    return _packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data), dtype=np.uint64)
+
+
 def _counted(keys: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and how often each is learned."""
+    """Distinct keys, sorted, and how often each is learned."""
     asked = np.unique(keys)
     known, times = np.unique(keys[learned], return_counts=True)
     count = np.zeros(len(asked), np.int64)
@@ -141,22 +160,67 @@ def _counted(keys: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndar
     return asked, count
 
 
-def _chunk_counts(first: int, last: int, shared):
-    """A chunk's n-grams of ``first`` to ``last`` symbols with their training counts; those of one are words."""
+def _places(seq: Sequences, first: int, last: int, symbols: Totals) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """Words (true) and n-grams of two and more symbols, where ``first`` to ``last`` include them: their keys and documents."""
+    if first == 1:
+        yield True, seq.words[~seq.is_start], seq.doc[~seq.is_start]
+    if last > 1:
+        grams = seq.ngrams(last, symbols)[1:]
+        yield False, np.concatenate([key[ok] for key, ok in grams]), np.concatenate([seq.doc[ok] for _, ok in grams])
+
+
+_ASKED = "chunk long, word boolean, bucket long, keys binary, n binary"
+_ANSWERED = "chunk long, word boolean, bucket long, totals binary, tokens long, types long, once long, known binary, times binary"
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _table(rows: list[tuple] | dict, schema: str) -> pa.Table:
+    """An Arrow table of columns, or of rows, that are named and typed as in ``schema``."""
+    types = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "double": pa.float64()}
+    fields = [(name, types[kind]) for name, kind in (x.split() for x in schema.split(", "))]
+    columns = rows if isinstance(rows, dict) else {f[0]: [r[i] for r in rows] for i, f in enumerate(fields)}
+    return pa.table([pa.array(columns[name], kind) for name, kind in fields], names=[f[0] for f in fields])
 
-    def counts(pdf: pd.DataFrame) -> pd.DataFrame:
-        seq = Sequences(pdf["text"].tolist())
-        learned, parts = pdf["train"].to_numpy(bool)[seq.doc], []
-        if first == 1:
-            parts.append(_counted(seq.words[~seq.is_start], learned[~seq.is_start]))
-        parts += [_counted(key[ok], learned[ok]) for key, ok in seq.ngrams(last, shared.value)[1:]]
-        key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        word = np.arange(len(key)) < (len(parts[0][0]) if first == 1 else 0)
-        return pd.DataFrame({"key": key.view(np.int64), "n": n, "word": word, "chunk": np.int64(pdf["chunk"].iloc[0])})
+
+def _chunk_counts(first: int, last: int, buckets: int, shared):
+    """A chunk's n-grams of ``first`` to ``last`` symbols with their training counts, a row for each bucket; those of one are words.
+
+    A bucket is a range of keys, so the buckets of a chunk in order hold its keys in order.
+    """
+
+    def counts(docs: pa.Table) -> pa.Table:
+        seq, learned, rows = Sequences(docs["text"].to_pylist()), docs["train"].to_numpy(), []
+        for word, keys, doc in _places(seq, first, last, shared.value):
+            asked, n = _counted(keys, learned[doc])
+            bucket = ((asked >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            found, starts = np.unique(bucket, return_index=True)
+            for i, at, end in zip(found.tolist(), starts, [*starts[1:], len(asked)], strict=True):
+                rows.append((docs["chunk"][0].as_py(), word, i, _packed_keys(asked[at:end]), _packed(n[at:end])))
+        return _table(rows, _ASKED)
 
     return counts
 
 
+def _bucket_totals(listed: bool):
+    """A bucket's answer to each chunk; the first row also has its words' totals, and with ``listed`` the learned words."""
+
+    def totals(asked: pa.Table) -> pa.Table:
+        keys = [_unpacked_keys(x) for x in asked["keys"].to_pylist()]
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.concatenate([_unpacked(x) for x in asked["n"].to_pylist()])
+        total = np.bincount(at, n, len(distinct)).astype(np.int64)  # as doubles: exact below 2**53
+        answers = np.split(total[at], np.cumsum([len(k) for k in keys])[:-1])
+        word, bucket = asked["word"][0].as_py(), asked["bucket"][0].as_py()
+        rows = [(chunk, word, bucket, _packed(x), 0, 0, 0, None, None) for chunk, x in zip(asked["chunk"].to_pylist(), answers, strict=True)]
+        if word:
+            known = total > 0
+            lists = (_packed_keys(distinct[known]), _packed(total[known])) if listed else (None, None)
+            rows[0] = (*rows[0][:4], int(total.sum()), int(known.sum()), int((total == 1).sum()), *lists)
+        return _table(rows, _ANSWERED)
+
+    return totals
+
+
 class Automaton:
     """The part of the automaton that a chunk's texts can reach: arcs by n-gram, and word counts."""
 
@@ -186,49 +250,50 @@ class Automaton:
 
 
 def _chunk_scores(shared, mass: Sequence[float]):
-    def merged(key: np.ndarray, total: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts from all chunks, and own ones that no other chunk has."""
-        known, times = np.unique(own, return_counts=True)
-        new = ~np.isin(known, key)
-        return np.concatenate([key, known[new]]), np.concatenate([total, times[new]])
-
-    def scores(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    def scores(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(docs):
-            return pd.DataFrame({c: [] for c in columns})
-        symbols, seq = shared.value, Sequences(docs["text"].tolist())
-        learned = docs["train"].to_numpy(bool)[seq.doc]
-        key, total, word = answers["key"].to_numpy(np.int64).view(np.uint64), answers["total"].to_numpy(np.int64), answers["word"].to_numpy(bool)
-        words = merged(key[word], total[word], seq.words[learned & ~seq.is_start])
-        arcs = [k[ok & learned] for k, ok in seq.ngrams(len(mass) + 1, symbols)[1:]]
-        arcs = merged(key[~word], total[~word], np.concatenate(arcs) if arcs else np.zeros(0, np.uint64))
-        logp, seen = Automaton(symbols, words, arcs, mass).traverse(seq)
+            return _table([], _SCORES)
+        symbols, seq = shared.value, Sequences(docs["text"].to_pylist())
+        counts = {word: (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for word in (True, False)}
+        answers = answers.sort_by("bucket")
+        for word, keys, _ in _places(seq, 1, len(mass) + 1, symbols):
+            sent = answers.filter(answers["word"] if word else pc.invert(answers["word"]))["totals"].to_pylist()
+            counts[word] = np.unique(keys), np.concatenate([np.zeros(0, np.uint64), *map(_unpacked, sent)]).astype(np.int64)
+            if len(counts[word][0]) != len(counts[word][1]):
+                raise ValueError("the documents of a chunk changed between two reads of the table")
+        logp, seen = Automaton(symbols, counts[True], counts[False], mass).traverse(seq)
         base = np.log10((seen + 0.5) / (symbols.tokens + 0.5 * (symbols.types + 1)))
         base[seq.is_start] = 0.0
         add = lambda x: np.add.reduceat(x, seq.starts)
-        return pd.DataFrame({
-            "doc_id": docs["doc_id"], "held_out": ~docs["train"].to_numpy(bool), "n_tokens": seq.sizes,
-            "n_known": add((seen > 0).astype(np.int64)), "train_tokens": np.int64(symbols.tokens), "base_score": add(base), "score": add(logp),
-        }, columns=columns)
+        return _table({
+            "doc_id": docs["doc_id"].to_pylist(), "held_out": ~docs["train"].to_numpy(), "n_tokens": seq.sizes,
+            "n_known": add((seen > 0).astype(np.int64)), "train_tokens": np.full(len(docs), symbols.tokens, np.int64),
+            "base_score": add(base), "score": add(logp),
+        }, _SCORES)
 
     return scores
 
 
-def _met(asked: DataFrame) -> DataFrame:
-    """The total of each key beside every chunk's own count; ``first`` marks one row of a key."""
-    same = W.partitionBy("key")  # at most one row for each chunk
-    return asked.withColumn("total", F.sum("n").over(same)).withColumn("first", F.col("chunk") == F.min("chunk").over(same))
+def _at_least(share_of_all: float, end: int):
+    """(key, total) of the listed words that are frequent, and of the end."""
+
+    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for known, times in zip(frame["known"], frame["times"], strict=True):
+                key, total = _unpacked_keys(known).view(np.int64), _unpacked(times).view(np.int64)
+                kept = (total >= share_of_all) | (key == end)
+                yield pd.DataFrame({"key": key[kept], "total": total[kept]})
+
+    return pick
 
 
 def totals_of(words: DataFrame, texts: int, share: float) -> Totals:
-    """From (total, first, key): totals, and with a ``share`` above 0 the at most 1 / share words that are symbols."""
-    learned = words.filter("first AND total > 0")
-    tokens, types, once = (int(x or 0) for x in learned.agg(F.sum("total"), F.count(F.lit(1)), F.count(F.when(F.col("total") == 1, 1))).first())
+    """From the buckets' answers: totals, and with a ``share`` above 0 the at most 1 / share words that are symbols."""
+    tokens, types, once = (int(x or 0) for x in words.agg(F.sum("tokens"), F.sum("types"), F.sum("once")).first())
     if not share:
         return Totals(tokens, types, once, texts)
-    end = np.uint64(_Hashes()[END_WORD]).astype(np.int64).item()
-    frequent = (F.col("total") >= max(1.0, share * tokens)) | (F.col("key") == end)
-    rows = learned.filter(frequent).select("key", F.col("total").cast("long").alias("total")).toArrow()
+    pick = _at_least(max(1.0, share * tokens), np.uint64(_Hashes()[END_WORD]).astype(np.int64).item())
+    rows = words.filter("known IS NOT NULL").select("known", "times").mapInPandas(pick, "key long, total long").toArrow()
     return Symbols(rows["key"].to_numpy().astype(np.int64).view(np.uint64), rows["total"].to_numpy().astype(np.int64), tokens, types, once, texts)
 
 
@@ -251,20 +316,20 @@ def score(
     size, texts = docs.agg(F.sum(F.octet_length(whole_text()) + 64), F.count(F.when(picked, 1))).first()
     chunks = int((size or 0) // chunk_bytes) + 1
     dealt = docs.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), F.col("doc_id").cast("string").alias("doc_id"),
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"),
         picked.alias("train"), whole_text().alias("text"),
     )
-    by_chunk, schema = dealt.groupBy("chunk"), "key long, n long, word boolean, chunk long"
+    by_chunk, buckets = dealt.groupBy("chunk"), chunks // 2 + 1  # a bucket holds about as many keys as two chunks
     context, order = docs.sparkSession.sparkContext, len(mass) + 1
-    # Where every word is a symbol, words and n-grams are counted together. Words that a chunk alone has counted stay in the table for the totals.
-    asked = by_chunk.applyInPandas(_chunk_counts(1, 1 if share else order, context.broadcast(Totals(0, 0, 0, 0))), schema)
-    met = _met(asked).filter("total <> n OR (word AND first AND total > 0)")
-    met = save(met.select("chunk", "key", "total", "n", "word", "first"), f"{folder}/counts")
-    shared = context.broadcast(totals_of(met.filter("word"), int(texts), share))
-    back = met.filter("total <> n").select("chunk", "key", "total", "word")
+
+    def answered(first: int, last: int, symbols, name: str) -> DataFrame:
+        asked = by_chunk.applyInArrow(_chunk_counts(first, last, buckets, symbols), _ASKED)
+        return save(asked.groupBy("word", "bucket").applyInArrow(_bucket_totals(share > 0), _ANSWERED), f"{folder}/{name}")
+
+    # Where every word is a symbol, words and n-grams are counted together.
+    counts = answered(1, 1 if share else order, context.broadcast(Totals(0, 0, 0, 0)), "counts")
+    shared = context.broadcast(totals_of(counts.filter("word"), int(texts), share))
+    back = counts.select("chunk", "word", "bucket", "totals")
     if mass and share:
-        arcs = _met(by_chunk.applyInPandas(_chunk_counts(2, order, shared), schema)).filter("total <> n")
-        back = back.unionByName(save(arcs.select("chunk", "key", "total", "word"), f"{folder}/arcs"))
-    schema = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = by_chunk.cogroup(back.groupBy("chunk")).applyInPandas(_chunk_scores(shared, mass), schema)
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))  # as text above: pandas has no integer column with nulls
+        back = back.unionByName(answered(2, order, shared, "arcs").select(*back.columns))
+    return by_chunk.cogroup(back.groupBy("chunk")).applyInArrow(_chunk_scores(shared, mass), _SCORES)

@@ -229,6 +229,31 @@ def test_lm_beats_the_base_on_held_out_text(spark, sf):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def shuffled(spark):
+    """Bytes that all finished tasks have written for shuffles."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_lm_counts_of_mostly_new_n_grams_take_little_room(spark, tmp_path):
+    pick = random.Random(3)
+    words = ["".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(5_000)]
+    texts = [" ".join(pick.choices(words, k=500)) for _ in range(800)]
+    data = [(i, text, "en", "a", 0, 1, "k", "x") for i, text in enumerate(texts)]
+    docs = spark.read.parquet(f"{corpus.write(spark, tmp_path, data)}/documents.parquet")
+    before = shuffled(spark)
+    assert len(lm_score.score(docs, chunk_bytes=1 << 18).collect()) == len(data)
+    assert shuffled(spark) - before < 3.5 * sum(map(len, texts))
+
+
+def test_lm_packed_numbers_come_back():
+    keys = np.unique(np.array([0, 1, 255, 256, 1 << 40, (1 << 63) + 5, (1 << 64) - 1], np.uint64))
+    for part in (keys, keys[1:], keys[-1:], keys[:0]):
+        assert lm_score._unpacked_keys(lm_score._packed_keys(part)).tolist() == part.tolist()
+        assert lm_score._unpacked(lm_score._packed(part)).tolist() == part.tolist()
+
+
 @pytest.mark.parametrize("least", [1, 3])
 def test_lm_of_three_words_is_a_distribution(least):
     texts = ["a b a b c", "b a b", "c c a"]
